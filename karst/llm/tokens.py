@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 1_500_000
-AT_ONCE = 16_000_000
+MOST_WORDS = 800_000
+AT_ONCE = 4_000_000
+#: New words encoded in one text.
+AT_A_TIME = 16_384
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Texts that the fast way cannot take: odd or doubled white space, white space at an end, and \x01, which parts words in _learn.
@@ -140,8 +142,8 @@ class Encoder:
         if len(self.row) + len(new) > MOST_WORDS:
             self._forget()
             new = words
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), AT_A_TIME):
+            self._learn(new[i : i + AT_A_TIME])
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         starts = self.ends[rows]
         n = self.ends[rows + 1] - starts
