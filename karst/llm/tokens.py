@@ -52,9 +52,6 @@ class Encoder:
             (self.mark,) = self._whole("\x01")
         else:
             self.kind = "other"
-        self._forget()
-
-    def _forget(self) -> None:
         self.row: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)
         self.store = np.zeros(0, np.uint32)
@@ -139,9 +136,8 @@ class Encoder:
         coded = lists.values.dictionary_encode() if lists.offset == 0 else lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.row]
-        if len(self.row) + len(new) > MOST_WORDS:
-            self._forget()
-            new = words
+        full = len(self.row) >= MOST_WORDS  # then the words met first, the commonest, stay, and others are held for this call
+        size = len(self.row), len(self.store)
         for i in range(0, len(new), AT_A_TIME):
             self._learn(new[i : i + AT_A_TIME])
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
@@ -150,6 +146,10 @@ class Encoder:
         offsets = lists.offsets.to_numpy()
         counts = np.add.reduceat(n, (offsets - offsets[0])[:-1])
         ids = self.store[_spread(starts, n)]
+        if full:
+            for w in new:
+                del self.row[w]
+            self.ends, self.store = self.ends[: size[0] + 1], self.store[: size[1]]
         if byte:  # the line feed put before each text
             keep = np.ones(len(ids), bool)
             keep[np.concatenate([[0], counts.cumsum()[:-1]])] = False
