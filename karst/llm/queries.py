@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import decontaminate, huffman, linededup, packing, secrets, simhash
+from karst.llm import decontaminate, huffman, linededup, mainhtml, packing, secrets, simhash, toxicity
 from karst.llm.common import read_table
 
 #: Folder of the public tokenizer files.
@@ -24,6 +24,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "line_dedup.*")
@@ -37,6 +41,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = huffman.write_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     return huffman.read_documents(spark, files)
