@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import decontaminate, huffman, linededup, mainhtml, packing, secrets, simhash, toxicity
+from karst.llm import decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
 from karst.llm.common import read_table
 
 #: Folder of the public tokenizer files.
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_ppm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "line_dedup.*")
