@@ -36,3 +36,41 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches, keys: list[str]):
+    """Arrow tables that hold all neighbouring rows with the same keys, from batches sorted by them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            before = held[-2].column(k)[-1].as_py() if len(held) > 1 else x[0]
+            new |= np.concatenate([[x[0] != before], x[1:] != x[:-1]])
+        cut = np.flatnonzero(new)
+        if len(cut):  # the last group may go on in the next batch
+            last = int(cut[-1])
+            done = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+            if done.num_rows:
+                yield done
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(table, keys: list[str]):
+    """First row of each group of neighbours with the same keys, and the number of rows at the end."""
+    import numpy as np
+
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        x = table.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
+from karst.llm import capfilters, decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
 from karst.llm.common import read_table
 
 #: Folder of the public tokenizer files.
@@ -37,6 +37,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "line_dedup.*")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 

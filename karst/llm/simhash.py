@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import stored
+from karst.llm.common import group_starts, stored, whole_groups
 from karst.llm.components import connected_components
 from karst.llm.decontaminate import word_column
 
@@ -182,23 +182,12 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     masks = shard_masks(n, radius)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            # whole shards only: the last one of a batch may go on in the next
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            which, key = table.column("mask").to_numpy(), table.column("key").to_numpy()
-            last = np.flatnonzero((which != which[-1]) | (key != key[-1])) if len(which) else which
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from done(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+        for table in whole_groups(batches, ["mask", "key"]):
+            yield from done(table)
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        which, key = table.column("mask").to_numpy(), table.column("key").to_numpy()
-        shard = np.concatenate([[0], ((which[1:] != which[:-1]) | (key[1:] != key[:-1])).cumsum()])
+        starts = group_starts(table, ["mask", "key"])
+        shard = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         a, b = shard_links(table.column("fp").to_numpy().view(np.uint64), shard, radius)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
