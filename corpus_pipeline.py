@@ -1,14 +1,57 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again."""
+"""The corpus pipeline: each stage takes what its predecessor kept of `documents`, written as Parquet and read again.
+
+Documents that the toxicity model rejects go, repeated passages go line by line,
+one document of each near-duplicate group stays, documents that hold benchmark
+passages go, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from karst.llm import decontaminate, linededup, packing, simhash, toxicity
+from karst.llm.common import read_table, stored
+from karst.llm.queries import WORD_BPE
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, "toxicity score").where(F.col("toxicity score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text = F.col("line_dedup.text")
+    changed = {"text": text, "n_chars": F.when(F.col("line_dedup.n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return linededup.dedup_lines(docs).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, WORD_BPE)
+
 
-from karst.llm import queries as q
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("simhash near-dedup", dedup_near),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: The toxicity model and the fingerprints have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

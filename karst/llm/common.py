@@ -38,6 +38,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(texts, at_once: int):
+    """Neighbouring parts of an Arrow text column, each of about so many bytes at most, one text at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + at_once, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def whole_groups(batches, keys: list[str]):
     """Arrow tables that hold all neighbouring rows with the same keys, from batches sorted by them."""
     import numpy as np

@@ -191,7 +191,7 @@ class Windows:
         return cls(pa.array([*number], pa.large_binary()), rows, [[*x] for x in found.values()])
 
 
-INDEX = "segment long, doc_id array<long>, n array<long>, terms binary, sizes binary, steps binary"
+INDEX = "segment long, doc_id array<long>, key array<long>, n array<long>, terms binary, sizes binary, steps binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -205,14 +205,14 @@ def build_index(docs: DataFrame) -> DataFrame:
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SEGMENT_BYTES, "right")))
                 seg = Segment.of(texts.slice(i, j - i))
                 blobs = seg.pack()
-                yield pa.RecordBatch.from_pylist([dict(segment=0, doc_id=batch.column("doc_id").slice(i, j - i).to_pylist(), n=seg.n.tolist(), terms=blobs[0], sizes=blobs[1], steps=blobs[2])], schema=_ARROW)
+                yield pa.RecordBatch.from_pylist([dict(segment=0, doc_id=batch.column("doc_id").slice(i, j - i).to_pylist(), key=batch.column("key").slice(i, j - i).to_pylist(), n=seg.n.tolist(), terms=blobs[0], sizes=blobs[1], steps=blobs[2])], schema=_ARROW)
                 i = j
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     return stored(slim.mapInArrow(build, INDEX).withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
-_ARROW = pa.schema([("segment", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("terms", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary())])
+_ARROW = pa.schema([("segment", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("key", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("terms", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary())])
 
 
 def blocks_of(items: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
@@ -248,11 +248,11 @@ def lookup(index: DataFrame, windows: Windows) -> DataFrame:
                         spans[d].append({"start": a, "end": b})
                     items[d].update(dict.fromkeys(windows.owner[which[k]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["segment"]] * len(n), pa.int64()), pa.array(range(len(n)), pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(n), pa.array(spans, _SPANS), pa.array([[*x] for x in items], pa.list_(pa.string()))],
-                    ["segment", "place", "doc_id", "n_words", "spans", "items"],
+                    [pa.array([r["segment"]] * len(n), pa.int64()), pa.array(range(len(n)), pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(r["key"], pa.int64()), pa.array(n), pa.array(spans, _SPANS), pa.array([[*x] for x in items], pa.list_(pa.string()))],
+                    ["segment", "place", "doc_id", "key", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(find, "segment long, place int, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return index.mapInArrow(find, "segment long, place int, doc_id long, key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -266,7 +266,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     if len(found) > 1:  # a document's spans from several blocks
         for x in found[1:]:
             out = out.unionAll(x)
-        out = out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
@@ -274,4 +274,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda acc: acc["n"],
     )
     names = F.array_sort(F.array_distinct("items"))
-    return out.select("doc_id", "n_words", covered.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", names.alias("items"))
+    return out.select("doc_id", "n_words", covered.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", names.alias("items"), "key")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs whose text holds no window of the items."""
+    hit = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_text")).distinct().hint("shuffle_hash")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("k_row"), docs["doc_id"].cast("long").alias("k_doc"), F.xxhash64(docs["text"].cast("string")).alias("k_key"))
+    return keyed.join(hit, F.col("k_doc").eqNullSafe(F.col("k_id")) & (F.col("k_key") == F.col("k_text")), "left_anti").select("k_row.*")

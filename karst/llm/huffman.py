@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import stored
+from karst.llm.common import slices, stored
 from karst.llm.tokens import as_bytes, encoder
 
 LONGEST = 20
@@ -39,6 +39,7 @@ STEP = 256
 BLOCK_IDS = 1 << 17
 #: A range of doc_ids is one task's share of the output; about so many documents.
 RANGE_ROWS = 8192
+AT_ONCE = 4_000_000
 _HEAD = struct.Struct("<4sIQQII")
 
 
@@ -208,17 +209,20 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
         wide = enc.tok.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids, at = enc.encode_column(batch.column("text"))
-            column = batch.column("doc_id")
-            part = np.searchsorted(cuts, column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            ends = np.insert(ids, at[1:], end_id).astype("<u4" if wide else "<u2")
-            at = at + np.arange(len(at))
-            raw, unit = ends.tobytes(), ends.itemsize
-            packed = [squeeze(raw[unit * a : unit * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), column, pa.array(np.diff(at)), pa.array(np.full(len(at) - 1, unit, np.int32)), pa.array(packed, pa.binary())],
-                ["part", "doc_id", "n", "unit", "ids"],
-            )
+            first = 0
+            for texts in slices(batch.column("text"), AT_ONCE):
+                ids, at = enc.encode_column(texts)
+                column = batch.column("doc_id").slice(first, len(texts))
+                first += len(texts)
+                part = np.searchsorted(cuts, column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+                ended = np.insert(ids, at[1:], end_id).astype("<u4" if wide else "<u2")
+                at = at + np.arange(len(at))
+                raw, unit = ended.tobytes(), ended.itemsize
+                packed = [squeeze(raw[unit * a : unit * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.astype(np.int32)), column, pa.array(np.diff(at)), pa.array(np.full(len(texts), unit, np.int32)), pa.array(packed, pa.binary())],
+                    ["part", "doc_id", "n", "unit", "ids"],
+                )
 
     coded = slim.mapInArrow(encode, "part int, doc_id long, n long, unit int, ids binary")
     coded = stored(coded.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "n", F.crc32("ids")), "ids")

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.llm.common import slices
 from karst.llm.tokens import as_bytes, encoder
 
 CAPACITY = 2048
 GROUP_ROWS = 16_384
+AT_ONCE = 4_000_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -68,21 +70,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            ids, at = enc.encode_column(batch.column("text"))
-            docs_of, number, length, crc = [], [], [], []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                raw = bytes(as_bytes(ids[at[i] : at[i + 1]])) + end_id.to_bytes(4, "little")
-                for p in range(0, len(raw), width):
-                    part = raw[p : p + width]
-                    docs_of.append(doc)
-                    number.append(p // width)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            n = np.array(number, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs_of, pa.int64()), pa.array(n.astype(np.int32)), pa.array(n * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            first = 0
+            for texts in slices(batch.column("text"), AT_ONCE):
+                ids, at = enc.encode_column(texts)
+                docs_of, number, length, crc = [], [], [], []
+                for i, doc in enumerate(batch.column("doc_id").slice(first, len(texts)).to_pylist()):
+                    raw = bytes(as_bytes(ids[at[i] : at[i + 1]])) + end_id.to_bytes(4, "little")
+                    for p in range(0, len(raw), width):
+                        part = raw[p : p + width]
+                        docs_of.append(doc)
+                        number.append(p // width)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                first += len(texts)
+                n = np.array(number, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs_of, pa.int64()), pa.array(n.astype(np.int32)), pa.array(n * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

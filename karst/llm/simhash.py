@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.llm.common import group_starts, stored, whole_groups
@@ -68,7 +68,7 @@ def fingerprints_of(texts: pa.Array, words: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+    """doc_id, key (a hash of the text), fp (the 64 bits as a long)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +77,11 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             while i < len(size):
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + 4_000_000, "right")))
                 fp = fingerprints_of(batch.column("text").slice(i, j - i), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
                 i = j
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(make, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    return slim.mapInArrow(make, "doc_id long, key long, fp long")
 
 
 def shard_masks(n: int, radius: int) -> list[int]:
@@ -198,13 +198,27 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return shards.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id for each document."""
+def _named(docs: DataFrame, radius: int, words: int) -> DataFrame:
+    """doc_id, key, fp, component_id, root (a fingerprint) for each document."""
     own = stored(fingerprints(docs, words), "fingerprints")
     classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fp"), classes.count(), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    return own.join(rooted.join(names, "root").select("fp", "component_id", "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal), component_id for each document."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _named(docs, radius, words).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """The rows of docs with one document of each component: the smallest doc_id, of repeated rows one."""
+    named = _named(docs, radius, words)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("key").alias("k_text"))
+    best = named.groupBy("root").agg(F.min(first).alias("b")).select("b.none", "b.k_id", "b.k_text")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("k_row"), docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("k_id"), F.xxhash64(docs["text"].cast("string")).alias("k_text"))
+    same = Window.partitionBy("none", "k_id", "k_text").orderBy("none", "k_id", "k_text")
+    return keyed.join(best, ["none", "k_id", "k_text"]).withColumn("n", F.row_number().over(same)).where("n = 1").select("k_row.*")

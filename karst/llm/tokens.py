@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 AT_ONCE = 4_000_000
 #: New words encoded in one text.
 AT_A_TIME = 16_384
@@ -95,6 +95,7 @@ class Encoder:
             counts.append(n)
             i = j
         gc.enable()
+        pa.default_memory_pool().release_unused()
         return np.concatenate(parts), np.concatenate([[0], *counts]).astype(np.int64).cumsum()
 
     def encode(self, text: str) -> np.ndarray:

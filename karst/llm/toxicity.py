@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.llm.common import slices
 from karst.llm.decontaminate import _FOLD, spread, word_column
 
 BUCKETS = 1 << 20
@@ -66,15 +67,6 @@ def word_buckets(words: pa.Array) -> np.ndarray:
     return (out >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + AT_ONCE, "right")))
-        yield texts.slice(i, j - i)
-        i = j
-
-
 def doc_terms(texts: pa.Array, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, term), by text: buckets, or what number makes of them (-1: left out)."""
     words, counts = word_column(pc.utf8_lower(texts), _FOLD)
@@ -101,7 +93,7 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         number = np.full(BUCKETS, -1, np.int64)
         number[self.terms] = np.arange(len(self.terms))
-        out = [self.score(*doc_terms(part, number), len(part)) for part in _slices(texts)]
+        out = [self.score(*doc_terms(part, number), len(part)) for part in slices(texts, AT_ONCE)]
         return np.concatenate([*out, np.zeros(0)])
 
     def score(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
@@ -178,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[bytes] = []
-            for part in _slices(batch.column("text")):
+            for part in slices(batch.column("text"), AT_ONCE):
                 doc, bucket = doc_terms(part)
                 at = np.searchsorted(doc, np.arange(len(part) + 1))
                 found += [bucket[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
