@@ -7,6 +7,8 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from karst.operators.lineage import cut
+
 CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
 MOST_ROUNDS = 200
 
@@ -74,14 +76,14 @@ def label(mask: DataFrame) -> DataFrame:
     """
     key = F.shiftleft(F.col("ix"), 32) + F.col("iy")
     own = mask.select("ix", "iy").distinct().withColumn("node", key).withColumn("root", key)
-    own = _cut(own)
+    own = cut(own)
     last = None
     for _ in range(MOST_ROUNDS):
         near = _scattered(own, [(0, 0, 1), *((a, b, 1) for a, b in CROSS)], "root").groupBy("ix", "iy").agg(F.min("root").alias("least"))
         new = own.join(near, ["ix", "iy"]).select("ix", "iy", "node", F.least("root", "least").alias("root"))
         names = new.select(F.col("node").alias("root"), F.col("root").alias("over"))
         # a name's own name, sent to the cells that bear it
-        new = _cut(new.join(names, "root").select("ix", "iy", "node", "over").withColumnRenamed("over", "root"))
+        new = cut(new.join(names, "root").select("ix", "iy", "node", "over").withColumnRenamed("over", "root"))
         mark = new.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("h")).first()
         own = new
         if mark == last:
@@ -90,14 +92,6 @@ def label(mask: DataFrame) -> DataFrame:
     return own.select("ix", "iy", F.col("root").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
-
-
 def enclosed(mask: DataFrame) -> DataFrame:
     """Empty cells of the box that no 4-connected way of empty cells leads out from: what hole filling adds.
 

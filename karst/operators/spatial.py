@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
+from karst.operators.lineage import cut
 
 
 def squared(a: str, b: str, axes: str) -> Column:
@@ -51,15 +52,15 @@ def knn(points: DataFrame, k: int, start: float, axes: str = "xyz", most_rounds:
     Rings: a radius is exact for the points that have k others inside it; the rest
     are asked again with twice the radius, until none is left or all are inside.
     """
-    slim = points.select("pid", *axes).persist()
+    slim = cut(points.select("pid", *axes))
     total = slim.count()
     k = min(k, max(total - 1, 0))
     asked, done, radius = slim, [], start
     for _ in range(most_rounds):
         pairs = near_pairs(asked, slim, radius, axes).where("a.pid <> b.pid")
-        ranked = pairs.groupBy(F.col("a.pid").alias("pid")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", F.col("b.pid").alias("other")))), 1, max(k, 1)).alias("near")).where(F.size("near") >= k).persist()
+        ranked = cut(pairs.groupBy(F.col("a.pid").alias("pid")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", F.col("b.pid").alias("other")))), 1, max(k, 1)).alias("near")).where(F.size("near") >= k))
         done.append(ranked)
-        asked = asked.join(ranked.select("pid"), "pid", "left_anti").persist()
+        asked = cut(asked.join(ranked.select("pid"), "pid", "left_anti"))
         if k == 0 or not asked.head(1):
             break
         radius *= 2
