@@ -146,14 +146,13 @@ def _own_filters(filters: list[np.ndarray], f: int) -> np.ndarray:
     return bits
 
 
-def _verify(x: np.ndarray, copies: np.ndarray, bits: np.ndarray, tile: np.ndarray, links: np.ndarray, forest: Forest, rows: np.ndarray, least: float) -> None:
+def _verify(x: np.ndarray, copies: np.ndarray, bits: np.ndarray, tile: np.ndarray, cross: bool, links: np.ndarray, forest: Forest, rows: np.ndarray, least: float) -> None:
     """Count each pair of members (cross pairs of two tiles) at least so similar, once over all filters."""
-    both = len(np.unique(tile)) > 1
     for i in range(0, len(x), 512):
         s = x[i : i + 512] @ x[i:].T
         a, b = np.nonzero(s >= least - 1e-9)
         a, b = a + i, b + i
-        ok = (a < b) & ((tile[a] != tile[b]) if both else True)
+        ok = (a < b) & ((tile[a] != tile[b]) if cross else True)
         a, b = a[ok], b[ok]
         ok = np.einsum("ij,ij->i", x[a], x[b]) >= least
         a, b = a[ok], b[ok]
@@ -203,14 +202,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             starts = group_starts(table, keys)
-            rep, copies, tile, f = (table.column(c).to_numpy() for c in ("rep", "copies", "tile", "f"))
+            rep, copies, tile, pair, f = (table.column(c).to_numpy() for c in ("rep", "copies", "tile", "pair", "f"))
             found = table.column("filters").combine_chunks()
             ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
             links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 x = _unit(_matrix(table.column("e").slice(a, b - a)))
                 s = [flat[ends[i] : ends[i + 1]] for i in range(a, b)]
-                _verify(x, copies[a:b], _own_filters(s, int(f[a])), tile[a:b], links, forest, np.arange(a, b), least)
+                _verify(x, copies[a:b], _own_filters(s, int(f[a])), tile[a:b], pair[a] // 65536 != pair[a] % 65536, links, forest, np.arange(a, b), least)
             top = forest.top(np.arange(len(rep)))
             some = np.flatnonzero((links > 0) | (top != np.arange(len(rep))))
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[top[some]]), pa.array(links[some])], ["a", "b", "links"])

@@ -73,14 +73,16 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     judged = each.join(spread, ["h1", "h2"]).select("row", F.struct("start", "kind", "stop", (F.col("owners") >= EXAMPLE_OWNERS).alias("example")).alias("c"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list("c")).alias("judged"))
     kept = F.filter("judged", lambda x: (x["kind"] < 3) | ~x["example"])
-    told = rows.join(per_row, "row", "left").select("doc_id", F.coalesce(kept, F.array().cast("array<struct<start:int,kind:int,stop:int,example:boolean>>")).alias("kept"))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int,example:boolean>>")
+    told = rows.join(per_row, "row", "left").select("doc_id", F.coalesce(kept, none).alias("kept"), F.coalesce("judged", none).alias("judged"))
     count = lambda test: F.size(F.filter("kept", test)).cast("long")
+    of_kind = lambda k: count(lambda x: x["kind"] == k)
     return told.select(
         "doc_id",
-        *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])],
+        *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])],
         F.sha2(_written(F.filter("kept", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         _written(F.col("kept")).alias("spans"),
-        count(lambda x: x["kind"] == 3).alias("n_generic"),
+        of_kind(3).alias("n_generic"),
         count(lambda x: ~x["example"]).alias("n_live"),
-        count(lambda x: x["example"]).alias("n_example"),
+        F.size(F.filter("judged", lambda x: x["example"])).cast("long").alias("n_example"),
     )
