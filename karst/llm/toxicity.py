@@ -108,23 +108,24 @@ class Model:
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> Model:
-    """Train by AdaGrad on log loss; (doc, bucket) distinct and by doc, toxic 0 or 1 for each doc."""
+    """Train by AdaGrad on log loss; (doc, bucket) distinct and by doc, toxic for each doc."""
+    toxic = np.asarray(toxic, bool)
     n, positive = len(toxic), int(toxic.sum())
     share = positive / n if n else 0.0
     none = np.zeros(0)
     if not 0 < positive < n:
         return Model(none.astype(np.int64), 40.0 * (1 if share else -1), none, np.zeros((0, RANK)))
-    a = np.bincount(bucket[toxic[doc] == 1], minlength=BUCKETS).astype(float)
+    a = np.bincount(bucket[toxic[doc]], minlength=BUCKETS).astype(float)
     c = np.bincount(bucket, minlength=BUCKETS).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num((a - c * share) ** 2 / (c * share * (1 - share) * (1 - c / n)), posinf=0)
     chi2[c < 3] = 0
     best = np.argsort(-chi2, kind="stable")[:MOST_TERMS]
     terms = np.sort(best[chi2[best] >= LEAST_CHI2])
-    number = np.full(BUCKETS, -1, np.int64)
+    number = np.full(BUCKETS, -1, np.int32)
     number[terms] = np.arange(len(terms))
     kept = number[bucket] >= 0
-    doc, term = doc[kept], number[bucket[kept]]
+    doc, term = doc[kept], number[bucket[kept]].astype(np.int64)
     rng = np.random.default_rng(3)
     model = Model(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), RANK)))
     at = np.searchsorted(doc, np.arange(n + 1))
@@ -178,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     found = slim.join(F.broadcast(known), "doc_id").mapInArrow(work, "doc_id long, toxic int, terms binary").toArrow()
     found = found.sort_by([("doc_id", "ascending")])
-    each = [np.frombuffer(x, "<u4").astype(np.int64) for x in found.column("terms").to_pylist()]
-    doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    return fit(doc, np.concatenate([*each, np.zeros(0, np.int64)]), (found.column("toxic").to_numpy() > 0).astype(np.int64))
+    terms = found.column("terms").to_pylist()
+    doc = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) // 4 for x in terms])
+    return fit(doc, np.frombuffer(b"".join(terms), "<u4").view(np.int32), found.column("toxic").to_numpy() > 0)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
