@@ -24,6 +24,8 @@ def with_views(sql: str) -> str:
     """The oracle's text with the views it names in front."""
     used = [f"{k} AS ({t})" for k, (t, _) in SOURCES.items() if f" {k}" in sql]
     body = sql.strip()
+    if not used:
+        return body
     if body.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join(used)}, {body[15:]}"
     return f"WITH {', '.join(used)}, {body[5:]}" if body.startswith("WITH ") else f"WITH {', '.join(used)} {body}"

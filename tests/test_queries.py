@@ -7,10 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from karst.plans import queries as plans
+from karst.plans import more as plans
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("lineitem", "orders", "events")
+TABLES = ("lineitem", "orders", "events", "part", "documents")
 
 
 @pytest.fixture(scope="module")
