@@ -221,3 +221,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     named = classes.select("k1", "k2", "rep", "copies").join(linked, "rep", "left").join(roots, "rep", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
     out = rows.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(False)).alias("kept"))
+
+
+#: All pairs by label; equal wherever no link is missed.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.93 * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))),
+r AS (SELECT vec_id AS a, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a WHERE r.root < l.b)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(root) AS component_id, v.vec_id = min(root) AS kept
+FROM v JOIN r ON r.a = v.vec_id GROUP BY v.vec_id
+"""
