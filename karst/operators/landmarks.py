@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import columns as C
 from karst.operators import rasters, stats
+from karst.operators.spatial import near_pairs
 
 MOST_LANDMARKS = 500
 MOST_6DOF = 25
@@ -56,8 +57,10 @@ def voids(cells: DataFrame, res: float, low: tuple[float, float], least: int = 1
 
 def overlaps(holes: DataFrame, factor: float) -> DataFrame:
     """a, b: pairs (a < b) whose ellipses, widened by factor, reach each other."""
-    h = holes.select(F.struct("id", "x", "y", "semi_major", "semi_minor", "orientation").alias("a"))
-    pairs = h.join(h.withColumnRenamed("a", "b"), F.col("a.id") < F.col("b.id"))
+    largest = holes.agg(F.max(F.greatest("semi_major", "semi_minor"))).first()[0]
+    h = holes.select("id", "x", "y", "semi_major", "semi_minor", "orientation")
+    # no two reach further than twice the largest: cells as wide as that
+    pairs = near_pairs(h, h, max(2 * factor * (largest or 0.0), 1e-9), "xy").where("a.id < b.id")
     toward = F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x"))
     r = [C.ellipse_radius(F.col(f"{s}.semi_major"), F.col(f"{s}.semi_minor"), F.col(f"{s}.orientation"), toward) for s in "ab"]
     gap = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
@@ -71,6 +74,10 @@ def gated_pairs(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     equi-join on three bins.
     """
 
+    for d in (a, b):
+        if d.limit(MOST_LANDMARKS + 1).count() > MOST_LANDMARKS:
+            raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
+
     def sides(d: DataFrame, n: str, ordered: bool) -> DataFrame:
         p, q = d.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "x", "y", "z")]), d.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "z")])
         on = F.col("p_id") < F.col("q_id") if ordered else F.col("p_id") != F.col("q_id")
