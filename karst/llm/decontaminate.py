@@ -34,7 +34,7 @@ WINDOW = 10
 #: Positions between documents that hold no term: no span may be longer.
 GAP = 64
 SEGMENT_BYTES = 8_000_000
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of words stay, A-Z become a-z, all others part words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
