@@ -44,8 +44,10 @@ ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd
 FURNITURE = frozenset("nav footer aside form menu dialog button head search fieldset".split())
 #: Words in the names of elements that hold page furniture.
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing shares social related recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar footer footers masthead comment comments commentlist reply replies respond disqus discussion feedback pagination pager paywall disclaimer skip complementary contentinfo".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner banners promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing shares social related recommended recommendations sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar footer footers masthead comment comments commentlist reply replies respond disqus discussion feedback pagination pager paywall disclaimer skip complementary contentinfo".split()
 )
+#: Beside such a word a name tells of furniture elsewhere, as in "no-sidebar".
+ELSEWHERE = frozenset("no not with without has".split())
 HEADERS = frozenset("header headers".split())
 CONTAINERS = frozenset("article main".split())
 CONTAINER_NAMES = frozenset("article articlebody post entry story main content".split())
@@ -153,7 +155,7 @@ def parse(text: str) -> Page:
             continue
         own = _names(attributes) if "=" in attributes else set()
         inside = here.container
-        furniture = here.furniture or name in FURNITURE or bool(own & NAMED and name not in ("body", "html", "article", "main")) or bool(_HIDDEN.search(attributes))
+        furniture = here.furniture or name in FURNITURE or bool(own & NAMED and not own & ELSEWHERE and name not in ("body", "html", "article", "main")) or bool(_HIDDEN.search(attributes))
         if not inside and name not in ("body", "html"):
             furniture = furniture or name == "header" or bool(own & HEADERS)
         container = inside or not furniture and (name in CONTAINERS or bool(own & CONTAINER_NAMES) and name in ("div", "section", "td"))
