@@ -177,6 +177,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     classes = stored(classes.withColumn("space", F.xxhash64("label", F.size("e"))), "classes")
     most = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 1
     code = parameters(most, least)
+    small = TURNS * code[2] ** code[1] < 1 << 31
+    number, arrow = ("int", pa.int32()) if small else ("long", pa.int64())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,16 +189,21 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
                 found = _code(int(dim), *code).decode(_unit(_matrix(batch.column("e").take(pa.array(at)))))
                 for i, f in zip(at.tolist(), found, strict=True):
                     filters[i] = f
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "space", "e")), pa.array(filters, pa.list_(pa.int64()))], ["rep", "copies", "space", "e", "filters"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "space", "e")), pa.array(filters, pa.list_(arrow))], ["rep", "copies", "space", "e", "filters"])
 
-    coded = stored(classes.select("rep", "copies", "space", "e").mapInArrow(decode, f"rep long, copies long, space long, e {kind}, filters array<long>"), "filters")
+    coded = stored(classes.select("rep", "copies", "space", "e").mapInArrow(decode, f"rep long, copies long, space long, e {kind}, filters array<{number}>"), "filters")
     each = coded.select("rep", "copies", "space", "e", "filters", F.explode("filters").alias("f"))
-    groups = coded.select("space", F.explode("filters").alias("f")).groupBy("space", "f").agg(F.count("*").alias("n")).where("n > 1")
-    # groups of one member go; those of more than TILE are dealt in pairs of tiles
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = each.join(groups, ["space", "f"]).withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.least(t, "tile") * 65536 + F.greatest(t, "tile"))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("space", "f", "pair", "tile", "rep", "copies", "e", "filters")
+    # groups of more than TILE are dealt in pairs of tiles; where there are none, no join is needed
+    large = stored(coded.select("space", F.explode("filters").alias("f")).groupBy("space", "f").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large")
+    one = F.lit(0).cast("int")
+    if large.head(1):
+        each = each.join(large, ["space", "f"], "left")
+        tiles = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
+        pair = F.transform(F.sequence(one, tiles - 1), lambda t: F.least(t, "tile") * 65536 + F.greatest(t, "tile"))
+        dealt = each.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("pair", F.explode(pair))
+    else:
+        dealt = each.withColumns({"tile": one, "pair": one})
+    dealt = dealt.select("space", "f", "pair", "tile", "rep", "copies", "e", "filters")
     keys = ["space", "f", "pair"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
