@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def percentiles(c: str, shares: Sequence[float]) -> list[Column]:
-    """Exact percentiles with linear interpolation, named p<percent>."""
-    return [F.percentile(c, q).alias(f"p{round(q * 100)}") for q in shares]
+    """Exact percentiles with linear interpolation, named p<percent>; one aggregate gives them all."""
+    every = F.percentile(c, F.array(*[F.lit(float(q)) for q in shares]))
+    return [F.get(every, F.lit(k)).alias(f"p{round(q * 100)}") for k, q in enumerate(shares)]
 
 
 def moments(c: str) -> list[Column]:
