@@ -216,7 +216,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """The rows of docs with one document of each component: the smallest doc_id, of repeated rows one."""
-    named = _named(docs, radius, words)
+    return first_of_each(docs, _named(docs, radius, words))
+
+
+def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each root; named: doc_id, key, root."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("key").alias("k_text"))
     best = named.groupBy("root").agg(F.min(first).alias("b")).select("b.none", "b.k_id", "b.k_text")
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("k_row"), docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("k_id"), F.xxhash64(docs["text"].cast("string")).alias("k_text"))

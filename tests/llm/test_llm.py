@@ -442,3 +442,38 @@ def test_pipeline_stages_on_the_small_tables(spark):
     some = [r for r in docs.collect() if len(r["text"]) < 3000]
     assert all((r["doc_id"] in left) != hits(r["text"], bench)[4] for r in some)
     assert cp.run(spark, d).select("sequence_id").distinct().count() > 0
+
+
+# near-duplicates of the pipeline
+
+
+def similarity(a, b, k=5):
+    """Jaccard similarity of the sets of k-word shingles; texts without words are alike."""
+    sets = []
+    for t in (a, b):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if x]
+        sets.append({tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_pipeline_near_dedup_against_brute_force_jaccard(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(12)
+    base = [rng.choice([f"W{k}" for k in range(400)], n) for n in (60, 90, 150, 300)]
+    edited = []
+    for b in base:
+        for n in (1, 1, 2, 2, 3, 3, 5, 8):
+            e = b.copy()
+            e[rng.choice(len(e), n, replace=False)] = "new"
+            edited.append(e)
+    hot = [np.concatenate([base[3], rng.choice(["p", "q", "r", "s"], n)]) for n in rng.integers(1, 110, 90)]
+    texts = [*TEXTS, *(" ".join(x) for x in [*base, *edited, *hot]), *(" ".join(x).lower() for x in base)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in links) > 20
+    docs = table(spark, texts)
+    kept = cp.dedup_near(spark, docs.unionAll(docs), "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({*reach(len(texts), links)})
+    assert cp.dedup_near(spark, empty(spark), "").count() == 0
+    assert cp.dedup_near(spark, no_id(spark), "").where("doc_id is null").count() > 0
