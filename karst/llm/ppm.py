@@ -11,8 +11,8 @@ scoring is a few table look-ups a byte.
 Bytes 0xFE (before a text) and 0xFF (its end) occur in no UTF-8 text and serve as
 marks; the end is coded, so probabilities are those of whole texts.
 
-The trie keeps at most MOST_STRINGS strings, those above a count that the counts
-of the whole corpus fix; that bounds what tasks receive.  The word model beside it
+The trie keeps every string, so it grows with the training texts, in the driver and
+in each task; more than these hold fail and are not dropped.  The word model beside it
 counts all words of all training texts; the MOST_WORDS commonest are sent to the
 tasks, and counts of all others are joined.
 
@@ -38,7 +38,6 @@ from karst.llm.decontaminate import word_column
 from karst.llm.simhash import _FOLD
 
 ORDER = 5
-MOST_STRINGS = 2_000_000
 MOST_WORDS = 65_536
 BEFORE, END = 0xFE, 0xFF
 #: All bytes but BEFORE.
@@ -253,10 +252,10 @@ class Trie:
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST_STRINGS) -> Trie:
-    """A trie from all texts of docs; beyond `most` strings, those above the least count that leaves no more."""
+def train(docs: DataFrame, order: int = ORDER, most: int | None = None) -> Trie:
+    """A trie from all strings of docs; if a bound is given, of more than `most` those above the least count that leaves no more."""
     counts = stored(string_counts(docs, order), "strings")
-    if counts.count() > most:
+    if most is not None and counts.count() > most:
         # by descending count, how many strings have it: a few thousand rows
         by = sorted((r["n"], r["k"]) for r in counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("k")).collect())
         total, least = 0, 4097

@@ -241,6 +241,13 @@ def test_ppm_bounds_its_trie(spark):
     assert np.isfinite(small.scores(pa.array(["abc", "zzz", ""]), small.indexes())).all()
 
 
+def test_ppm_keeps_every_string(spark):
+    text = np.random.default_rng(4).integers(33, 127, 2_100_000, dtype=np.uint8).tobytes().decode()
+    found = np.unique(ppm.strings(pa.array([text]), ppm.ORDER)[0])
+    assert len(found) > 2_000_000
+    assert np.array_equal(ppm.train(table(spark, [text]), ppm.ORDER).strings[ppm.ORDER], found)
+
+
 # lines
 
 
