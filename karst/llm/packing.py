@@ -26,7 +26,7 @@ from karst.llm.tokens import as_bytes, encoder
 
 CAPACITY = 2048
 GROUP_ROWS = 16_384
-AT_ONCE = 4_000_000
+AT_ONCE = 8_000_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 

@@ -1,15 +1,18 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of words.
 
-The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`.  A BPE
-never joins symbols over the start of a run of white space, so texts are parted
-there by Arrow's kernels, each distinct word goes through the tokenizer once for
-a Python worker, and the ids are gathered with NumPy.  Texts with other white
-space than single blanks and line feeds take a slower way, chunk by chunk.
+The ids are those of `Tokenizer.encode(text, add_special_tokens=False)` of the file
+as loaded.  A BPE never joins symbols over the start of a run of white space, so
+texts are parted there by Arrow's kernels, each distinct word of a slice goes
+through the tokenizer once, and the ids are gathered with NumPy.  Words that came
+more than once in a slice are kept for later slices, MOST_WORDS of them: put before
+a slice's words, they get the first numbers of its dictionary, so no word is looked
+up from Python.  Texts with other white space than single blanks and line feeds
+take a slower way, chunk by chunk, and texts that hold an added token's text go
+through the tokenizer whole.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -19,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 500_000
-AT_ONCE = 4_000_000
-#: New words encoded in one text.
-AT_A_TIME = 16_384
+MOST_WORDS = 300_000
+AT_ONCE = 8_000_000
+#: New words encoded in one text, and texts handed to the tokenizer at once.
+IN_A_TEXT, TEXTS = 256, 64
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Texts that the fast way cannot take: odd or doubled white space, white space at an end, and \x01, which parts words in _learn.
@@ -35,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -52,49 +54,54 @@ class Encoder:
             (self.mark,) = self._whole("\x01")
         else:
             self.kind = "other"
-        self.row: dict[str, int] = {}
-        self.ends = np.zeros(1, np.int64)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.added = f"(?i){'|'.join(added)}" if added else None
+        self.known = pa.array([], pa.large_string())
+        self.size = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.uint32)
 
     def _whole(self, s: str) -> np.ndarray:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _add(self, words: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
-        """Words whose ids stand at ids[start:stop]."""
-        if not words:
-            return
-        n = stops - starts
-        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
-        self.store = np.concatenate([self.store, ids[_spread(starts, n)]])
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one text each kind: a blank or line feed before a word shows where its ids begin."""
+    def _texts(self, texts: list[str]) -> np.ndarray:
+        """The ids of all texts, one after the other."""
+        found = [np.zeros(0, np.uint32)]
+        for i in range(0, len(texts), TEXTS):
+            found += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts[i : i + TEXTS], add_special_tokens=False)]
+        return np.concatenate(found)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each after the other, and how many each has: many words make a text, and a mark, blank or line feed shows where one's ids end or begin."""
         if self.kind == "word":
-            ids = self._whole(" \x01 ".join(words))
-            at = np.flatnonzero(ids == self.mark)
-            self._add(words, ids, np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]))
-            return
-        for fed in (True, False):
-            some = [w for w in words if (w[0] == "\n") == fed]
-            if some:
-                ids = self._whole("".join(some) if fed else " " + " ".join(some))
-                at = np.flatnonzero(ids == self.feed if fed else self.opens[ids])
-                self._add(some, ids, at, np.concatenate([at[1:], [len(ids)]]))
+            every = words.to_pylist()
+            ids = self._texts([" \x01 ".join(every[i : i + IN_A_TEXT]) + " \x01" for i in range(0, len(every), IN_A_TEXT)])
+            marks = ids == self.mark
+            return ids[~marks], np.diff(np.flatnonzero(marks) - np.arange(len(every)), prepend=0)
+        fed = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        size, parts = np.zeros(len(words), np.int64), []
+        for kind in (True, False):
+            some = words.filter(pa.array(fed == kind)).to_pylist()
+            ids = self._texts([("" if kind else " ") + ("" if kind else " ").join(some[i : i + IN_A_TEXT]) for i in range(0, len(some), IN_A_TEXT)])
+            at = np.flatnonzero(ids == self.feed if kind else self.opens[ids])
+            size[fed == kind] = np.diff(at, append=len(ids))
+            parts.append((ids, at))
+        if not len(parts[0][0]):
+            return parts[1][0], size
+        starts = np.zeros(len(words), np.int64)
+        starts[fed], starts[~fed] = parts[0][1], parts[1][1] + len(parts[0][0])
+        return np.concatenate([parts[0][0], parts[1][0]])[_spread(starts, size)], size
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none) one after the other, and where each text's ids begin, with the end of the last."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         parts, counts, i = [np.zeros(0, np.uint32)], [], 0
-        gc.disable()  # it would walk all cached words again and again
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + AT_ONCE, "right")))
             ids, n = self._some(texts.slice(i, j - i))
             parts.append(ids)
             counts.append(n)
             i = j
-        gc.enable()
         pa.default_memory_pool().release_unused()
         return np.concatenate(parts), np.concatenate([[0], *counts]).astype(np.int64).cumsum()
 
@@ -106,6 +113,8 @@ class Encoder:
             each = [self._whole(t) for t in texts.to_pylist()]
             return np.concatenate(each), np.array([len(x) for x in each])
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        odd = odd | whole
         plain = texts.filter(pa.array(~odd))
         ids, n = self._plain(plain) if len(plain) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if not odd.any():
@@ -115,8 +124,8 @@ class Encoder:
         end, parts, at = np.concatenate([[0], n.cumsum()]), [], 0
         kept: dict[str, np.ndarray] = {}
         for i, t in zip(np.flatnonzero(odd).tolist(), texts.filter(pa.array(odd)).to_pylist(), strict=True):
-            own = []
-            for c in _CHUNK.findall(t):
+            own = [self._whole(t)] if whole[i] else []
+            for c in () if whole[i] else _CHUNK.findall(t):
                 if len(c) >= 200 or c not in kept:
                     kept[c[:200]] = x = self._whole(c)
                 own.append(kept[c] if len(c) < 200 else x)
@@ -134,23 +143,24 @@ class Encoder:
         else:
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
-        coded = lists.values.dictionary_encode() if lists.offset == 0 else lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.row]
-        full = len(self.row) >= MOST_WORDS  # then the words met first, the commonest, stay, and others are held for this call
-        size = len(self.row), len(self.store)
-        for i in range(0, len(new), AT_A_TIME):
-            self._learn(new[i : i + AT_A_TIME])
-        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        starts = self.ends[rows]
-        n = self.ends[rows + 1] - starts
+        had = len(self.known)
+        coded = pa.concat_arrays([self.known, lists.flatten()]).dictionary_encode()
+        new = coded.dictionary.slice(had)
+        ids, size = self._learn(new)
+        place = coded.indices.to_numpy()[had:]
+        store, sizes = np.concatenate([self.store, ids]), np.concatenate([self.size, size])
+        starts = sizes.cumsum() - sizes
+        n = sizes[place]
         offsets = lists.offsets.to_numpy()
         counts = np.add.reduceat(n, (offsets - offsets[0])[:-1])
-        ids = self.store[_spread(starts, n)]
-        if full:
-            for w in new:
-                del self.row[w]
-            self.ends, self.store = self.ends[: size[0] + 1], self.store[: size[1]]
+        if had < MOST_WORDS:
+            again = np.bincount(place, minlength=len(sizes))[had:]
+            best = np.flatnonzero(again > 1)
+            best = best[np.argsort(-again[best], kind="stable")[: MOST_WORDS - had]]
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(best))])
+            self.store = np.concatenate([self.store, store[_spread(starts[had + best], size[best])]])
+            self.size = np.concatenate([self.size, size[best]])
+        ids = store[_spread(starts[place], n)]
         if byte:  # the line feed put before each text
             keep = np.ones(len(ids), bool)
             keep[np.concatenate([[0], counts.cumsum()[:-1]])] = False
