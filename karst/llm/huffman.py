@@ -1,10 +1,16 @@
 """Token ids as canonical length-limited Huffman codes, in independent blocks.
 
-Files are Parquet tables in the shared folder, with a row for each block, so that
-Spark's commit protocol holds when tasks are lost and any store that Spark knows
-will do.  A block is one binary record (little-endian):
+An output is a folder of three Parquet tables, so that Spark's commit protocol holds
+when tasks are lost and any store that Spark knows will do; it can be read without
+anything else:
 
-    magic "KHF1", u32 documents, u64 ids, u64 ids of all blocks before, u32 step, u32 marks
+    codes   id, length                 the codebook
+    ranges  part, before               ids before each range of doc_ids
+    blocks  part, at, block            ids of the range before each block, and the block
+
+A block is one binary record (little-endian):
+
+    magic "KHF2", u32 documents, u64 ids, u32 step, u32 marks
     i64 doc_id * documents, u8 (1: doc_id is null) * documents, u32 ids * documents
     u64 bit offset * marks     one for every `step` ids: where decoding can begin
     code bits, first bit highest, padded with zero bytes
@@ -13,14 +19,18 @@ Codes come from global counts by package-merge, at most LONGEST bits; lengths
 alone fix the canonical codes, so the codebook is (id, length) rows.  Decoding
 looks LONGEST bits up in one table and goes on from all marks of a block at once.
 
+Ranges are parted at about every RANGE_ROWS-th doc_id; a doc_id (or none) that fills
+several ranges is dealt over them by a hash of its rows.
+
 Defined results: a null text counts as empty (only its end id); null doc_ids come
-first; rows with the same doc_id are all kept, ordered by their ids' checksum; an
-empty table makes no blocks; other columns are ignored.
+first; rows with the same doc_id are all kept, in an order of their own; an empty
+table makes no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,19 +38,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import slices, stored
+from karst.llm.common import shared_dir, slices, stored
 from karst.llm.tokens import as_bytes, encoder
 
 LONGEST = 20
 STEP = 256
 BLOCK_IDS = 1 << 17
 #: A range of doc_ids is one task's share of the output; about so many documents.
-RANGE_ROWS = 8192
+RANGE_ROWS = 16_384
+#: Up to so many ranges, the ids before each are sent to all tasks that read (16 bytes each).
+MOST_SENT = 1_000_000
 AT_ONCE = 4_000_000
-_HEAD = struct.Struct("<4sIQQII")
+_HEAD = struct.Struct("<4sIQII")
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -146,12 +158,12 @@ class Decoder:
         return out.ravel()[:n]
 
 
-def _block(ids: list[np.ndarray], docs: list[int | None], before: int, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def _block(ids: list[np.ndarray], docs: list[int | None], lengths: np.ndarray, codes: np.ndarray) -> bytes:
     every = np.concatenate(ids)
     bits, marks = write_bits(every, lengths, codes, STEP)
     return b"".join(
         [
-            _HEAD.pack(b"KHF1", len(docs), len(every), before, STEP, len(marks)),
+            _HEAD.pack(b"KHF2", len(docs), len(every), STEP, len(marks)),
             np.array([d or 0 for d in docs], "<i8").tobytes(),
             np.array([d is None for d in docs], "u1").tobytes(),
             np.array([len(x) for x in ids], "<u4").tobytes(),
@@ -161,10 +173,10 @@ def _block(ids: list[np.ndarray], docs: list[int | None], before: int, lengths:
     )
 
 
-def read_block(block: bytes, decoder: Decoder) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """doc_ids, ids of each, all ids, ids of all blocks before."""
-    magic, docs, n, before, step, marks = _HEAD.unpack_from(block)
-    if magic != b"KHF1":
+def read_block(block: bytes, decoder: Decoder) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, ids of each, all ids."""
+    magic, docs, n, step, marks = _HEAD.unpack_from(block)
+    if magic != b"KHF2":
         raise ValueError("not a block of token ids")
     at = _HEAD.size
     names = np.frombuffer(block, "<i8", docs, at)
@@ -173,36 +185,46 @@ def read_block(block: bytes, decoder: Decoder) -> tuple[list[int | None], np.nda
     at += 13 * docs
     offsets = np.frombuffer(block, "<u8", marks, at)
     ids = decoder.read_bits(block[at + 8 * marks :], offsets, n, step)
-    return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], sizes, ids, before
+    return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], sizes, ids
 
 
-@dataclass
-class TokenFiles:
-    """Blocks and codebook of one output; both are tables in the shared folder."""
+def _cuts(docs: DataFrame, rows: int) -> np.ndarray:
+    """doc_ids at every `rows`-th row, about; one that fills several ranges stands several times."""
+    parts = max(1, docs.count() // rows)
+    if parts == 1:
+        return np.zeros(0, np.int64)
+    at = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_FIRST)), [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0]
+    return np.array(at or [], np.int64)
 
-    blocks: DataFrame
-    lengths: np.ndarray
 
+_FIRST = -(1 << 63)
+
+
+def _ranges(doc_id: np.ndarray, salt: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    low, high = (np.searchsorted(cuts, doc_id, side) for side in ("left", "right"))
+    share = (salt.view(np.uint64) >> np.uint64(11)) / (1 << 53)
+    return np.where(high > low, low + 1 + (share * (high - low)).astype(np.int64), low).astype(np.int32)
 
-def _boundaries(docs: DataFrame, rows: int) -> np.ndarray:
-    """doc_ids that part the table into ranges of about `rows` rows; their number follows the table's, a range's size does not."""
-    n = docs.count()
-    parts = max(1, n // rows)
-    if parts == 1:
-        return np.zeros(0, np.int64)
-    at = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0]
-    return np.unique(np.array(at or [], np.int64))
 
+def _running(sums: DataFrame) -> DataFrame:
+    """part, before: sums of n over all smaller parts, by thousands of parts first."""
+    some = sums.withColumn("some", F.floor(F.col("part") / 4096))
+    whole = some.groupBy("some").agg(F.sum("n").alias("n")).select("some", (F.sum("n").over(Window.orderBy("some")) - F.col("n")).alias("whole"))
+    own = F.sum("n").over(Window.partitionBy("some").orderBy("part")) - F.col("n")
+    return some.join(whole, "some").select("part", (F.col("whole") + own).alias("before"))
 
-def write_documents(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
-    """Encode every text, append end_id, and write all ids in ascending doc_id order.
 
-    Each text is encoded once: its ids go as 16-bit numbers where the vocabulary
-    allows, in a range of doc_ids to a task, into a table; that gives the counts,
-    and then the blocks.
+def write_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, range_rows: int = RANGE_ROWS) -> str:
+    """Encode every text, append end_id, and write all ids in ascending doc_id order; the folder written.
+
+    Each text is encoded once and its ids are dealt once: as 16-bit numbers where the
+    vocabulary allows, in a range of doc_ids to a task, into a table.  That gives the
+    counts, and then, without another shuffle, the blocks.
     """
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = _boundaries(slim.select("doc_id"), RANGE_ROWS)
+    cuts = _cuts(slim.select("doc_id"), range_rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -212,20 +234,24 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
             first = 0
             for texts in slices(batch.column("text"), AT_ONCE):
                 ids, at = enc.encode_column(texts)
-                column = batch.column("doc_id").slice(first, len(texts))
+                column, salt = (batch.column(c).slice(first, len(texts)) for c in ("doc_id", "salt"))
                 first += len(texts)
-                part = np.searchsorted(cuts, column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+                part = _ranges(column.fill_null(_FIRST).to_numpy(zero_copy_only=False), salt.to_numpy(), cuts)
                 ended = np.insert(ids, at[1:], end_id).astype("<u4" if wide else "<u2")
                 at = at + np.arange(len(at))
                 raw, unit = ended.tobytes(), ended.itemsize
                 packed = [squeeze(raw[unit * a : unit * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), column, pa.array(np.diff(at)), pa.array(np.full(len(texts), unit, np.int32)), pa.array(packed, pa.binary())],
-                    ["part", "doc_id", "n", "unit", "ids"],
+                    [pa.array(part), column, salt, pa.array(np.diff(at)), pa.array(np.full(len(texts), unit, np.int32)), pa.array(packed, pa.binary())],
+                    ["part", "doc_id", "salt", "n", "unit", "ids"],
                 )
 
-    coded = slim.mapInArrow(encode, "part int, doc_id long, n long, unit int, ids binary")
-    coded = stored(coded.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "n", F.crc32("ids")), "ids")
+    salted = slim.withColumn("salt", F.xxhash64("text", F.monotonically_increasing_id()))
+    coded = salted.mapInArrow(encode, "part int, doc_id long, salt long, n long, unit int, ids binary").repartition(len(cuts) + 1, "part")
+    here = Window.partitionBy("part").orderBy("doc_id", "salt")
+    placed = coded.withColumn("at", F.sum("n").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    coded = stored(placed.select("part", "at", "doc_id", "n", "unit", "ids"), "ids")
+    _running(coded.groupBy("part").agg(F.sum("n").alias("n"))).coalesce(1).write.parquet(f"{path}/ranges")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, widen = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
@@ -242,57 +268,60 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
     lengths = code_lengths(counts, LONGEST)
-    sizes = np.zeros(len(cuts) + 2, np.int64)
-    for r in coded.groupBy("part").agg(F.sum("n").alias("n")).collect():  # a row for each range
-        sizes[r["part"] + 1] = r["n"]
-    before = sizes.cumsum()
+    used = np.flatnonzero(lengths).tolist()
+    spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, out, held, size = canonical(lengths), [], [[], []], 0
-        part, at, widen = None, 0, zstandard.ZstdDecompressor().decompress
+        encoder.cache_clear()  # a worker that has encoded holds its words no longer
+        codes, out, docs_of, ids, size, head = canonical(lengths), [], [], [], 0, None
+        widen = zstandard.ZstdDecompressor().decompress
 
         def flush():
-            nonlocal held, at, size
-            if held[0]:
-                n = size
-                out.append((part, at, _block(held[1], held[0], at, lengths, codes)))
-                at += n
-                held, size = [[], []], 0
+            nonlocal docs_of, ids, size
+            if docs_of:
+                out.append((*head, _block(ids, docs_of, lengths, codes)))
+                docs_of, ids, size = [], [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in out], pa.int32()), "at": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "unit", "ids")), strict=True):
-                if row[0] != part:
-                    flush()
-                    part, at = row[0], int(before[row[0]])
-                held[0].append(row[1])
-                held[1].append(np.frombuffer(widen(row[3]), f"<u{row[2]}"))
-                size += len(held[1][-1])
-                if size >= BLOCK_IDS:
+            for part, at, doc, unit, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "unit", "ids")), strict=True):
+                # a file of the table may be read in pieces, and several files by one task: a block holds neighbours only
+                if docs_of and (part != head[0] or at != head[1] + size or size >= BLOCK_IDS):
                     flush()
+                if not docs_of:
+                    head = (part, at)
+                docs_of.append(doc)
+                ids.append(np.frombuffer(widen(raw), f"<u{unit}"))
+                size += len(ids[-1])
             if len(out) > 16:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in out], pa.int32()), "before": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
+                yield done()
                 out.clear()
         flush()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in out], pa.int32()), "before": pa.array([x[1] for x in out], pa.int64()), "block": pa.array([x[2] for x in out], pa.binary())})
+        yield done()
 
-    # a task keeps its ranges in order, as the table it reads was written by range
-    whole = coded.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "n", F.crc32("ids"))
-    blocks = stored(whole.mapInArrow(write, "part int, before long, block binary"), "blocks")
-    return TokenFiles(blocks, lengths)
+    coded.mapInArrow(write, "part int, at long, block binary").write.parquet(f"{path}/blocks")
+    return path
 
 
-def read_documents(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the blocks alone."""
-    lengths = files.lengths
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of the folder alone."""
+    rows = spark.read.parquet(f"{path}/codes").collect()  # at most a row for each id of the vocabulary
+    lengths = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.uint8)
+    lengths[[r["id"] for r in rows]] = [r["length"] for r in rows]
+    ranges = spark.read.parquet(f"{path}/ranges")
+    ranges = F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder.of(lengths)
         for batch in batches:
-            for block in batch.column("block").to_pylist():
-                docs, sizes, ids, before = read_block(block, decoder)
+            for block, before in zip(batch.column("block"), batch.column("before").to_pylist(), strict=True):
+                docs, sizes, ids = read_block(block.as_py(), decoder)
                 ends = sizes.cumsum()
                 raw = as_bytes(ids)
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(before + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.blocks.select("block").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    blocks = spark.read.parquet(f"{path}/blocks").join(ranges, "part").select((F.col("before") + F.col("at")).alias("before"), "block")
+    return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from karst.llm import capfilters, decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
 from karst.llm.common import read_table
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("KARST_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +53,7 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = huffman.write_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
-    return huffman.read_documents(spark, files)
+    return huffman.read_documents(spark, huffman.write_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
