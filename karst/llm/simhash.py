@@ -3,14 +3,18 @@
 Two fingerprints that differ in at most R bits agree in at least one of R + 1
 groups of bits, and in at least k of R + k.  A shard holds the distinct
 fingerprints that agree in one choice of k groups, so every link lies inside some
-shard.  k follows the number of fingerprints, so that shards of unrelated ones
-stay small.  Each shard gets a BK-tree: a node's children are keyed by their
-integer Hamming distance to it, and a search follows only the edges within R of
-its own distance.  The trees are not broadcast whole, as they grow with the
-corpus: a shard's tree lives in the task that holds the shard.
-
-Only what connects a shard's fingerprints leaves it (a row for each at most), and
-copies share one fingerprint, so a large group of copies makes no pairs.
+shard.  The groups are as narrow as keeps shards of unrelated fingerprints near
+SHARD, so the search is the trees': each shard gets a BK-tree, a node's children
+are keyed by their integer Hamming distance to it, and a search follows only the
+edges within R of its own distance.  The trees are not broadcast whole, as they
+grow with the corpus: a shard's tree lives in the task that holds the shard.
+
+The trees of a task's shards are built and searched together, level by level, as
+arrays.  On the way down a fingerprint is linked to every ancestor within R; where
+that joins most of a shard (near copies), only what is outside its largest part is
+searched for, so such a shard takes no time that grows as its square.  Only what
+connects a shard's fingerprints leaves it (a row for each at most), and copies share
+one fingerprint, so a large group of copies makes no pairs.
 
 Defined results: null and empty texts have the fingerprint zero and are linked
 like any other; repeated rows are each reported; a null doc_id is kept and never a
@@ -31,14 +35,15 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import group_starts, stored, whole_groups
 from karst.llm.components import connected_components
-from karst.llm.decontaminate import word_column
+from karst.llm.decontaminate import spread, word_column
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Shards of unrelated fingerprints shall hold about so many at most.
-SHARD = 64
-LEAF = 48
+SHARD = 512
+#: Fingerprints whose trees are built together, and (searched, node) steps taken together, about.
+TOGETHER, STEPS = 40_000, 2_000_000
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
 
 
@@ -85,12 +90,15 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
 
 def shard_masks(n: int, radius: int) -> list[int]:
-    """The choices of bit groups for n fingerprints, as masks."""
+    """The choices of bit groups for n fingerprints, as masks; one shard where they are few."""
+    bits = max(0, (max(n, 1) - 1) // SHARD).bit_length()
+    if not bits:
+        return [0]
     k = 1
-    while k < 4 and n / 2 ** (64 * k / (radius + k)) > SHARD:
+    while k < 4 and bits > k * (64 // (radius + k)):
         k += 1
-    cuts = [64 * i // (radius + k) for i in range(radius + k + 1)]
-    groups = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    width = min(64 // (radius + k), -(-bits // k))
+    groups = [((1 << width) - 1) << 64 * i // (radius + k) for i in range(radius + k)]
     return [sum(c) for c in combinations(groups, k)]
 
 
@@ -115,68 +123,116 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-class BKTree:
-    """fp[members] as a tree; parts of at most LEAF members stay unsplit and are compared one by one."""
-
-    def __init__(self, fp: np.ndarray, members: np.ndarray):
-        self.root = self.pivot = None
-        self.rest = members
-        self.children: dict[int, BKTree] = {}
-        if len(members) > LEAF:
-            self.pivot, rest = members[0], members[1:]
-            d = np.bitwise_count(fp[rest] ^ fp[self.pivot])
-            order = np.argsort(d, kind="stable")
-            edges, first = np.unique(d[order], return_index=True)
-            for e, part in zip(edges.tolist(), np.split(rest[order], first[1:]), strict=True):
-                # what lies at one distance of all its members' pivots would split no more: leave it a leaf
-                self.children[e] = BKTree(fp, part)
-            self.rest = members[:0]
-
-    def search(self, fp: np.ndarray, asked: np.ndarray, radius: int, forest: Forest) -> None:
-        """Join every asked member with all members of this tree within radius; distinct fingerprints keep the tree finite."""
-        if self.pivot is None:
-            for i in range(0, len(asked), 1 << 14):
-                some = asked[i : i + (1 << 14)]
-                a, b = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[self.rest][None, :]) <= radius)
-                forest.join(some[a], self.rest[b])
-            return
-        d = np.bitwise_count(fp[asked] ^ fp[self.pivot]).astype(np.int64)
-        near = asked[d <= radius]
-        forest.join(near, np.full(len(near), self.pivot))
-        for e, child in self.children.items():
-            some = asked[np.abs(d - e) <= radius]
-            if len(some):
-                child.search(fp, some, radius, forest)
-
-
-def _small(fp: np.ndarray, starts: np.ndarray, n: np.ndarray, radius: int, forest: Forest) -> None:
-    """All pairs inside each small shard (a tree that is one leaf), by distance in the sorted order."""
-    most, at = int(n.max(initial=1)), np.repeat(np.arange(len(n)), n)
-    place = np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)
-    rows = np.repeat(starts, n) + place
-    for k in range(1, most):
-        a = rows[place + k < n[at]]
-        hit = a[np.bitwise_count(fp[a] ^ fp[a + k]) <= radius]
-        forest.join(hit, hit + k)
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of one or more 64-bit words."""
+    d = np.bitwise_count(x ^ y)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(axis=1, dtype=np.int64)
+
+
+class BKTrees:
+    """A BK-tree for each shard, over rows of code in shard order; a shard's first row is its root.
+
+    parent and edge (the distance to it) of each row; near: (row, ancestor within
+    radius), all of them, nearest the root first.  Of rows with equal codes the first
+    is a node; the others are its twins, at twins[twin_ends[node] : twin_ends[node + 1]].
+    """
+
+    def __init__(self, code: np.ndarray, starts: np.ndarray, radius: int):
+        n = len(code)
+        self.code, self.radius, self.bits = code, radius, 64 * (1 if code.ndim == 1 else code.shape[1])
+        self.root = np.repeat(starts[:-1], np.diff(starts))
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        here, left, near, twin_of = self.root.copy(), np.arange(n), [], np.full(n, -1)
+        left = left[left != here]
+        while len(left):
+            d = distances(code[left], code[here[left]])
+            close = d <= radius
+            near.append((left[close], here[left[close]]))
+            key, first, which = np.unique(here[left] * (self.bits + 1) + d, return_index=True, return_inverse=True)
+            child = left[first]
+            new, twin = left == child[which], d == 0
+            self.parent[left[new & ~twin]], self.edge[left[new & ~twin]] = here[left[new & ~twin]], d[new & ~twin]
+            twin_of[left[twin]] = here[left[twin]]
+            here[left] = child[which]
+            left = left[~new & ~twin]
+        self.near = tuple(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in zip(*near, strict=True)) if near else (np.zeros(0, np.int64),) * 2
+        twins = np.flatnonzero(twin_of >= 0)
+        self.twins = twins[np.argsort(twin_of[twins], kind="stable")]
+        self.twin_ends = np.append(0, np.bincount(twin_of[twins], minlength=n).cumsum()) if n else np.zeros(1, np.int64)
+        self.children = np.flatnonzero(self.parent >= 0)
+        self.children = self.children[np.lexsort((self.edge[self.children], self.parent[self.children]))]
+        inner, count = np.unique(self.parent[self.children], return_counts=True)
+        self.number = np.full(n, -1)
+        self.number[inner] = np.arange(len(inner))
+        # at[i, e]: the first child of inner node i with an edge of e or more
+        table = np.bincount(self.number[self.parent[self.children]] * (self.bits + 2) + self.edge[self.children] + 1, minlength=len(inner) * (self.bits + 2))
+        self.at = table.reshape(len(inner), self.bits + 2).cumsum(axis=1) + (count.cumsum() - count)[:, None]
+
+    def search(self, asked: np.ndarray, earlier: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(asked row, row of its shard within the radius); earlier: only rows before the asked one."""
+        size = np.bincount(self.root, minlength=len(self.root))[self.root[asked]] if len(asked) else asked
+        cut = np.searchsorted(size.cumsum(), np.arange(1, int(size.sum()) // STEPS + 1) * STEPS)
+        for some in np.split(asked, cut):
+            q, v = some, self.root[some]
+            while len(q):
+                if earlier:  # a node stands before all below it
+                    keep = v < q
+                    q, v = q[keep], v[keep]
+                d = distances(self.code[q], self.code[v])
+                hit = (d <= self.radius) & (v != q)
+                yield q[hit], v[hit]
+                i = self.number[v]
+                inner = i >= 0
+                q, d, i = q[inner], d[inner], i[inner]
+                low = self.at[i, np.maximum(d - self.radius, 0)]
+                n = self.at[i, np.minimum(d + self.radius, self.bits) + 1] - low
+                q, v = np.repeat(q, n), self.children[spread(low, n)]
 
 
 def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is within radius inside each shard; rows of a shard stand together."""
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(fp) else np.zeros(0, np.int64)
-    n = np.diff(np.append(starts, len(fp)))
-    forest = Forest(len(fp))
-    small = (n > 1) & (n <= LEAF)
-    _small(fp, starts[small], n[small], radius, forest)
-    for s, m in zip(starts[n > LEAF].tolist(), n[n > LEAF].tolist(), strict=True):
-        members = np.arange(s, s + m)
-        tree = BKTree(fp, members)
-        for i in range(0, m, 1 << 12):
-            tree.search(fp, members[i : i + (1 << 12)], radius, forest)
+    starts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(fp)) if len(fp) else np.zeros(1, np.int64)
+    forest, i = Forest(len(fp)), 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
+        _link_trees(fp, starts[i : j + 1], radius, forest)
+        i = j
     top = forest.top(np.arange(len(fp)))
     linked = np.flatnonzero(top != np.arange(len(fp)))
     return fp[linked], fp[top[linked]]
 
 
+def _link_trees(fp: np.ndarray, starts: np.ndarray, radius: int, forest: Forest) -> None:
+    first, own = int(starts[0]), starts - starts[0]
+    trees = BKTrees(fp[first : int(starts[-1])], own, radius)
+    forest.join(trees.near[0] + first, trees.near[1] + first)
+    everyone = np.arange(int(own[-1]))
+    outside, dense = outside_largest(forest.top(everyone + first), trees.root)
+    for asked, earlier in ((everyone[~dense], True), (everyone[outside & dense], False)):
+        for q, v in trees.search(asked, earlier):
+            forest.join(q + first, v + first)
+
+
+def outside_largest(part: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: whether it is outside the largest part of its shard, and whether that part holds over half of the shard."""
+    n = len(part)
+    if not n:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order = np.lexsort((part, shard))
+    new = np.concatenate([[True], (part[order][1:] != part[order][:-1]) | (shard[order][1:] != shard[order][:-1])])
+    run = np.empty(n, np.int64)
+    run[order] = new.cumsum() - 1
+    size = np.bincount(run)
+    of = shard[order][new]  # the shard of each run
+    best = np.lexsort((size, of))
+    last = best[np.append(of[best][1:] != of[best][:-1], True)]
+    largest = np.full(int(shard.max()) + 1, -1)
+    largest[of[last]] = last
+    total = np.bincount(shard, minlength=len(largest))
+    mine = largest[shard]
+    return run != mine, 2 * size[mine] > total[shard]
+
+
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """a, b: links (all within radius, or through others that are) that connect the distinct fingerprints fp as all links do."""
     masks = shard_masks(n, radius)

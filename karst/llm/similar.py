@@ -1,24 +1,29 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of five-word shingles.
-
-64 SimHash bits can not stand for a similarity of 0.8: such texts differ in about
-ten bits or more, and no choice of bit groups both holds them together and parts
-the rest.  Candidates come from minima of the sets under BANDS x ROWS hashes
-instead; texts of similarity s share a band with 1 - (1 - s^ROWS)^BANDS, that is
-0.9999 at 0.8, and more above.  Only pairs whose exact similarity is SIMILAR or
-more are linked.
-
-Texts with the same set are one node, so copies make no pairs.  In each band's
-bucket the nodes are first compared with a few hubs, which joins a large group of
-near copies by a number of pairs that grows as its size; after that every pair of
-a bucket that is not yet in one component is compared, but for those that their
-parities rule out: the parities of a set's hashes in 1,024 places differ between
-two sets in no more places than the sets have elements apart, so no link is lost.  Texts of fewer than five
-words have one shingle, all their words; those without words are alike.
+"""SimHash near-duplicates with an exact Jaccard similarity of their five-word shingles.
+
+One 64-bit fingerprint within a few bits can not stand for a similarity of 0.8: sets
+so alike differ in every bit with a chance of arccos(2s / (1 + s)) / pi = 0.15, in
+about ten of 64.  So each set of shingles gets several SimHash fingerprints, and
+shards are choices of a few of their bits, as many choices as let no more than MISS
+of the pairs at 0.8 escape all (of closer ones fewer).  Each shard is a BK-tree over
+the first 128 bits, searched within RADIUS by following only edges in reach, and
+the pairs found are linked if their exact similarity is SIMILAR or more.
+
+Texts with the same set are one node, so copies make no pairs.  Where a shard holds
+so many close nodes that its pairs would grow as its square, each node is at first
+compared only with the ancestor nearest the root that is in reach; then, from what
+is outside the shard's largest component, all pairs in reach of different components
+are compared, but for those that their parities rule out: the parities of a set's
+hashes in PLACES places differ between two sets in no more places than the sets have
+elements apart.  So no link between components is lost to a shard's size.
+
+Texts of fewer than five words have one shingle, all their words; those without
+words are alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import slices, stored
+from karst.llm.common import group_starts, slices, stored, whole_groups
 from karst.llm.components import connected_components
-from karst.llm.decontaminate import word_column
-from karst.llm.simhash import _FOLD, SEED, first_of_each
+from karst.llm.decontaminate import spread, word_column
+from karst.llm.simhash import _FOLD, SEED, TOGETHER, BKTrees, first_of_each, outside_largest
 
 WORDS = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 5
-#: Nodes of a bucket that share a hub, about.
-HUB = 32
-#: How often the nodes of a bucket with several hubs are dealt to them.
-TURNS = 3
+#: Share of the pairs at the least similarity that no shard may bring together.
+MISS = 0.005
+#: Nodes of a shard of unrelated ones, about, and the most bits that shards agree in.
+SHARD, MOST_BITS = 1024, 14
+#: Of 128 bits; sets at the least similarity differ in 19 on average, with a deviation of 4, unrelated ones in 64 of 6.
+RADIUS = 34
+#: Pairs of a shard, against its nodes, beyond which it is searched in two rounds.
+DENSE = 16
 PLACES = 1024
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For each byte a number with its bits as the lowest bits of eight bytes.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +57,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def choices(n: int) -> list[tuple[int, int, int]]:
+    """For n nodes the choices of bits that make a shard: fingerprint, first bit, bits."""
+    width = min(MOST_BITS, (max(0, n - 1) // SHARD).bit_length())
+    if not width:
+        return [(0, 0, 0)]
+    agree = 1 - acos(2 * SIMILAR / (1 + SIMILAR)) / pi
+    groups, each = ceil(log(MISS) / log(1 - agree**width)), 64 // width
+    return [(g // each, g % each * width, width) for g in range(groups)]
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes."""
     column, counts = word_column(texts, _FOLD)
@@ -71,15 +90,27 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         at += n
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of the minima."""
-    least = np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(shingles), 2048):
-        np.minimum(least, (_FACTORS[:, None] * shingles[None, i : i + 2048]).min(axis=1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = _mix(key + row)
-    return key
+def fingerprints_of(sets: list[np.ndarray], number: int) -> np.ndarray:
+    """So many 64-bit SimHash fingerprints of each set (a row); zero for an empty one.
+
+    A byte of a hash is looked up as eight counters of a byte each; sums of up to 255
+    hashes do not overflow them.
+    """
+    out = np.zeros((len(sets), number), np.uint64)
+    size = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    every, size = np.concatenate([sets[i] for i in some]), size[some]
+    parts = -(-size // 255)
+    first = parts.cumsum() - parts
+    starts = np.repeat(size.cumsum() - size, parts) + 255 * spread(np.zeros(len(size), np.int64), parts)
+    for f in range(number):
+        raw = _mix(every + np.uint64((f + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.stack([np.add.reduceat(_LANES[raw[:, k]], starts).astype("<u8").view(np.uint8).reshape(-1, 8) for k in range(8)], axis=1)
+        ones = np.add.reduceat(ones.reshape(-1, 64), first, axis=0, dtype=np.int64)
+        out[some, f] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -91,21 +122,23 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), node (of the set), size (of the set), bands (their keys), odd (its parities)."""
+def sketches(docs: DataFrame, number: int) -> DataFrame:
+    """doc_id, key (a hash of the text), node (of the set), size (of the set), prints (its fingerprints), odd (its parities)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text"), 4_000_000):
-                rows = [(_node(s), len(s), band_keys(s).view(np.int64) if len(s) else [], parities(s)) for s in shingle_sets(texts)]
-                node, size, bands, odd = (list(x) for x in zip(*rows, strict=True))
-                columns = [batch.column("doc_id").slice(at, len(texts)), batch.column("key").slice(at, len(texts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "size", "bands", "odd"])
+                sets = list(shingle_sets(texts))
+                prints = fingerprints_of(sets, number).view(np.int64)
+                rows = [(_node(s), len(s), parities(s)) for s in sets]
+                node, size, odd = (list(x) for x in zip(*rows, strict=True))
+                columns = [batch.column("doc_id").slice(at, len(texts)), batch.column("key").slice(at, len(texts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(list(prints), pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "size", "prints", "odd"])
                 at += len(texts)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    return slim.mapInArrow(make, "doc_id long, key long, node long, size long, bands array<long>, odd array<long>")
+    return slim.mapInArrow(make, "doc_id long, key long, node long, size long, prints array<long>, odd array<long>")
 
 
 def shingles_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -120,7 +153,7 @@ def shingles_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 at += len(texts)
 
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    return text.join(keys.hint("shuffle_hash"), "key").select("node", "text").mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"])
+    return text.join(keys, "key").select("node", "text").mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def similar_pairs(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -140,42 +173,111 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR)
     return two.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes with a similarity of SIMILAR or more, enough to connect what all such candidates connect."""
-    rows = stored(own.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")).select("node", "size", F.explode("bands").alias("h")), "bands")
-    several = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("top")).where("n > 1")
-    held = stored(rows.join(several, "h"), "buckets")
-    keys = own.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+def _shards(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole shards of about TOGETHER rows: first row, end, starts within, codes."""
+    starts = group_starts(table, ["g", "key"])
+    code = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1")], axis=1)
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
+        a, b = int(starts[i]), int(starts[j])
+        yield a, b, starts[i : j + 1] - a, code[a:b]
+        i = j
+
+
+def close_pairs(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows within RADIUS in the same shard, and the first rows of shards that are dense: of these only each row's first ancestor."""
+    trees = BKTrees(code, starts, RADIUS)
+    size = np.diff(starts)
+    of = np.repeat(np.arange(len(size)), size)
+    near = np.bincount(of[trees.near[0]], minlength=len(size))
+    dense = (near > size) & (size > 64)
+    asked = np.flatnonzero(~dense[of])
+    found = [x for step in trees.search(asked, True) for x in [with_twins(trees, *step)] if len(x[0])]
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    dense |= np.bincount(of[a], minlength=len(size)) > DENSE * (size + 64)
+    keep = ~dense[of[a]]
+    row, first = np.unique(trees.near[0], return_index=True)
+    top = dense[of[row]]
+    return np.concatenate([a[keep], row[top]]), np.concatenate([b[keep], trees.near[1][first[top]]]), starts[:-1][dense]
+
+
+def with_twins(trees: BKTrees, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, and those of q with the rows whose code is v's."""
+    n = trees.twin_ends[v + 1] - trees.twin_ends[v]
+    if not n.any():
+        return q, v
+    a, b = np.repeat(q, n), trees.twins[spread(trees.twin_ends[v], n)]
+    other = a != b
+    return np.concatenate([q, a[other]]), np.concatenate([v, b[other]])
+
+
+def links(docs: DataFrame, own: DataFrame, chosen: list[tuple[int, int, int]]) -> DataFrame:
+    """a, b: pairs of nodes with a similarity of SIMILAR or more, enough to connect what all pairs in reach connect."""
+    nodes = own.groupBy("node").agg(F.first("prints").alias("prints"))
+    code = [F.get("prints", F.lit(i)).alias(f"c{i}") for i in (0, 1)]
+    key = [F.struct(F.lit(g).alias("g"), F.shiftrightunsigned(F.get("prints", F.lit(f)), first).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int").alias("key")) for g, (f, first, width) in enumerate(chosen)]
+    shards = nodes.select("node", *code, F.explode(F.array(*key)).alias("s")).select("s.g", "s.key", "node", "c0", "c1")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["g", "key"]):
+            node, g, key = (table.column(c).to_numpy() for c in ("node", "g", "key"))
+            for at, end, starts, code in _shards(table):
+                a, b, dense = close_pairs(code, starts)
+                none = [None] * len(dense)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*node[at:end][a].tolist(), *none], pa.int64()), pa.array([*node[at:end][b].tolist(), *none], pa.int64()), pa.array([*[None] * len(a), *g[at + dense].tolist()], pa.int32()), pa.array([*[None] * len(a), *key[at + dense].tolist()], pa.int32())],
+                    ["a", "b", "g", "key"],
+                )
+
+    found = stored(shards.repartition(n, "g", "key").sortWithinPartitions("g", "key", "node").mapInArrow(candidates, "a long, b long, g int, key int"), "candidates")
+    tried = stored(_ordered(found.where("a is not null")), "pairs")
+    dense = found.where("a is null").select("g", "key")
+    members = tried.select(F.col("a").alias("node")).unionAll(tried.select(F.col("b").alias("node"))).distinct()
+    keys = own.join(members, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     shingles = stored(shingles_of(docs, keys), "shingles")
-
-    def pairs(x: DataFrame) -> DataFrame:
-        return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-    # dealt anew in each bucket and turn: a node of a large group meets many others, and no hub meets many more
-    parts = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / HUB)))).cast("long")
-    turn = F.explode(F.sequence(F.lit(1), F.when(parts > 1, TURNS).otherwise(1))).alias("turn")
-    dealt = held.select("h", "node", "top", parts.alias("parts"), turn).withColumn("part", F.pmod(F.xxhash64("h", "turn", "node"), "parts"))
-    hubs = dealt.groupBy("h", "turn", "part").agg(F.min_by("node", F.xxhash64("node", "turn", "h")).alias("hub"), F.first("top").alias("top"))
-    first = dealt.join(hubs.drop("top"), ["h", "turn", "part"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    tried = stored(pairs(first.unionAll(hubs.select(F.col("hub").alias("a"), F.col("top").alias("b")))), "pairs")
-    found = stored(similar_pairs(tried, shingles), "similar")
-    roots = connected_components(found).withColumnRenamed("root", "r")
-    named = held.join(roots, "node", "left").select("h", "node", "size", F.coalesce("r", "node").alias("r"))
-    open_ = named.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("h")
-    named = named.join(open_, "h", "left_semi")
-    odd = own.join(named.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("odd").alias("odd"))
-    named = stored(named.join(odd, "node").select("h", "node", "size", "r", *[F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PLACES // 64)]), "open")
-    x, y = (named.select([F.col(k).alias(k if k == "h" else k + c) for k in named.columns]).withColumn(c, F.col(f"node{c}")) for c in "ab")
-    apart = sum(F.bit_count(F.col(f"odd{i}a").bitwiseXOR(F.col(f"odd{i}b"))) for i in range(PLACES // 64))
-    close = apart <= (F.col("sizea") + F.col("sizeb")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("sizea", "sizeb") >= SIMILAR * F.greatest("sizea", "sizeb") - 1e-6) & close
-    rest = stored(pairs(x.join(y, "h").where(near)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionAll(similar_pairs(rest, shingles))
+    near = stored(similar_pairs(tried, shingles), "similar")
+    if not dense.head(1):
+        return near
+
+    roots = connected_components(near).withColumnRenamed("root", "r")
+    more = own.groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
+    hot = shards.join(dense, ["g", "key"]).join(more, "node").join(roots, "node", "left").select("g", "key", "node", "c0", "c1", "size", "odd", F.coalesce("r", "node").alias("r"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["g", "key"]):
+            node, size, root = (table.column(c).to_numpy() for c in ("node", "size", "r"))
+            odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            for at, _, starts, code in _shards(table):
+                trees = BKTrees(code, starts, RADIUS)
+                part = np.unique(root[at : at + len(code)], return_inverse=True)[1]
+                outside, _ = outside_largest(part, trees.root)
+                for q, v in trees.search(np.flatnonzero(outside), False):
+                    q, v = with_twins(trees, q, v)
+                    apart = part[q] != part[v]
+                    q, v = q[apart] + at, v[apart] + at
+                    for i in range(0, len(q), 1 << 17):
+                        x, y = q[i : i + (1 << 17)], v[i : i + (1 << 17)]
+                        both = size[x] + size[y]
+                        ok = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= both * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+                        ok &= np.minimum(size[x], size[y]) >= SIMILAR * np.maximum(size[x], size[y]) - 1e-6
+                        yield pa.RecordBatch.from_arrays([pa.array(node[x[ok]]), pa.array(node[y[ok]])], ["a", "b"])
+
+    rest = stored(_ordered(hot.repartition(n, "g", "key").sortWithinPartitions("g", "key", "node").mapInArrow(across, "a long, b long")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    members = rest.select(F.col("a").alias("node")).unionAll(rest.select(F.col("b").alias("node"))).distinct()
+    keys = own.join(members, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    return near.unionAll(similar_pairs(rest, stored(shingles_of(docs, keys), "shingles")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each component: the smallest doc_id, of repeated rows one."""
-    own = stored(sketches(docs), "sketches")
-    roots = connected_components(links(docs, own))
+    chosen = choices(docs.count())
+    own = stored(sketches(docs, max(2, 1 + max(f for f, _, _ in chosen))), "sketches")
+    roots = connected_components(links(docs, own, chosen))
     named = own.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     return first_of_each(docs, named)

@@ -14,11 +14,14 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from karst.llm import capfilters, components, decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
+from karst.llm import capfilters, components, decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, similar, tokens, toxicity
 from karst.llm.queries import BYTE_BPE, WORD_BPE
 from karst.llm.tokens import encoder
 
+#: The tokenizers as their files give them.
+LOADED = {path: Tokenizer.from_file(path) for path in (WORD_BPE, BYTE_BPE)}
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 TEXTS = [None, "", " ", "one", "Two words.", "a\nb\nc", "a  b\t\tc \n\n d", "ÀÉ ñandú Straße 日本語 テスト。", "don't we'll <|endoftext|> x's", "x" * 5000, "word " * 3000, "Two words.", "\x01 \x1c q", "é" * 300 + " 12345 ½ ²"]
 
@@ -46,11 +49,21 @@ def test_ids_equal_the_tokenizers(path, texts):
     enc = encoder(path)
     ids, at = enc.encode_column(pa.array(texts))
     for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        assert ids[at[i] : at[i + 1]].tolist() == LOADED[path].encode(t, add_special_tokens=False).ids
+
+
+def test_a_full_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
+    monkeypatch.setattr(tokens, "AT_ONCE", 60)
+    texts = ["one two three two one", "two <|endoftext|> b", "four\nfive four six", "a <|EndOfText|> b<|startoftext|>", "six one\ntwo four", "\nodd  one"] * 5
+    for path, tok in LOADED.items():
+        ids, at = tokens.Encoder(path).encode_column(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def ids_of(path, text, end):
-    tok = encoder(path).tok
+    tok = LOADED[path]
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -115,6 +128,20 @@ def test_token_files_round_trip(spark):
     assert huffman.read_documents(spark, huffman.write_documents(no_id(spark), BYTE_BPE, 2)).count() == len(TEXTS)
 
 
+def test_token_files_stand_alone_and_part_a_repeated_id(spark):
+    texts = ["same words"] * 40 + [f"text {i % 7} of one id" for i in range(60)] + ["b", "c", None]
+    rows = [(None if i < 15 else 7 if i < 100 else i, t) for i, t in enumerate(texts)]
+    path = huffman.write_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTE_BPE, 2, range_rows=10)
+    other = spark.newSession()
+    got = huffman.read_documents(other, path).toPandas().sort_values("start")
+    n = [len(ids_of(BYTE_BPE, t, 2)) for t in texts]
+    assert len(got) == len(texts) and got.start.tolist() == [0, *got.n_tokens.cumsum()[:-1]] and got.n_tokens.sum() == sum(n)
+    assert got.doc_id.fillna(-1).is_monotonic_increasing
+    assert sorted(got.ids_crc32) == sorted(zlib.crc32(ids_of(BYTE_BPE, t, 2).tobytes()) for t in texts)
+    spread = other.read.parquet(f"{path}/blocks").groupBy("part").count().count()
+    assert spread > 5
+
+
 # decontamination
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -441,10 +468,10 @@ def test_pipeline_stages_on_the_small_tables(spark):
     lines = cp.dedup_lines(spark, docs, d)
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
     assert [r["text"] for r in lines.orderBy("doc_id").collect()] == removed(texts) and lines.columns == docs.columns
-    fps = [plain_fingerprint(t) for t in texts]
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
     ids = [r["doc_id"] for r in docs.orderBy("doc_id").select("doc_id").collect()]
-    assert sorted(r["doc_id"] for r in cp.dedup_near(spark, docs, d).collect()) == sorted({ids[k] for k in reach(len(fps), links)})
+    assert sorted(r["doc_id"] for r in cp.dedup_near(spark, docs, d).collect()) == sorted({ids[k] for k in reach(len(sets), links)})
     left = {r["doc_id"] for r in cp.decontaminated(spark, docs, d).collect()}
     some = [r for r in docs.collect() if len(r["text"]) < 3000]
     assert all((r["doc_id"] in left) != hits(r["text"], bench)[4] for r in some)
@@ -454,13 +481,14 @@ def test_pipeline_stages_on_the_small_tables(spark):
 # near-duplicates of the pipeline
 
 
-def similarity(a, b, k=5):
-    """Jaccard similarity of the sets of k-word shingles; texts without words are alike."""
-    sets = []
-    for t in (a, b):
-        w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if x]
-        sets.append({tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set())
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+def shingles(t, k=5):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOWER)) if x]
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def alike(a, b):
+    """Jaccard similarity; texts without words are alike."""
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_pipeline_near_dedup_against_brute_force_jaccard(spark):
@@ -476,7 +504,8 @@ def test_pipeline_near_dedup_against_brute_force_jaccard(spark):
             edited.append(e)
     hot = [np.concatenate([base[3], rng.choice(["p", "q", "r", "s"], n)]) for n in rng.integers(1, 110, 90)]
     texts = [*TEXTS, *(" ".join(x) for x in [*base, *edited, *hot]), *(" ".join(x).lower() for x in base)]
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
     fps = [plain_fingerprint(t) for t in texts]
     assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in links) > 20
     docs = table(spark, texts)
@@ -484,3 +513,88 @@ def test_pipeline_near_dedup_against_brute_force_jaccard(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({*reach(len(texts), links)})
     assert cp.dedup_near(spark, empty(spark), "").count() == 0
     assert cp.dedup_near(spark, no_id(spark), "").where("doc_id is null").count() > 0
+
+
+def test_the_small_tables_are_searched_through_trees(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    own = simhash.fingerprints(spark.read.parquet(f"{d}/documents.parquet")).toPandas()
+    fp = np.unique(own.fp.to_numpy().view(np.uint64))
+    (mask,) = simhash.shard_masks(len(fp), 4)[:1]
+    order = np.argsort(fp & np.uint64(mask), kind="stable")
+    starts = np.append(np.unique((fp & np.uint64(mask))[order], return_index=True)[1], len(fp))
+    trees = simhash.BKTrees(fp[order], starts, 4)
+    # every fingerprint but the roots is a child, keyed by its distance to its parent
+    assert (trees.parent >= 0).sum() == len(fp) - (len(starts) - 1) > 500 and len(np.unique(trees.parent)) > 100
+    below = np.flatnonzero(trees.parent >= 0)
+    assert (trees.edge[below] == simhash.distances(fp[order][below], fp[order][trees.parent[below]])).all()
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    got = simhash.near_duplicates(spark.read.parquet(f"{d}/documents.parquet")).toPandas()
+    want = reach(len(fp), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.tril(near, -1)), strict=True)])
+    part = {f"{x:016x}": w for x, w in zip(fp.tolist(), want, strict=True)}
+    assert got.groupby("component_id").fingerprint.agg(lambda f: len({part[x] for x in f})).max() == 1
+    assert got.component_id.nunique() == len(set(want))
+
+
+def test_close_pairs_of_shards_against_a_scan():
+    rng = np.random.default_rng(13)
+    code = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)[rng.integers(0, 60, 900)]
+    for _ in range(20):
+        b, flip = rng.integers(0, 128, 900), np.zeros((900, 2), np.uint64)
+        flip[np.arange(900), b // 64] = np.uint64(1) << (b % 64).astype(np.uint64)
+        code = np.where((rng.random(900) < 0.5)[:, None], code ^ flip, code)
+    code[100:160], code[300:305] = code[45:105], code[41]
+    shard = np.repeat([0, 1, 2], [40, 360, 500])
+    a, b, dense = similar.close_pairs(code, np.array([0, 40, 400, 900]))
+    near = (np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2) <= similar.RADIUS) & (shard[:, None] == shard[None])
+    assert not len(dense) and {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+    same = np.repeat(code[:1], 200, axis=0)
+    a, b, dense = similar.close_pairs(same, np.array([0, 200]))
+    assert dense.tolist() == [0] and sorted(a.tolist()) == list(range(1, 200)) and set(b.tolist()) == {0}
+
+
+def test_choices_of_bits_miss_few_similar_sets():
+    rng = np.random.default_rng(14)
+    for n in (3000, 1 << 18):
+        chosen, met = similar.choices(n), 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+            y = np.concatenate([x[11:], rng.integers(0, 1 << 63, 11, dtype=np.uint64)])
+            a, b = similar.fingerprints_of([x, y], 8)
+            assert 0.8 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.81
+            bits = int(simhash.distances(a[None, :2], b[None, :2])[0])
+            met += bits <= similar.RADIUS and any((int(a[f]) ^ int(b[f])) >> first & (1 << width) - 1 == 0 for f, first, width in chosen)
+        assert met >= 294
+
+
+def test_pipeline_near_dedup_of_a_dense_group(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(15)
+    base, texts = rng.choice([f"W{k}" for k in range(900)], 300), []
+    for n in rng.integers(1, 7, 240):
+        e = base.copy()
+        e[rng.choice(300, n, replace=False)] = [f"n{k}" for k in rng.integers(0, 500, n)]
+        texts.append(" ".join(e))
+    texts += [" ".join([*base, *rng.choice(["p", "q", "r", "s"], n)]) for n in rng.integers(60, 100, 60)]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    want = reach(len(texts), links)
+    assert 5 < len(set(want)) < 60 and max(np.bincount(want)) > 200
+    got = sorted(r["doc_id"] for r in cp.dedup_near(spark, table(spark, texts), "").collect())
+    assert got == sorted(set(want))
+
+
+def test_ppm_parts_equal_the_whole_trie(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    texts = [rng.integers(33, 127, 70_000, dtype=np.uint8).tobytes().decode() for _ in range(33)] + [*TEXTS, "abracadabra é"]
+    docs = table(spark, texts).repartition(3)
+    training = docs.where(~ppm.held_out(F.col("doc_id")))
+    trie = ppm.train(training)
+    assert len(trie.strings[ppm.ORDER]) > 2_000_000
+    want = trie.scores(pa.array(texts), trie.indexes())
+    got = ppm.lm_scores(docs).toPandas().sort_values("doc_id")
+    assert np.allclose(got.score.to_numpy(), want, rtol=1e-5, atol=1e-4)
+    assert got.held_out.any() and not got.held_out.all()
+    assert ppm.parts_of(docs.withColumn("out", F.lit(True)).select("doc_id", "text", "out"), ppm.ORDER).count() == 3
