@@ -7,7 +7,8 @@ serves any test set.  A window of test words is looked up in a segment from its
 rarest term there: the term's positions less its offset in the window are the
 candidates, and the offset-adjusted lists of the other terms, rarest first, are
 intersected with them.  Test items come in blocks of BLOCK_CHARS characters, so
-that what tasks receive stays bounded however large the benchmark is.
+that what tasks receive stays bounded however large the benchmark is.  `nearby` returns
+proximity matches from the same index.
 
 Defined results: null and empty texts have no words and are not contaminated; an
 item without words gives no window, a null item_id is listed as "null"; items with
@@ -255,6 +256,42 @@ def lookup(index: DataFrame, windows: Windows) -> DataFrame:
     return index.mapInArrow(find, "segment long, place int, doc_id long, key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
+def nearby(index: DataFrame, searches: Iterable[tuple[object, str | None]], span: int) -> DataFrame:
+    """Proximity matches: search, doc_id, at (ascending word numbers where stretches of at most span words begin that hold all words of the search, in any order).
+
+    A row for each document and search that match; span is at most GAP; a search
+    without words matches nothing.
+    """
+    if not 0 < span <= GAP:
+        raise ValueError(f"a span of 1 to {GAP} words")
+    number: dict[bytes, int] = {}
+    asked = [("null" if name is None else str(name), [number.setdefault(w, len(number)) for w in words_of(text)]) for name, text in searches]
+    asked = [(name, np.array(ids)) for name, ids in asked if ids]
+    terms = pa.array([*number], pa.large_binary())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                seg = Segment.unpack(r["terms"], r["sizes"], r["steps"], np.array(r["n"], np.int64))
+                local, names, docs, places = seg.local(terms), [], [], []
+                for name, ids in asked:
+                    start = seg.near(local[ids], span)
+                    doc = np.searchsorted(seg.base, start, "right") - 1
+                    for d, at in zip(*_grouped(doc, start - seg.base[doc]), strict=True):
+                        names.append(name)
+                        docs.append(r["doc_id"][d])
+                        places.append(at)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(places, pa.list_(pa.int64()))], ["search", "doc_id", "at"])
+
+    return index.mapInArrow(find, "search string, doc_id long, at array<long>")
+
+
+def _grouped(key: np.ndarray, value: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Ascending keys and the values of each."""
+    keys, first = np.unique(key, return_index=True)
+    return keys.tolist(), np.split(value, first[1:]) if len(keys) else []
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
