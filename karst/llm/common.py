@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set, as in tests."""
+    """The folder that driver and executors share; a local one where none is set and the master is local, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/karst-{os.getpid()}"
@@ -87,3 +90,11 @@ def group_starts(table, keys: list[str]):
         x = table.column(k).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many lines beneath after it as make it differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

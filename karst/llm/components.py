@@ -24,7 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = _mark(edges)
-    for _ in range(MOST_ROUNDS if mark[0] else 0):
+    for turn in range(MOST_ROUNDS + 1 if mark[0] else 0):
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -8,13 +8,15 @@ of the pairs at 0.8 escape all (of closer ones fewer).  Each shard is a BK-tree
 the first 128 bits, searched within RADIUS by following only edges in reach, and
 the pairs found are linked if their exact similarity is SIMILAR or more.
 
-Texts with the same set are one node, so copies make no pairs.  Where a shard holds
-so many close nodes that its pairs would grow as its square, each node is at first
-compared only with the ancestor nearest the root that is in reach; then, from what
-is outside the shard's largest component, all pairs in reach of different components
-are compared, but for those that their parities rule out: the parities of a set's
-hashes in PLACES places differ between two sets in no more places than the sets have
-elements apart.  So no link between components is lost to a shard's size.
+Texts with the same set are one node, so copies make no pairs.  Of the pairs in reach
+those go first that their parities rule out: the parities of a set's hashes in some
+places differ between two sets in no more places than the sets have elements apart.
+What is left of a shard's pairs is taken as links for the moment, and a spanning
+forest of them, less than one pair for each node, leaves the shard and is compared
+exactly.  Shards of which a pair fails are searched again, with what was found to be
+linked joined, what failed left out and parities in more places, until none fails; so
+no link between components is lost.  From round to round MORE times as many forests,
+none with a pair of another, leave such a shard, so rounds are few.
 
 Texts of fewer than five words have one shingle, all their words; those without
 words are alike.
@@ -34,19 +36,19 @@ from pyspark.sql import functions as F
 from karst.llm.common import group_starts, slices, stored, whole_groups
 from karst.llm.components import connected_components
 from karst.llm.decontaminate import spread, word_column
-from karst.llm.simhash import _FOLD, SEED, TOGETHER, BKTrees, first_of_each, outside_largest
+from karst.llm.simhash import _FOLD, SEED, TOGETHER, BKTrees, Forest, first_of_each, outside_largest
 
 WORDS = 5
 SIMILAR = 0.8
 #: Share of the pairs at the least similarity that no shard may bring together.
-MISS = 0.005
+MISS = 0.01
 #: Nodes of a shard of unrelated ones, about, and the most bits that shards agree in.
 SHARD, MOST_BITS = 1024, 14
 #: Of 128 bits; sets at the least similarity differ in 19 on average, with a deviation of 4, unrelated ones in 64 of 6.
 RADIUS = 34
-#: Pairs of a shard, against its nodes, beyond which it is searched in two rounds.
-DENSE = 16
-PLACES = 1024
+#: Places of the first parities; later ones have two places or more for each element.
+PLACES = 256
+MORE, MOST_ROUNDS = 4, 20
 #: For each byte a number with its bits as the lowest bits of eight bytes.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
@@ -113,9 +115,13 @@ def fingerprints_of(sets: list[np.ndarray], number: int) -> np.ndarray:
     return out
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Of the counts of hashes in each of PLACES places, 64 in a number."""
-    return np.packbits(np.bincount((shingles % np.uint64(PLACES)).astype(np.int64), minlength=PLACES) & 1).view(np.int64)
+def parities(shingles: np.ndarray, places: int) -> np.ndarray:
+    """Of the counts of hashes in each of so many places (a power of two, 64 at least), 64 in a number."""
+    return np.packbits(np.bincount((shingles % np.uint64(places)).astype(np.int64), minlength=places) & 1, bitorder="little").view("<u8")
+
+
+def places_of(size: int) -> int:
+    return max(PLACES, 1 << (2 * size - 1).bit_length())
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -123,22 +129,22 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, number: int) -> DataFrame:
-    """doc_id, key (a hash of the text), node (of the set), size (of the set), prints (its fingerprints), odd (its parities)."""
+    """doc_id, key (a hash of the text), node (of the set), prints (its fingerprints), mark (two of them, the set's size and first parities), odd (its later parities)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text"), 4_000_000):
                 sets = list(shingle_sets(texts))
-                prints = fingerprints_of(sets, number).view(np.int64)
-                rows = [(_node(s), len(s), parities(s)) for s in sets]
-                node, size, odd = (list(x) for x in zip(*rows, strict=True))
-                columns = [batch.column("doc_id").slice(at, len(texts)), batch.column("key").slice(at, len(texts)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(list(prints), pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "size", "prints", "odd"])
+                prints = fingerprints_of(sets, number)
+                mark = [prints[i, :2].tobytes() + len(x).to_bytes(8, "little") + parities(x, PLACES).tobytes() for i, x in enumerate(sets)]
+                odd = [parities(x, places_of(len(x))).tobytes() for x in sets]
+                columns = [batch.column("doc_id").slice(at, len(texts)), batch.column("key").slice(at, len(texts)), pa.array([_node(x) for x in sets], pa.int64()), pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array(mark, pa.binary()), pa.array(odd, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "prints", "mark", "odd"])
                 at += len(texts)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    return slim.mapInArrow(make, "doc_id long, key long, node long, size long, prints array<long>, odd array<long>")
+    return slim.mapInArrow(make, "doc_id long, key long, node long, prints array<long>, mark binary, odd binary")
 
 
 def shingles_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -156,8 +162,8 @@ def shingles_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return text.join(keys, "key").select("node", "text").mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def similar_pairs(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs a, b whose sets have a Jaccard similarity of at least `least`."""
+def compared(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """a, b, alike: whether the sets of a and b have a Jaccard similarity of at least `least`."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,40 +172,96 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, least: float = SIMILAR)
                 x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 hit[i] = both >= least * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(hit)], ["a", "b", "alike"])
 
     one = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
-
-
-def _shards(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole shards of about TOGETHER rows: first row, end, starts within, codes."""
-    starts = group_starts(table, ["g", "key"])
-    code = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1")], axis=1)
-    i = 0
-    while i < len(starts) - 1:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
-        a, b = int(starts[i]), int(starts[j])
-        yield a, b, starts[i : j + 1] - a, code[a:b]
-        i = j
-
-
-def close_pairs(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows within RADIUS in the same shard, and the first rows of shards that are dense: of these only each row's first ancestor."""
-    trees = BKTrees(code, starts, RADIUS)
-    size = np.diff(starts)
-    of = np.repeat(np.arange(len(size)), size)
-    near = np.bincount(of[trees.near[0]], minlength=len(size))
-    dense = (near > size) & (size > 64)
-    asked = np.flatnonzero(~dense[of])
-    found = [x for step in trees.search(asked, True) for x in [with_twins(trees, *step)] if len(x[0])]
+    return two.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long, alike boolean")
+
+
+class Nodes:
+    """The nodes of some shards: codes, sizes and parities."""
+
+    def __init__(self, marks: list[bytes], odd: list[bytes] | None = None):
+        mark = np.frombuffer(b"".join(marks), "<u8").reshape(len(marks), -1)
+        self.code, self.size, self.first = np.ascontiguousarray(mark[:, :2]), mark[:, 2].astype(np.int64), np.ascontiguousarray(mark[:, 3:])
+        self.odd: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if odd is not None:  # by the number of places
+            n = np.array([len(x) for x in odd])
+            self.words = n // 8
+            for w in np.unique(self.words).tolist():
+                rows = np.flatnonzero(self.words == w)
+                number = np.full(len(odd), -1)
+                number[rows] = np.arange(len(rows))
+                self.odd[w] = number, np.frombuffer(b"".join(odd[i] for i in rows.tolist()), "<u8").reshape(-1, w)
+
+    def may_be_alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs sizes and parities do not rule out."""
+        out = np.zeros(len(a), bool)
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            low, high = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+            apart = (low + high) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+            ok = low >= SIMILAR * high - 1e-6
+            ok[ok] = np.bitwise_count(self.first[x[ok]] ^ self.first[y[ok]]).sum(axis=1, dtype=np.int64) <= apart[ok]
+            if self.odd:
+                ok[ok] = self._differ(x[ok], y[ok]) <= apart[ok]
+            out[i : i + (1 << 16)] = ok
+        return out
+
+    def _differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = np.where(self.words[a] <= self.words[b], a, b), np.where(self.words[a] <= self.words[b], b, a)
+        out = np.zeros(len(a), np.int64)
+        for w, (number, odd) in self.odd.items():
+            for v, (more, wide) in self.odd.items():
+                some = np.flatnonzero((self.words[a] == w) & (self.words[b] == v))
+                for i in range(0, len(some), max(1, (1 << 22) // v)):
+                    k = some[i : i + max(1, (1 << 22) // v)]
+                    # places are remainders, so more of them fold into fewer
+                    folded = np.bitwise_xor.reduce(wide[more[b[k]]].reshape(len(k), -1, w), axis=1)
+                    out[k] = np.bitwise_count(odd[number[a[k]]] ^ folded).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def spanning(nodes: Nodes, starts: np.ndarray, first: int, part: np.ndarray | None = None, bad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may be alike and connect, without a cycle, what all such pairs of the shards connect.
+
+    starts: where the shards begin, and the end; first: the row where they do in
+    nodes; part: what is connected already; bad: pairs (row * rows + row) that are
+    known not to be alike.
+    """
+    end = first + int(starts[-1])
+    trees, forest, found, n = BKTrees(nodes.code[first:end], starts, RADIUS), Forest(end - first), [], len(nodes.size)
+    everyone = np.arange(end - first)
+    if part is not None:  # by shard: the rows of each part are joined to its first
+        _, lead, which = np.unique(np.stack([trees.root, part], axis=1), axis=0, return_index=True, return_inverse=True)
+        forest.join(everyone, lead[which.ravel()])
+
+    def take(q: np.ndarray, v: np.ndarray) -> None:
+        while len(q):
+            a, b = forest.top(q), forest.top(v)
+            apart = a != b
+            q, v, a, b = q[apart], v[apart], a[apart], b[apart]
+            # the larger of two roots hangs on the smaller, by one pair
+            high, one = np.unique(np.maximum(a, b), return_index=True)
+            forest.up[high] = np.minimum(a, b)[one]
+            found.append((q[one], v[one]))
+
+    def look(q: np.ndarray, v: np.ndarray) -> None:
+        apart = forest.top(q) != forest.top(v)
+        q, v = q[apart], v[apart]
+        ok = nodes.may_be_alike(q + first, v + first)
+        if bad is not None:
+            ok[ok] = ~np.isin((np.minimum(q, v)[ok] + first) * n + np.maximum(q, v)[ok] + first, bad)
+        take(q[ok], v[ok])
+
+    look(*trees.near)
+    outside, dense = outside_largest(forest.top(everyone), trees.root)
+    for asked, earlier in ((everyone[~dense], True), (everyone[outside & dense], False)):
+        for q, v in trees.search(asked, earlier):
+            look(*with_twins(trees, q, v))
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    dense |= np.bincount(of[a], minlength=len(size)) > DENSE * (size + 64)
-    keep = ~dense[of[a]]
-    row, first = np.unique(trees.near[0], return_index=True)
-    top = dense[of[row]]
-    return np.concatenate([a[keep], row[top]]), np.concatenate([b[keep], trees.near[1][first[top]]]), starts[:-1][dense]
+    return a + first, b + first
 
 
 def with_twins(trees: BKTrees, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,66 +274,70 @@ def with_twins(trees: BKTrees, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([q, a[other]]), np.concatenate([v, b[other]])
 
 
+def _search(batches: Iterator[pa.RecordBatch], forests: int = 1) -> Iterator[pa.RecordBatch]:
+    """a, b, shard from rows of shard, node, mark and, in later rounds, odd, root and bad (nodes known not to be alike)."""
+    for table in whole_groups(batches, ["shard"]):
+        starts, node = group_starts(table, ["shard"]), table.column("node").to_numpy()
+        later = "odd" in table.column_names
+        nodes = Nodes(table.column("mark").to_pylist(), table.column("odd").to_pylist() if later else None)
+        part = np.unique(table.column("root").to_numpy(), return_inverse=True)[1] if later else None
+        i = 0
+        while i < len(starts) - 1:
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
+            first, end = int(starts[i]), int(starts[j])
+            bad = None
+            if later:
+                pairs = []
+                for k in range(i, j):
+                    at = {x: r for r, x in enumerate(node[starts[k] : starts[k + 1]].tolist(), int(starts[k]))}
+                    for x, others in zip(at.values(), table.column("bad").slice(int(starts[k]), len(at)).to_pylist(), strict=True):
+                        pairs += [min(x, at[y]) * len(node) + max(x, at[y]) for y in others or () if y in at]
+                bad = np.unique(np.array(pairs, np.int64))
+            a, b = spanning(nodes, starts[i : j + 1] - first, first, part[first:end] if later else None, bad)
+            for _ in range(1, forests):
+                bad = np.union1d(bad, np.minimum(a, b) * len(node) + np.maximum(a, b))
+                more = spanning(nodes, starts[i : j + 1] - first, first, part[first:end], bad)
+                if not len(more[0]):
+                    break
+                a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), table.column("shard").combine_chunks().take(pa.array(a))], ["a", "b", "shard"])
+            i = j
+
+
 def links(docs: DataFrame, own: DataFrame, chosen: list[tuple[int, int, int]]) -> DataFrame:
     """a, b: pairs of nodes with a similarity of SIMILAR or more, enough to connect what all pairs in reach connect."""
-    nodes = own.groupBy("node").agg(F.first("prints").alias("prints"))
-    code = [F.get("prints", F.lit(i)).alias(f"c{i}") for i in (0, 1)]
-    key = [F.struct(F.lit(g).alias("g"), F.shiftrightunsigned(F.get("prints", F.lit(f)), first).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int").alias("key")) for g, (f, first, width) in enumerate(chosen)]
-    shards = nodes.select("node", *code, F.explode(F.array(*key)).alias("s")).select("s.g", "s.key", "node", "c0", "c1")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["g", "key"]):
-            node, g, key = (table.column(c).to_numpy() for c in ("node", "g", "key"))
-            for at, end, starts, code in _shards(table):
-                a, b, dense = close_pairs(code, starts)
-                none = [None] * len(dense)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*node[at:end][a].tolist(), *none], pa.int64()), pa.array([*node[at:end][b].tolist(), *none], pa.int64()), pa.array([*[None] * len(a), *g[at + dense].tolist()], pa.int32()), pa.array([*[None] * len(a), *key[at + dense].tolist()], pa.int32())],
-                    ["a", "b", "g", "key"],
-                )
-
-    found = stored(shards.repartition(n, "g", "key").sortWithinPartitions("g", "key", "node").mapInArrow(candidates, "a long, b long, g int, key int"), "candidates")
-    tried = stored(_ordered(found.where("a is not null")), "pairs")
-    dense = found.where("a is null").select("g", "key")
-    members = tried.select(F.col("a").alias("node")).unionAll(tried.select(F.col("b").alias("node"))).distinct()
-    keys = own.join(members, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    shingles = stored(shingles_of(docs, keys), "shingles")
-    near = stored(similar_pairs(tried, shingles), "similar")
-    if not dense.head(1):
-        return near
-
-    roots = connected_components(near).withColumnRenamed("root", "r")
-    more = own.groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
-    hot = shards.join(dense, ["g", "key"]).join(more, "node").join(roots, "node", "left").select("g", "key", "node", "c0", "c1", "size", "odd", F.coalesce("r", "node").alias("r"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["g", "key"]):
-            node, size, root = (table.column(c).to_numpy() for c in ("node", "size", "r"))
-            odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-            for at, _, starts, code in _shards(table):
-                trees = BKTrees(code, starts, RADIUS)
-                part = np.unique(root[at : at + len(code)], return_inverse=True)[1]
-                outside, _ = outside_largest(part, trees.root)
-                for q, v in trees.search(np.flatnonzero(outside), False):
-                    q, v = with_twins(trees, q, v)
-                    apart = part[q] != part[v]
-                    q, v = q[apart] + at, v[apart] + at
-                    for i in range(0, len(q), 1 << 17):
-                        x, y = q[i : i + (1 << 17)], v[i : i + (1 << 17)]
-                        both = size[x] + size[y]
-                        ok = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= both * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
-                        ok &= np.minimum(size[x], size[y]) >= SIMILAR * np.maximum(size[x], size[y]) - 1e-6
-                        yield pa.RecordBatch.from_arrays([pa.array(node[x[ok]]), pa.array(node[y[ok]])], ["a", "b"])
-
-    rest = stored(_ordered(hot.repartition(n, "g", "key").sortWithinPartitions("g", "key", "node").mapInArrow(across, "a long, b long")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    members = rest.select(F.col("a").alias("node")).unionAll(rest.select(F.col("b").alias("node"))).distinct()
-    keys = own.join(members, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    return near.unionAll(similar_pairs(rest, stored(shingles_of(docs, keys), "shingles")))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    spark = docs.sparkSession
+    nodes = own.groupBy("node").agg(F.first("prints").alias("prints"), F.first("mark").alias("mark"))
+    shard = [F.shiftrightunsigned(F.get("prints", F.lit(f)), first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + (g << 32) for g, (f, first, width) in enumerate(chosen)]
+    shards = nodes.select("node", "mark", F.explode(F.array(*shard)).alias("shard"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def searched(rows: DataFrame, forests: int = 1) -> DataFrame:
+        rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(lambda batches: _search(batches, forests), "a long, b long, shard long")
+        return stored(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shard"), "candidates")
+
+    found, near, bad = searched(shards), None, None
+    # a node that meets nothing in a shard that may be like it need not come there again
+    met = found.select(F.col("a").alias("node"), "shard").unionAll(found.select(F.col("b").alias("node"), "shard")).distinct()
+    for turn in range(1, MOST_ROUNDS + 1):
+        pairs = stored(found.select("a", "b").distinct(), "pairs")
+        both = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = own.join(both, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+        told = stored(compared(pairs, stored(shingles_of(docs, keys), "shingles")), "compared")
+        good = told.where("alike").select("a", "b")
+        near = good if near is None else near.unionAll(good)
+        failed = told.where("not alike").select("a", "b")
+        if not failed.head(1):
+            return near
+        again = found.join(failed, ["a", "b"]).select("shard").distinct()
+        bad = failed if bad is None else bad.unionAll(failed)
+        roots = connected_components(near).withColumnRenamed("root", "r")
+        others = bad.unionAll(bad.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("bad"))
+        here = met.join(again, "shard")
+        wide = own.join(here, "node", "left_semi").groupBy("node").agg(F.first("mark").alias("mark"), F.first("odd").alias("odd"))
+        rows = here.join(wide, "node").join(roots, "node", "left").join(others, "node", "left").select("shard", "node", "mark", "odd", F.coalesce("r", "node").alias("root"), "bad")
+        found = searched(rows, MORE**turn)
+    raise RuntimeError(f"shards are not settled after {MOST_ROUNDS} rounds")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
