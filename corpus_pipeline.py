@@ -11,19 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.llm import decontaminate, linededup, packing, similar, toxicity
-from karst.llm.common import read_table, stored
+from karst.llm.common import free_name, read_table, stored
 from karst.llm.queries import WORD_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "toxicity score").where(F.col("toxicity score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text = F.col("line_dedup.text")
-    changed = {"text": text, "n_chars": F.when(F.col("line_dedup.n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return linededup.dedup_lines(docs).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return linededup.replaced(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
