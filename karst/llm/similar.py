@@ -14,7 +14,7 @@ places differ between two sets in no more places than the sets have elements apa
 What is left of a shard's pairs is taken as links for the moment, and a spanning
 forest of them, less than one pair for each node, leaves the shard and is compared
 exactly.  Shards of which a pair fails are searched again, with what was found to be
-linked joined, what failed left out and parities in more places, until none fails; so
+alike joined, what failed left out and parities in more places, until none fails; so
 no link between components is lost.  From round to round MORE times as many forests,
 none with a pair of another, leave such a shard, so rounds are few.
 
@@ -48,7 +48,7 @@ SHARD, MOST_BITS = 1024, 14
 RADIUS = 34
 #: Places of the first parities; later ones have two places or more for each element.
 PLACES = 256
-MORE, MOST_ROUNDS = 4, 20
+MORE, MOST_ROUNDS = 8, 20
 #: For each byte a number with its bits as the lowest bits of eight bytes.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
@@ -275,28 +275,25 @@ def with_twins(trees: BKTrees, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
 
 
 def _search(batches: Iterator[pa.RecordBatch], forests: int = 1) -> Iterator[pa.RecordBatch]:
-    """a, b, shard from rows of shard, node, mark and, in later rounds, odd, root and bad (nodes known not to be alike)."""
+    """a, b, shard from rows of shard, node, mark and, in later rounds, odd, good and bad (nodes known to be alike and not to be)."""
     for table in whole_groups(batches, ["shard"]):
         starts, node = group_starts(table, ["shard"]), table.column("node").to_numpy()
         later = "odd" in table.column_names
         nodes = Nodes(table.column("mark").to_pylist(), table.column("odd").to_pylist() if later else None)
-        part = np.unique(table.column("root").to_numpy(), return_inverse=True)[1] if later else None
         i = 0
         while i < len(starts) - 1:
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
             first, end = int(starts[i]), int(starts[j])
-            bad = None
+            part = bad = None
             if later:
-                pairs = []
-                for k in range(i, j):
-                    at = {x: r for r, x in enumerate(node[starts[k] : starts[k + 1]].tolist(), int(starts[k]))}
-                    for x, others in zip(at.values(), table.column("bad").slice(int(starts[k]), len(at)).to_pylist(), strict=True):
-                        pairs += [min(x, at[y]) * len(node) + max(x, at[y]) for y in others or () if y in at]
-                bad = np.unique(np.array(pairs, np.int64))
-            a, b = spanning(nodes, starts[i : j + 1] - first, first, part[first:end] if later else None, bad)
+                good, bad = (_met(table, c, node, starts[i : j + 1]) for c in ("good", "bad"))
+                forest = Forest(end - first)
+                forest.join(good // len(node) - first, good % len(node) - first)
+                part = forest.top(np.arange(end - first))
+            a, b = spanning(nodes, starts[i : j + 1] - first, first, part, bad)
             for _ in range(1, forests):
                 bad = np.union1d(bad, np.minimum(a, b) * len(node) + np.maximum(a, b))
-                more = spanning(nodes, starts[i : j + 1] - first, first, part[first:end], bad)
+                more = spanning(nodes, starts[i : j + 1] - first, first, part, bad)
                 if not len(more[0]):
                     break
                 a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
@@ -304,6 +301,16 @@ def _search(batches: Iterator[pa.RecordBatch], forests: int = 1) -> Iterator[pa.
             i = j
 
 
+def _met(table: pa.Table, c: str, node: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Pairs (row * rows + row) of the same shard that column c names."""
+    pairs: list[int] = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        at = {x: r for r, x in enumerate(node[a:b].tolist(), a)}
+        for x, others in zip(at.values(), table.column(c).slice(a, b - a).to_pylist(), strict=True):
+            pairs += [min(x, at[y]) * len(node) + max(x, at[y]) for y in others or () if y in at]
+    return np.unique(np.array(pairs, np.int64))
+
+
 def links(docs: DataFrame, own: DataFrame, chosen: list[tuple[int, int, int]]) -> DataFrame:
     """a, b: pairs of nodes with a similarity of SIMILAR or more, enough to connect what all pairs in reach connect."""
     spark = docs.sparkSession
@@ -316,7 +323,7 @@ def links(docs: DataFrame, own: DataFrame, chosen: list[tuple[int, int, int]]) -
         rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(lambda batches: _search(batches, forests), "a long, b long, shard long")
         return stored(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shard"), "candidates")
 
-    found, near, bad = searched(shards), None, None
+    found, known = searched(shards), None
     # a node that meets nothing in a shard that may be like it need not come there again
     met = found.select(F.col("a").alias("node"), "shard").unionAll(found.select(F.col("b").alias("node"), "shard")).distinct()
     for turn in range(1, MOST_ROUNDS + 1):
@@ -324,19 +331,15 @@ def links(docs: DataFrame, own: DataFrame, chosen: list[tuple[int, int, int]]) -
         both = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         keys = own.join(both, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
         told = stored(compared(pairs, stored(shingles_of(docs, keys), "shingles")), "compared")
-        good = told.where("alike").select("a", "b")
-        near = good if near is None else near.unionAll(good)
+        known = told if known is None else known.unionAll(told)
         failed = told.where("not alike").select("a", "b")
         if not failed.head(1):
-            return near
-        again = found.join(failed, ["a", "b"]).select("shard").distinct()
-        bad = failed if bad is None else bad.unionAll(failed)
-        roots = connected_components(near).withColumnRenamed("root", "r")
-        others = bad.unionAll(bad.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("bad"))
-        here = met.join(again, "shard")
+            return known.where("alike").select("a", "b")
+        here = met.join(found.join(failed, ["a", "b"]).select("shard").distinct(), "shard")
+        ends = known.select(F.col("a").alias("node"), F.col("b").alias("other"), "alike").unionAll(known.select(F.col("b").alias("node"), F.col("a").alias("other"), "alike"))
+        others = ends.groupBy("node").agg(F.collect_list(F.when(F.col("alike"), F.col("other"))).alias("good"), F.collect_list(F.when(~F.col("alike"), F.col("other"))).alias("bad"))
         wide = own.join(here, "node", "left_semi").groupBy("node").agg(F.first("mark").alias("mark"), F.first("odd").alias("odd"))
-        rows = here.join(wide, "node").join(roots, "node", "left").join(others, "node", "left").select("shard", "node", "mark", "odd", F.coalesce("r", "node").alias("root"), "bad")
-        found = searched(rows, MORE**turn)
+        found = searched(here.join(wide, "node").join(others, "node", "left").select("shard", "node", "mark", "odd", "good", "bad"), MORE**turn)
     raise RuntimeError(f"shards are not settled after {MOST_ROUNDS} rounds")
 
 
