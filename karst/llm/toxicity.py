@@ -43,7 +43,7 @@ MOST_TERMS = 1 << 16
 #: A term's chi-square alone; of a pair of the FREQUENT commonest terms, of which there are so many more, and its rows.
 LEAST_CHI2, PAIR_CHI2, PAIR_ROWS = 25.0, 45.0, 128
 #: Commonest terms of at most half of the rows.
-FREQUENT = 2048
+FREQUENT = 1024
 RANK = 8
 EPOCHS = 12
 THRESHOLD = 0.3
@@ -122,13 +122,13 @@ def telling_pairs(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> np.
     common = common[count[common] >= PAIR_ROWS]
     number = np.full(BUCKETS, -1, np.int32)
     number[common] = np.arange(len(common))
-    term = number[bucket]
     both, bad = np.zeros((len(common), len(common)), np.float32), np.zeros((len(common), len(common)), np.float32)
     ends = np.searchsorted(doc, np.arange(0, n + 1024, 1024))
     for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        own = term[a:b] >= 0
+        term = number[bucket[a:b]]
+        own = term >= 0
         x = np.zeros((min(1024, n - 1024 * k), len(common)), np.float32)
-        x[doc[a:b][own] - 1024 * k, term[a:b][own]] = 1
+        x[doc[a:b][own] - 1024 * k, term[own]] = 1
         both += x.T @ x
         y = x[toxic[1024 * k : 1024 * k + len(x)]]
         bad += y.T @ y
@@ -211,11 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     # one row of a doc_id that comes again
     chosen = slim.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
-    found = chosen.mapInArrow(work, "doc_id long, toxic int, terms binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending")])
-    terms = found.column("terms").to_pylist()
-    doc = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) // 4 for x in terms])
-    return fit(doc, np.frombuffer(b"".join(terms), "<u4").view(np.int32), found.column("toxic").to_numpy() > 0)
+    found = chosen.mapInArrow(work, "doc_id long, toxic int, terms binary").orderBy("doc_id").toArrow()
+    size = pc.binary_length(found.column("terms")).to_numpy() // 4
+    doc, bucket, at = np.repeat(np.arange(len(size), dtype=np.int32), size), np.empty(int(size.sum()), np.int32), 0
+    for n, terms in zip(size.tolist(), found.column("terms"), strict=True):
+        bucket[at : at + n] = np.frombuffer(terms.as_buffer(), "<i4", n)
+        at += n
+    toxic = found.column("toxic").to_numpy() > 0
+    del found
+    return fit(doc, bucket, toxic)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
