@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import free_name
+from karst.llm.common import free_name, stored
 
 WIDTH = 3
 RUN = 17
@@ -45,11 +45,15 @@ def runs(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(whole(line), lambda r: F.struct(i.alias("line"), r.alias("run")))))
 
 
-def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """k_id, k_text, at, h1, h2: each window of each text."""
+def hashes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """k_id, k_text, a, b: two hashes of each run of each text that has a window; stored, so that texts are cut once."""
     doc, text = _key(docs)
-    lines = docs.select(doc.alias("k_id"), text.alias("k_text"), F.transform(runs(docs["text"]), lambda r: r["run"]).alias("l")).where(F.size("l") >= width)
-    hashed = lines.select("k_id", "k_text", F.transform("l", lambda x: F.xxhash64(x)).alias("a"), F.transform("l", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
+    cut = docs.select(doc.alias("k_id"), text.alias("k_text"), runs(docs["text"]).alias("l")).where(F.size("l") >= width)
+    return stored(cut.select("k_id", "k_text", F.transform("l", lambda r: F.xxhash64(r["run"])).alias("a"), F.transform("l", lambda r: F.xxhash64(F.lit(1), r["run"])).alias("b")), "runs")
+
+
+def windows(hashed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """k_id, k_text, at, h1, h2: each window of each text."""
     each = F.transform(
         F.sequence(F.lit(0), F.size("a") - width),
         lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get("a", i + k) for k in range(width)]).alias("h1"), F.xxhash64(*[F.get("b", i + k) for k in range(width)]).alias("h2")),
@@ -59,7 +63,7 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _deduped(docs: DataFrame, width: int) -> DataFrame:
     """k_row (the columns of docs), text, n_lines, n_removed."""
-    found = windows(docs, width)
+    found = windows(hashes(docs, width), width)
     here = F.struct("k_id", "k_text", "at")
     first = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["h1", "h2"]).where(here > F.col("first"))
