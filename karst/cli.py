@@ -43,8 +43,11 @@ def parser() -> argparse.ArgumentParser:
     for name, kind, value in (("radius", float, 1.0), ("min-neighbors", int, 2), ("k", int, 8), ("std-ratio", float, 2.0)):
         c.add_argument(f"--{name}", type=kind, default=value)
     c = command("holes", "source", "target")
-    for name, kind, value in (("resolution", float, 1.0), ("min-density", int, 1), ("relative", float, None), ("min-area", float, 0.0), ("max-area", float, float("inf")), ("edge-margin", int, 0)):
+    for name, kind, value in (("resolution", float, 1.0), ("min-density", float, 1), ("relative", float, None), ("min-area", float, 0.0), ("max-area", float, float("inf")), ("edge-margin", int, 0), ("jump", float, 1.5), ("smooth", float, 0.0)):
         c.add_argument(f"--{name}", type=kind, default=value)
+    c.add_argument("--mode", default="aerial", choices=["aerial", "ceiling"])
+    c.add_argument("--up", type=_numbers, help="x,y,z; estimated for a ceiling where it is not given")
+    c.add_argument("--merge", type=float, help="widen ellipses by this and make one of those that reach each other")
     c = command("occupancy", "source")
     c.add_argument("--resolution", type=float, default=1.0)
     c = command("register", "aerial", "tube", "target")
@@ -54,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     c = command("merge", "aerial", "tube", "motion", "target")
     c.add_argument("--z-offset", type=float, default=0.0)
     c.add_argument("--refine", action="store_true")
+    for name, value in (("rim", 3.0), ("rim-height", 3.0), ("inflate", 1.5)):
+        c.add_argument(f"--{name}", type=float, default=value)
     c.add_argument("--no-source", action="store_true")
     c.add_argument("--color", choices=["elevation"])
     command("transform", "source", "motion", "target")
@@ -86,7 +91,7 @@ def run(a: argparse.Namespace) -> str:
         return f"{found['n_inliers']} landmarks agree, rms {found['rms']:.3f}" + "".join(f"\nwarning: {w}" for w in found["warnings"])
     spark = SparkSession.builder.getOrCreate()
     if a.command == "holes":
-        found = clouds.detect(spark, a.source, a.target, a.resolution, a.min_density, a.relative, a.min_area, a.max_area, a.edge_margin)
+        found = clouds.detect(spark, a.source, a.target, a.resolution, a.min_density, a.relative, a.min_area, a.max_area, a.edge_margin, a.mode, a.up, a.jump, a.smooth, a.merge)
         return f"{len(found['holes'])} voids"
     if a.command == "occupancy":
         cells = points.occupancy(clouds.read_pcd(spark, a.source)[0], a.resolution)
@@ -103,7 +108,7 @@ def run(a: argparse.Namespace) -> str:
     elif a.command == "filter":
         r = clouds.outliers(spark, a.source, a.target, a.method, a.radius, a.min_neighbors, a.k, a.std_ratio)
     elif a.command == "merge":
-        r = clouds.merge(spark, a.aerial, a.tube, a.target, _json(a.motion), a.z_offset, not a.no_source, a.refine, color=a.color)
+        r = clouds.merge(spark, a.aerial, a.tube, a.target, _json(a.motion), a.z_offset, not a.no_source, a.refine, a.rim, a.color, a.rim_height, a.inflate)
     else:
         r = clouds.transform(spark, a.source, a.target, _json(a.motion))
     return f"{r.path}: {int(r)} points"

@@ -84,14 +84,25 @@ def ecdf(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def autocorrelation(rows: DataFrame, order: str, value: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
-    """lag, rho: sum of products of deviations `lag` rows apart over the sum of squares."""
-    w = Window.partitionBy(*by)
-    mean = rows.withColumn("_d", F.col(value) - F.avg(value).over(w))
-    listed = mean.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "_d"))), lambda v: v["_d"]).alias("d"))
-    each = listed.select(*by, "d", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
-    product = F.aggregate(F.zip_with(F.expr("slice(d, 1, greatest(size(d) - lag, 0))"), F.expr("slice(d, lag + 1, greatest(size(d) - lag, 0))"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    square = F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v)
-    return each.select(*by, F.col("lag").cast("long").alias("lag"), (product / square).alias("rho"))
+    """lag, rho: sum of products of deviations `lag` rows apart over the sum of squares; lags without a pair of rows are left out. One pass of windows, no key's rows in one place."""
+    mean = rows.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+    w = _window(by, order)
+    apart = mean.select(*by, "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    square = F.sum(F.col("_d") * F.col("_d"))
+    sums = apart.groupBy(*by).agg(*[((F.sum(F.col("_d") * F.col(f"_l{k}")) if k else square) / F.nullif(square, F.lit(0.0))).alias(f"_r{k}") for k in range(lags + 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_r{k}").alias("rho")) for k in range(lags + 1)])).alias("v")
+    return sums.select(*by, each).select(*by, "v.lag", "v.rho").where("rho is not null")
+
+
+def effective_size(rows: DataFrame, order: str, value: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
+    """n, n_eff = n / (1 + 2 sum of rho before the first negative lag), decay: first lag below 1/e, negative: first lag below zero."""
+    rho = autocorrelation(rows, order, value, lags, by)
+    negative = F.min(F.when(F.col("rho") < 0, F.col("lag"))).over(Window.partitionBy(*by))
+    told = rho.withColumn("negative", negative)
+    kept = F.sum(F.when((F.col("lag") > 0) & (F.col("lag") < F.coalesce("negative", F.lit(lags + 1))), F.col("rho")).otherwise(0.0))
+    shape = told.groupBy(*by).agg(F.min(F.when(F.col("rho") < F.exp(F.lit(-1.0)), F.col("lag"))).alias("decay"), F.first("negative").alias("negative"), kept.alias("_s"))
+    n = rows.groupBy(*by).agg(F.count(value).alias("n"))
+    return n.join(shape, list(by)).select(*by, "n", (F.col("n") / (1 + 2 * F.col("_s"))).alias("n_eff"), "decay", "negative") if by else n.crossJoin(shape).select("n", (F.col("n") / (1 + 2 * F.col("_s"))).alias("n_eff"), "decay", "negative")
 
 
 def interpolate(asked: DataFrame, known: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:

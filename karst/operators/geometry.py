@@ -6,7 +6,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,16 +76,44 @@ def bilinear(points: DataFrame, cells: DataFrame, value: str, low: Sequence[floa
     return met.groupBy("pid").agg(F.when(F.count("_v") == 4, F.sum(F.col("w") * F.col("_v"))).alias(value))
 
 
-def nearest_fill(cells: DataFrame, value: str, reach: int) -> DataFrame:
-    """Empty cells of the box with the value of the nearest cell at most reach away; ties by (ix, iy). Filled ones keep theirs."""
+def nearest_fill(cells: DataFrame, value: str, reach: float | None = None) -> DataFrame:
+    """Empty cells of the box with the value of the nearest cell (of those at most reach away, if given); ties by (ix, iy). Filled ones keep theirs.
+
+    Exact in two passes: the nearest filled cell of each column by windows, then
+    along each row the best of the columns, further ones only while they can win.
+    """
     from karst.operators import rasters
 
-    full = rasters.dense(cells, value)
-    offsets = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach]
-    listed = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(a * a + b * b).alias("d")) for a, b in offsets])
-    sent = full.where(F.col(value).isNotNull()).withColumn("o", F.explode(listed))
-    best = sent.groupBy((F.col("ix") + F.col("o.a")).alias("ix"), (F.col("iy") + F.col("o.b")).alias("iy")).agg(F.min_by(value, F.struct(F.col("o.d"), F.col("ix"), F.col("iy"))).alias("_near"))
-    return full.join(best, ["ix", "iy"], "left").select("ix", "iy", F.coalesce(value, "_near").alias(value))
+    full = rasters.dense(cells.select("ix", "iy", F.col(value).cast("double").alias(value)), value)
+    kind = dict(cells.dtypes)[value]
+    w = Window.partitionBy("ix").orderBy("iy")
+    at = F.when(F.col(value).isNotNull(), F.struct("iy", F.col(value).alias("v")))
+    below, above = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = full.withColumn("_a", below).withColumn("_b", above)
+    take_a = F.col("_b").isNull() | (F.col("iy") - F.col("_a.iy") <= F.col("_b.iy") - F.col("iy"))
+    columns = both.select("ix", "iy", *[F.when(F.col("_a").isNotNull() & take_a, F.col(f"_a.{c}")).otherwise(F.col(f"_b.{c}")).alias(n) for c, n in (("iy", "_y"), ("v", "_v"))])
+    most = math.inf if reach is None else reach * reach
+
+    def row(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ix")
+        ix, iy = table.column("ix").to_numpy(), table.column("iy").to_numpy()
+        y, v = table.column("_y").to_numpy(), table.column("_v").to_numpy()
+        dy = np.where(np.isnan(y), np.inf, (y - iy) ** 2)
+        best, out, n = dy.copy(), v.copy(), len(ix)
+        for k in range(1, n):
+            if k * k > best.max():
+                break
+            # on a tie the smaller ix: the left one first, over what was found nearer only if it is less
+            for a, b in ((slice(k, n), slice(0, n - k)), (slice(0, n - k), slice(k, n))):
+                d = dy[b] + k * k
+                win = d < best[a] if a.start == 0 else d <= best[a]
+                best[a] = np.where(win, d, best[a])
+                out[a] = np.where(win, v[b], out[a])
+        return pa.table({"ix": ix, "iy": iy, "_near": np.where(best <= most, out, np.nan)})
+
+    near = columns.groupBy("iy").applyInArrow(row, "ix long, iy long, _near double")
+    kept = full.join(near, ["ix", "iy"], "left")
+    return kept.select("ix", "iy", F.coalesce(value, F.when(~F.isnan("_near"), F.col("_near"))).cast(kind).alias(value))
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:

@@ -6,53 +6,104 @@ sides of more than MOST_LANDMARKS are refused before anything is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import permutations
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import rasters, stats
+from karst.operators import geometry, graphs, rasters, stats
 from karst.operators.spatial import near_pairs
 
 MOST_LANDMARKS = 500
 MOST_6DOF = 25
 
 
-def occupied(cells: DataFrame, least: int = 1, relative: float | None = None, window: int = 21) -> DataFrame:
-    """Cells that count as filled: so many points, or a share of the median count around."""
+def occupied(cells: DataFrame, least: float = 1, relative: float | None = None, window: int = 21, smooth: float = 0.0) -> DataFrame:
+    """Cells that count as filled: so many points, or a share of the median count around; smooth: of counts after a Gaussian of so many cells."""
+    counts = cells.select("ix", "iy", "n")
+    if smooth > 0:
+        counts = rasters.gaussian(counts, smooth, "n").withColumnRenamed("smooth", "n")
     if relative is None:
-        return cells.where(F.col("n") >= least).select("ix", "iy")
-    near = rasters.median_filter(rasters.dense(cells, "n", F.lit(0)), window, "n")
-    return cells.join(near, ["ix", "iy"]).where(F.col("n") >= F.lit(relative) * F.col("median")).select("ix", "iy")
+        return counts.where(F.col("n") >= least).select("ix", "iy")
+    # empty cells count as zero, and none of them is filled but where the median around is zero, too
+    full = rasters.dense(counts, "n", F.lit(0))
+    near = rasters.median_filter(full, window, "n")
+    kept = (full if smooth > 0 else cells).join(near, ["ix", "iy"])
+    return kept.where(F.col("n") >= F.lit(relative) * F.col("median")).select("ix", "iy")
+
+
+def ceiling_cells(cells: DataFrame, jump: float, least: float = 1, relative: float | None = None, window: int = 21, smooth: float = 0.0, size: int = 7) -> DataFrame:
+    """Cells where a ceiling is missing or more than jump off its surroundings: the highest point against the median around (empty cells at the median of all), and enclosed empty cells."""
+    full = occupied(cells, least, relative, window, smooth)
+    heights = full.join(cells.select("ix", "iy", F.col("zmax").cast("double").alias("h")), ["ix", "iy"])
+    middle = heights.agg(F.median("h")).first()[0]
+    local = rasters.median_filter(rasters.dense(heights, "h", F.lit(float(middle or 0.0))), size, "h")
+    off = heights.join(local, ["ix", "iy"]).where(F.abs(F.col("h") - F.col("median")) > jump).select("ix", "iy")
+    return off.unionAll(rasters.enclosed(full).select("ix", "iy")).distinct()
+
+
+def _shapes(named: DataFrame, res: float) -> DataFrame:
+    """component, n, x, y, area, radius and ellipse of labelled cells (component, x, y): of fewer than three a circle."""
+    shape = named.groupBy("component").agg(*stats.ellipse("x", "y"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    area = F.col("n") * res * res
+    circle, few = F.sqrt(area / F.pi()), F.col("n") < 3
+    flat = few | ~(F.col("semi_major") > 0)
+    return shape.withColumns({"area": area, "radius": circle, "semi_major": F.when(flat, circle).otherwise(F.col("semi_major")), "semi_minor": F.when(flat, circle).otherwise(F.col("semi_minor")), "orientation": F.when(few, F.lit(0.0)).otherwise(F.col("orientation"))})
 
 
-def voids(cells: DataFrame, res: float, low: tuple[float, float], least: int = 1, min_area: float = 0.0, max_area: float = float("inf"), relative: float | None = None, window: int = 21, edge: int = 0) -> DataFrame:
-    """component, n, area, x, y, z, radius and ellipse of each enclosed void of an occupancy grid.
+def holes_of(labelled: DataFrame, cells: DataFrame, res: float, low: tuple[float, float], min_area: float = 0.0, max_area: float = float("inf"), body: DataFrame | None = None, merge: float | None = None) -> DataFrame:
+    """component, n, x, y, z, area, radius and ellipse of labelled hole cells (ix, iy, component).
 
-    The level is the median of mean heights of filled cells that touch the void; a
-    void whose centre lies within `edge` cells of the grid's outline is left out.
+    The level z is the median of mean heights of cells with points in a hole or
+    beside it (of all cells where there are none).  With a body (cells), a hole whose
+    centre is not in it is left out.  merge: holes whose ellipses, widened by it, reach
+    each other become one, also over others, with the cells of all and the mean level
+    by cells.
     """
-    full = occupied(cells, least, relative, window)
-    holes = rasters.enclosed(full).persist()
-    named = holes.select("component", (F.col("ix") * res + low[0] + res / 2).alias("x"), (F.col("iy") * res + low[1] + res / 2).alias("y"))
-    shape = named.groupBy("component").agg(*stats.ellipse("x", "y"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    touching = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in rasters.CROSS])
-    rim = holes.select("component", F.explode(F.transform(touching, lambda o: F.struct((F.col("ix") + o["a"]).alias("ix"), (F.col("iy") + o["b"]).alias("iy")))).alias("c")).select("component", "c.ix", "c.iy").distinct()
-    level = rim.join(full, ["ix", "iy"], "left_semi").join(cells.select("ix", "iy", (F.col("zsum") / F.col("n")).alias("h")), ["ix", "iy"]).groupBy("component").agg(F.median("h").alias("z"))
-    area = F.col("n") * res * res
-    circle = F.sqrt(area / F.pi())
-    out = shape.join(level, "component", "left").withColumn("area", area).where(F.col("area").between(min_area, max_area))
-    if edge:
-        body = full.unionAll(holes.select("ix", "iy"))
-        for _ in range(edge):
-            body = rasters.erode(body)
+    named = labelled.select("component", "ix", "iy", (F.col("ix") * res + low[0] + res / 2).alias("x"), (F.col("iy") * res + low[1] + res / 2).alias("y")).persist()
+    shape = _shapes(named, res).where(F.col("area").between(min_area, max_area))
+    if body is not None:
         middle = [F.bround((F.col(c) - low[k] - res / 2) / res).cast("long").alias(f"i{c}") for k, c in enumerate("xy")]
-        out = out.withColumns({f"i{c}": m for c, m in zip("xy", middle, strict=True)}).join(body, ["ix", "iy"], "left_semi").drop("ix", "iy")
-    few = F.col("n") < 3
-    return out.withColumns({"radius": circle, "semi_major": F.when(few, circle).otherwise(F.col("semi_major")), "semi_minor": F.when(few, circle).otherwise(F.col("semi_minor")), "orientation": F.when(few, F.lit(0.0)).otherwise(F.col("orientation"))})
+        shape = shape.withColumns({f"i{c}": m for c, m in zip("xy", middle, strict=True)}).join(body, ["ix", "iy"], "left_semi").drop("ix", "iy")
+    touching = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ((0, 0), *rasters.CROSS)])
+    heights = cells.where("n > 0").select("ix", "iy", (F.col("zsum") / F.col("n")).alias("h"))
+    rim = named.select("component", F.explode(F.transform(touching, lambda o: F.struct((F.col("ix") + o["a"]).alias("ix"), (F.col("iy") + o["b"]).alias("iy")))).alias("c")).select("component", "c.ix", "c.iy").distinct()
+    level = rim.join(heights, ["ix", "iy"]).groupBy("component").agg(F.median("h").alias("z"))
+    every = heights.agg(F.median("h").alias("_z"))
+    shape = shape.join(level, "component", "left").crossJoin(F.broadcast(every)).withColumn("z", F.coalesce("z", "_z")).drop("_z")  # every is one row
+    if merge is None:
+        return shape
+    shape = shape.persist()
+    ids = shape.select(F.col("component").alias("id"), "x", "y", "semi_major", "semi_minor", "orientation")
+    roots = graphs.components(ids, overlaps(ids, merge)).withColumnRenamed("node", "component")
+    level = shape.join(roots, "component").groupBy("root").agg((F.sum(F.col("z") * F.col("n")) / F.sum("n")).alias("z"), F.count("*").alias("merged"))
+    pooled = _shapes(named.join(roots, "component").select(F.col("root").alias("component"), "x", "y"), res)
+    return pooled.join(level.withColumnRenamed("root", "component"), "component")
+
+
+def _body(filled: DataFrame, edge: int) -> DataFrame | None:
+    for _ in range(edge):
+        filled = rasters.erode(filled)
+    return filled if edge else None
+
+
+def voids(cells: DataFrame, res: float, low: tuple[float, float], least: float = 1, min_area: float = 0.0, max_area: float = float("inf"), relative: float | None = None, window: int = 21, edge: int = 0, smooth: float = 0.0, merge: float | None = None) -> DataFrame:
+    """Enclosed voids of an occupancy grid, as holes_of gives them; edge: centres within so many cells of the outline are left out."""
+    full = occupied(cells, least, relative, window, smooth)
+    found = rasters.enclosed(full).persist()
+    return holes_of(found, cells, res, low, min_area, max_area, _body(full.unionAll(found.select("ix", "iy")), edge), merge)
+
+
+def ceiling_holes(cells: DataFrame, res: float, low: tuple[float, float], jump: float = 1.5, least: float = 1, min_area: float = 0.0, max_area: float = float("inf"), relative: float | None = None, window: int = 21, edge: int = 0, smooth: float = 0.0, merge: float | None = None) -> DataFrame:
+    """Holes of a ceiling (cells of a cloud turned upright), as holes_of gives them."""
+    found = rasters.label(ceiling_cells(cells, jump, least, relative, window, smooth))
+    full = occupied(cells, least, relative, window, smooth)
+    body = _body(full.unionAll(rasters.enclosed(full).select("ix", "iy")), edge) if edge else None
+    return holes_of(found, cells, res, low, min_area, max_area, body, merge)
 
 
 def overlaps(holes: DataFrame, factor: float) -> DataFrame:
@@ -90,6 +141,15 @@ def gated_pairs(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     return left.join(right, "bin").where(F.abs(F.col("da") - F.col("db")) <= tolerance).select("a1", "a2", "b1", "b2", "da", "db")
 
 
+def distances(marks: DataFrame) -> DataFrame:
+    """a, b, dist of all pairs (a < b) of a bounded number of landmarks."""
+    if marks.limit(MOST_LANDMARKS + 1).count() > MOST_LANDMARKS:
+        raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
+    p, q = (marks.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "x", "y", "z")]) for n in "pq")
+    dist = F.sqrt(sum((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in "xyz"))
+    return p.join(q, F.col("p_id") < F.col("q_id")).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"), dist.alias("dist"))
+
+
 def kabsch(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The proper rotation and shift that best carry source onto target, as 4x4."""
     s, t = source.mean(axis=0), target.mean(axis=0)
@@ -133,33 +193,48 @@ def _assigned(moved: np.ndarray, target: np.ndarray, tolerance: float) -> list[t
     return sorted(out)
 
 
-def _shape_cost(b: np.ndarray, a: np.ndarray, pairs: list[tuple[int, int]]) -> float:
-    """Mean disagreement of sizes and axis ratios; columns after x, y, z: area, semi major, semi minor."""
+def _shape_cost(b: np.ndarray, a: np.ndarray, pairs: list[tuple[int, int]], matrix: np.ndarray, up_a: np.ndarray, up_b: np.ndarray) -> float:
+    """Mean disagreement, 0 to 1, of sizes, axis ratios and directions of the long axes once moved; columns after x, y, z: area, semi major, semi minor, orientation."""
     if a.shape[1] < 6 or not pairs:
         return 0.0
     i, j = np.array(pairs).T
-    size = np.abs(np.log(np.maximum(b[i, 3], 1e-9) / np.maximum(a[j, 3], 1e-9)))
-    ratio = np.abs(b[i, 5] / np.maximum(b[i, 4], 1e-9) - a[j, 5] / np.maximum(a[j, 4], 1e-9))
-    return float((size + ratio).mean() / 2)
-
-
-def match(a: np.ndarray, b: np.ndarray, mode: str = "auto", tolerance: float = 2.0, least: int = 3) -> Match:
-    """Best motion of landmarks b onto a: most inliers, then smallest rms, then best agreement of shapes."""
+    share = lambda p, q: np.abs(p - q) / np.maximum(p + q, 1e-9)
+    ratio = lambda v: v[:, 4] / np.maximum(v[:, 5], 1e-9)
+    terms = [share(np.maximum(b[i, 3], 1e-9), np.maximum(a[j, 3], 1e-9)), share(ratio(b[i]), ratio(a[j]))]
+    if a.shape[1] > 6:
+        z = (0, 0, 1)
+        axes = [np.column_stack([np.cos(t), np.sin(t), 0 * t]) @ geometry.align(up, z) for t, up in ((b[i, 6], up_b), (a[j, 6], up_a))]
+        cosine = np.abs(np.einsum("ij,ij->i", axes[0] @ matrix[:3, :3].T, axes[1]))
+        terms.append(np.arccos(np.clip(cosine, 0, 1)) / (np.pi / 2))
+    else:
+        terms.append(np.zeros(len(i)))
+    return float(np.mean(terms))
+
+
+def match(a: np.ndarray, b: np.ndarray, mode: str = "auto", tolerance: float = 2.0, least: int = 3, up_a: Sequence[float] = (0, 0, 1), up_b: Sequence[float] = (0, 0, 1)) -> Match:
+    """Best motion of landmarks b onto a: most inliers, then smallest rms, then best agreement of shapes.
+
+    With four degrees of freedom b's up is first turned to a's and the motion then
+    keeps it: a turn about it, a shift across by least squares and along by the median.
+    """
     if len(a) > MOST_LANDMARKS or len(b) > MOST_LANDMARKS:
         raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
     if len(a) < 2 or len(b) < 2:
         raise ValueError("matching needs two landmarks on each side")
+    up_a, up_b = geometry.unit(up_a), geometry.unit(up_b)
+    upright_a, upright_b = (geometry.motion(geometry.align(u, (0, 0, 1)), (0, 0, 0)) for u in (up_a, up_b))
+
+    def kept_up(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return upright_a.T @ upright(source @ upright_b[:3, :3].T, target @ upright_a[:3, :3].T) @ upright_b
+
     found: dict[frozenset, Match] = {}
     pa, pb = a[:, :3], b[:, :3]
-    for m, size, fit in (("4dof", 2, upright), ("6dof", 3, kabsch)):
+    for m, size, fit in (("4dof", 2, kept_up), ("6dof", 3, kabsch)):
         if mode not in ("auto", m) or size == 3 and (mode == "auto" and max(len(a), len(b)) > MOST_6DOF or min(len(a), len(b)) < 3):
             continue
-        da, db = (np.linalg.norm(p[:, None] - p[None], axis=2) for p in (pa, pb))
-        if size == 2:
-            seeds = [((p, q), (i, j)) for p in range(len(b)) for q in range(p + 1, len(b)) for i, j in np.argwhere((np.abs(da - db[p, q]) <= tolerance) & (da > 0)).tolist()]
-        else:
-            seeds = [((p, q, r), t) for p in range(len(b)) for q in range(p + 1, len(b)) for r in range(q + 1, len(b)) for t in permutations(range(len(a)), 3) if abs(da[t[0], t[1]] - db[p, q]) <= tolerance and abs(da[t[0], t[2]] - db[p, r]) <= tolerance and abs(da[t[1], t[2]] - db[q, r]) <= tolerance]
-        for s, t in seeds:
+        if size == 3 and max(len(a), len(b)) > MOST_6DOF:
+            raise ValueError(f"six degrees of freedom need at most {MOST_6DOF} landmarks")
+        for s, t in _seeds(pa, pb, size, tolerance):
             matrix = fit(pb[list(s)], pa[list(t)])
             pairs = _assigned(pb @ matrix[:3, :3].T + matrix[:3, 3], pa, tolerance)
             if len(pairs) < size:
@@ -168,7 +243,7 @@ def match(a: np.ndarray, b: np.ndarray, mode: str = "auto", tolerance: float = 2
             if len(pairs) > size:
                 matrix = fit(pb[i], pa[j])
             rms = float(np.sqrt(((pb[i] @ matrix[:3, :3].T + matrix[:3, 3] - pa[j]) ** 2).sum(axis=1).mean()))
-            new = Match(matrix, pairs, rms, m, shape=_shape_cost(b, a, pairs))
+            new = Match(matrix, pairs, rms, m, shape=_shape_cost(b, a, pairs, matrix, up_a, up_b))
             old = found.get(frozenset(pairs))
             if old is None or (new.rms, new.shape) < (old.rms - 1e-12, old.shape):
                 found[frozenset(pairs)] = new
@@ -190,6 +265,60 @@ def match(a: np.ndarray, b: np.ndarray, mode: str = "auto", tolerance: float = 2
     return best
 
 
+def _seeds(pa: np.ndarray, pb: np.ndarray, size: int, tolerance: float) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Pairs or triplets of b with those of a at the same distances; distances of a are looked up in order, not all compared."""
+    da, db = (np.linalg.norm(p[:, None] - p[None], axis=2) for p in (pa, pb))
+    i, j = np.nonzero(~np.eye(len(pa), dtype=bool))
+    order = np.argsort(da[i, j], kind="stable")
+    i, j, d = i[order], j[order], da[i, j][order]
+    for p, q in combinations(range(len(pb)), 2):
+        lo, hi = np.searchsorted(d, [db[p, q] - tolerance, db[p, q] + tolerance], side="left")
+        hi = np.searchsorted(d, db[p, q] + tolerance, side="right")
+        for u, v in sorted(zip(i[lo:hi].tolist(), j[lo:hi].tolist(), strict=True)):
+            if size == 2:
+                if da[u, v] > 0:
+                    yield (p, q), (u, v)
+                continue
+            for r in range(q + 1, len(pb)):
+                near = (np.abs(da[u] - db[p, r]) <= tolerance) & (np.abs(da[v] - db[q, r]) <= tolerance)
+                near[[u, v]] = False
+                for w in np.flatnonzero(near).tolist():
+                    yield (p, q, r), (u, v, w)
+
+
+def vertical_residuals(a: np.ndarray, b: np.ndarray, found: Match, up: Sequence[float] = (0, 0, 1)) -> list[float]:
+    """How far each matched landmark of b, once moved, is above the one of a."""
+    up, m = geometry.unit(up), found.matrix
+    return [float((m[:3, :3] @ b[i, :3] + m[:3, 3] - a[j, :3]) @ up) for i, j in found.inliers]
+
+
+def rim(points: DataFrame, anchors: DataFrame, height: float, radius: float, inflate: float = 1.0, up: Sequence[float] = (0, 0, 1)) -> DataFrame:
+    """Points (pid, x, y, z, ...) near their nearest anchor's opening: within the ellipse grown by inflate, or radius where there is none, and a band of height along up.
+
+    anchors: pid, x, y, z and semi_major, semi_minor, mx, my, mz (direction of the
+    long axis) or nulls; few and literal in the plan.
+    """
+    from karst.operators.spatial import MOST_ANCHORS, nearest
+
+    few = anchors.limit(MOST_ANCHORS + 1).collect()
+    u = geometry.unit(up)
+    axes = []
+    for r in few:
+        if r["semi_major"] is None:
+            major, size = geometry.align((0, 0, 1), u) @ np.array([1.0, 0.0, 0.0]), (radius, radius)
+        else:
+            major, size = geometry.unit((r["mx"], r["my"], r["mz"])), tuple(max(inflate * float(r[c]), 1e-6) for c in ("semi_major", "semi_minor"))
+        axes.append((r["pid"], [float(r[c]) for c in "xyz"], major, geometry.unit(np.cross(u, major)), size))
+    own = nearest(points, anchors).select("pid", "anchor")
+    d = lambda at: [F.col(c) - F.lit(v) for c, v in zip("xyz", at, strict=True)]
+    dot = lambda p, q: sum((x * F.lit(float(v)) for x, v in zip(p, q, strict=True)), F.lit(0.0))
+    inside = F.lit(False)
+    for pid, at, major, minor, (p, q) in axes:
+        off = d(at)
+        inside = F.when(F.col("anchor") == pid, ((dot(off, major) / p) ** 2 + (dot(off, minor) / q) ** 2 <= 1) & (F.abs(dot(off, u)) <= height)).otherwise(inside)
+    return points.join(own, "pid").where(inside)
+
+
 def refine(source: np.ndarray, target: np.ndarray, start: np.ndarray, dof: int = 4, most_shift: float = 2.0, rounds: int = 50, reach: float = 5.0) -> tuple[np.ndarray, bool]:
     """Point-to-point ICP of rim points; kept only if it lowers the rms and moves no further than most_shift. Returns the motion and whether it changed."""
     if len(source) < 4 or len(target) < 4:

@@ -36,15 +36,16 @@ def finite(points: DataFrame, *names: str) -> DataFrame:
     return points.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in names]))
 
 
-def voxel_downsample(points: DataFrame, size: float, means: dict[str, Column] | None = None) -> DataFrame:
+def voxel_downsample(points: DataFrame, size: float | dict[str, float], means: dict[str, Column] | None = None) -> DataFrame:
     """One row for each occupied voxel: vx, vy, vz, n and the mean of every column.
 
     Aggregation is partial before the shuffle, which carries a row for each task
     and voxel.  `means` maps names to integer columns whose sums shall be exact.
     """
-    if size <= 0:
+    sizes = size if isinstance(size, dict) else dict.fromkeys("xyz", size)
+    if min(sizes.values()) <= 0:
         raise ValueError("a voxel needs a size above zero")
-    key = [C.voxel(c, size).alias(f"v{c}") for c in "xyz"]
+    key = [C.voxel(c, v).alias(f"v{c}") for c, v in sizes.items()]
     if means is None:
         aggs = [F.avg(c).alias(c) for c, t in points.dtypes if t in ("double", "float", "int", "bigint", "smallint") and c not in ("pid", "source")]
     else:

@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.operators.lineage import cut
+from karst.operators.points import check_grid
 
 CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
 MOST_ROUNDS = 200
 
 
 def dense(cells: DataFrame, value: str, fill: Column | None = None) -> DataFrame:
-    """All cells of the bounding box with the value, null (or fill) where there is none."""
-    box = cells.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    every = box.where("x0 is not null").select(F.explode(F.sequence("x0", "x1")).alias("ix"), "y0", "y1").select("ix", F.explode(F.sequence("y0", "y1")).alias("iy"))
+    """All cells of the bounding box with the value, null (or fill) where there is none; refuses a box of more than MOST_CELLS."""
+    row = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    if row[0] is None:
+        return cells.select("ix", "iy", (F.col(value) if fill is None else F.coalesce(value, fill)).alias(value))
+    x0, x1, y0, y1 = map(int, row)
+    check_grid(x1 - x0 + 1, y1 - y0 + 1)
+    every = cells.sparkSession.range(x0, x1 + 1).select(F.col("id").alias("ix"), F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long"))).alias("iy"))
     return every.join(cells.select("ix", "iy", value), ["ix", "iy"], "left").select("ix", "iy", (F.col(value) if fill is None else F.coalesce(value, fill)).alias(value))
 
 
@@ -46,14 +51,24 @@ def median_filter(cells: DataFrame, size: int, value: str) -> DataFrame:
 
 
 def gaussian(cells: DataFrame, sigma: float, value: str) -> DataFrame:
-    """Weighted mean over the existing cells within 4 sigma: two passes, one for each axis."""
+    """smooth of every cell of the box: a Gaussian cut off at 4 sigma, empty cells as zero, mirrored beyond the edges (the edge cell stands twice). Two passes, one for each axis."""
     reach = int(4 * sigma + 0.5)
-    weights = [(k, exp(-0.5 * (k / sigma) ** 2)) for k in range(-reach, reach + 1)]
-    rows = cells.select("ix", "iy", F.col(value).alias("s"), F.lit(1.0).alias("m"))
-    for offsets in ([(k, 0, w) for k, w in weights], [(0, k, w) for k, w in weights]):
-        both = rows.withColumn("v", F.struct("s", "m"))
-        rows = _scattered(both, offsets, "v").groupBy("ix", "iy").agg(F.sum(F.col("w") * F.col("v.s")).alias("s"), F.sum(F.col("w") * F.col("v.m")).alias("m"))
-    return rows.join(cells.select("ix", "iy"), ["ix", "iy"], "left_semi").select("ix", "iy", (F.col("s") / F.col("m")).alias("smooth"))
+    weights = [exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    listed = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-reach, reach + 1), weights, strict=True)])
+    row = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    rows = cells.where(F.col(value) != 0).select("ix", "iy", F.col(value).cast("double").alias("smooth"))
+    if row[0] is None:
+        return rows
+    for c, low, high in (("ix", row[0], row[1]), ("iy", row[2], row[3])):
+        n = int(high - low + 1)
+        # a cell's mirror images within reach of the box, by periods of twice its length
+        turns = range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2)
+        images = F.array(*[x for t in turns for x in (F.col(c) + 2 * n * t, F.lit(2 * int(low) - 1 + 2 * n * t) - F.col(c))])
+        near = rows.withColumn("_at", F.explode(images)).where(F.col("_at").between(low - reach, high + reach))
+        sent = near.withColumn("_o", F.explode(listed)).withColumn("_to", F.col("_at") + F.col("_o.k")).where(F.col("_to").between(low, high))
+        key = [F.col("_to").alias(c) if x == c else F.col(x) for x in ("ix", "iy")]
+        rows = sent.groupBy(*key).agg(F.sum(F.col("smooth") * F.col("_o.w")).alias("smooth"))
+    return dense(cells.select("ix", "iy").withColumn("_1", F.lit(1)), "_1").join(rows, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("smooth", F.lit(0.0)).alias("smooth"))
 
 
 def dilate(mask: DataFrame) -> DataFrame:
@@ -78,7 +93,9 @@ def label(mask: DataFrame) -> DataFrame:
     own = mask.select("ix", "iy").distinct().withColumn("node", key).withColumn("root", key)
     own = cut(own)
     last = None
-    for _ in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS + 1):
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
         near = _scattered(own, [(0, 0, 1), *((a, b, 1) for a, b in CROSS)], "root").groupBy("ix", "iy").agg(F.min("root").alias("least"))
         new = own.join(near, ["ix", "iy"]).select("ix", "iy", "node", F.least("root", "least").alias("root"))
         names = new.select(F.col("node").alias("root"), F.col("root").alias("over"))
@@ -95,12 +112,14 @@ def label(mask: DataFrame) -> DataFrame:
 def enclosed(mask: DataFrame) -> DataFrame:
     """Empty cells of the box that no 4-connected way of empty cells leads out from: what hole filling adds.
 
-    Only void cells are labelled, and a void is enclosed if it does not touch the box's edge.
+    Only void cells are labelled, and a void is enclosed if it does not touch the
+    box's edge.  The voids that do are as few as edge cells at most; no key's cells
+    are gathered to drop them.
     """
     full = dense(mask.select("ix", "iy").distinct().withColumn("_1", F.lit(1)), "_1")
     box = mask.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
     void = full.where("_1 is null").select("ix", "iy")
-    named = void.join(label(void), ["ix", "iy"]).crossJoin(F.broadcast(box))  # box is one row
+    named = label(void).crossJoin(F.broadcast(box))  # box is one row
     edge = named.where("ix = x0 or ix = x1 or iy = y0 or iy = y1").select("component").distinct()
     return named.join(edge, "component", "left_anti").select("ix", "iy", "component")
 
@@ -113,12 +132,26 @@ def block_mean(cells: DataFrame, factor: int, value: str) -> DataFrame:
 
 
 def slope(cells: DataFrame, value: str, res: float) -> DataFrame:
-    """Gradient magnitude where a cell and its four neighbours exist."""
+    """Gradient magnitude: half the step between a cell's neighbours on each axis, at the box's edges the one step there is; none where a cell it needs is empty."""
     sent = _scattered(cells, [(a, b, 2 * a + b) for a, b in CROSS], value)
     w = lambda k: F.max(F.when(F.col("w") == k, F.col(value)))
     both = sent.groupBy("ix", "iy").agg(w(2).alias("left"), w(-2).alias("right"), w(1).alias("below"), w(-1).alias("above"))
-    gx, gy = (F.col("right") - F.col("left")) / (2 * res), (F.col("above") - F.col("below")) / (2 * res)
-    return both.join(cells.select("ix", "iy"), ["ix", "iy"], "left_semi").where((gx + gy).isNotNull()).select("ix", "iy", F.sqrt(gx * gx + gy * gy).alias("slope"))
+    box = cells.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
+    own = cells.select("ix", "iy", F.col(value).alias("_v")).join(both, ["ix", "iy"], "left").crossJoin(F.broadcast(box))  # box is one row
+
+    def step(i: str, low: str, high: str, before: str, after: str) -> Column:
+        return F.when(F.col(i) == F.col(low), F.col(after) - F.col("_v")).when(F.col(i) == F.col(high), F.col("_v") - F.col(before)).otherwise((F.col(after) - F.col(before)) / 2) / F.lit(float(res))
+
+    gx, gy = step("ix", "x0", "x1", "left", "right"), step("iy", "y0", "y1", "below", "above")
+    return own.where((gx + gy).isNotNull()).select("ix", "iy", F.sqrt(gx * gx + gy * gy).alias("slope"))
+
+
+def dem(cells: DataFrame, value: str = "zmax", size: int = 3) -> DataFrame:
+    """Elevations: each cell's value after a median over size x size cells, empty ones filled from the nearest for that, and left out again."""
+    from karst.operators.geometry import nearest_fill
+
+    filled = nearest_fill(cells.select("ix", "iy", F.col(value).cast("double").alias(value)), value)
+    return median_filter(filled, size, value).join(cells.select("ix", "iy"), ["ix", "iy"], "left_semi").select("ix", "iy", F.col("median").alias(value))
 
 
 def lookup(points: DataFrame, cells: DataFrame, ix: Column, iy: Column) -> DataFrame:

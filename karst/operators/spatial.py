@@ -9,8 +9,9 @@ picks the join; adaptive execution splits cells that are crowded.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
@@ -34,9 +35,20 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str = "xy
 
 
 def radius_count(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """pid, n: points at most radius away, itself included."""
-    slim = points.select("pid", *axes)
-    return near_pairs(slim, slim, radius, axes).groupBy(F.col("a.pid").alias("pid")).agg(F.count("*").alias("n"))
+    """pid, n: points at most radius away, itself included.
+
+    Each pair of cells meets once: a cell joins itself and the half of its
+    neighbours that come after it, and a pair counts at both its ends.
+    """
+    keys = [f"k{c}" for c in axes]
+    slim = points.select("pid", *axes, *[C.voxel(c, radius).alias(f"k{c}") for c in axes])
+    after = [o for o in product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
+    sent = F.explode(F.array(*[F.struct(*[(F.col(k) + v).alias(k) for k, v in zip(keys, o, strict=True)], F.lit(o == (0,) * len(axes)).alias("own")) for o in after])).alias("o")
+    lhs = slim.select("pid", *axes, sent).select(F.col("pid").alias("p"), *[F.col(c).alias(f"a{c}") for c in axes], "o.*")
+    d2 = reduce(lambda p, q: p + q, [(F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in axes])
+    met = lhs.join(slim, keys).where(d2 <= radius * radius)
+    ends = F.explode(F.when(F.col("own"), F.array("p")).otherwise(F.array("p", "pid"))).alias("pid")
+    return met.select(ends).groupBy("pid").agg(F.count("*").alias("n"))
 
 
 def radius_outliers(points: DataFrame, radius: float, least: int, axes: str = "xyz") -> DataFrame:
@@ -56,16 +68,19 @@ def knn(points: DataFrame, k: int, start: float, axes: str = "xyz", most_rounds:
     total = slim.count()
     k = min(k, max(total - 1, 0))
     asked, done, radius = slim, [], start
-    for _ in range(most_rounds):
-        pairs = near_pairs(asked, slim, radius, axes).where("a.pid <> b.pid")
-        ranked = cut(pairs.groupBy(F.col("a.pid").alias("pid")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", F.col("b.pid").alias("other")))), 1, max(k, 1)).alias("near")).where(F.size("near") >= k))
+    for turn in range(most_rounds + 1):
+        if turn == most_rounds:
+            raise RuntimeError(f"points still lack neighbours within {radius}")
+        pairs = near_pairs(asked, slim, radius, axes).where("a.pid <> b.pid").select(F.col("a.pid").alias("pid"), F.col("b.pid").alias("other"), "d2")
+        # the limit on the rank goes before the shuffle: no point's pairs are gathered
+        ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "other"))).where(F.col("place") <= max(k, 1))
+        ranked = cut(ranked.withColumn("_n", F.count("*").over(Window.partitionBy("pid"))).where(F.col("_n") >= k).select("pid", "other", "d2", (F.col("place") - 1).cast("long").alias("place")))
         done.append(ranked)
-        asked = cut(asked.join(ranked.select("pid"), "pid", "left_anti"))
+        asked = cut(asked.join(ranked.select("pid").distinct(), "pid", "left_anti"))
         if k == 0 or not asked.head(1):
             break
         radius *= 2
-    out = reduce(DataFrame.unionAll, done)
-    return out.select("pid", F.posexplode("near").alias("place", "v")).select("pid", "v.other", "v.d2", F.col("place").cast("long").alias("place"))
+    return reduce(DataFrame.unionAll, done)
 
 
 def statistical_outliers(points: DataFrame, k: int, ratio: float, start: float, axes: str = "xyz") -> DataFrame:

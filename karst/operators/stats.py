@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,34 @@ def percentiles(c: str, shares: Sequence[float]) -> list[Column]:
     return [F.get(every, F.lit(k)).alias(f"p{round(q * 100)}") for k, q in enumerate(shares)]
 
 
+def grouped_percentiles(rows: DataFrame, by: Sequence[str], c: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
+    """Exact percentiles with linear interpolation of each group, for groups of any size.
+
+    A histogram tells in which bins the two values around each share lie; only those
+    bins' distinct values are then counted in order, so no task holds a group.
+    """
+    v = F.col(c).cast("double")
+    rows = rows.where(v.isNotNull()).select(*by, v.alias("_v"))
+    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    placed = rows.join(span, list(by)).withColumn("_bin", bin_of)
+    w = Window.partitionBy(*by).orderBy("_bin")
+    hist = placed.groupBy(*by, "_bin").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")).withColumn("_before", F.sum("_k").over(w) - F.col("_k"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(float(q)) * (F.col("_n") - 1)), F.ceil(F.lit(float(q)) * (F.col("_n") - 1))) for q in shares])))
+    wanted = hist.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")))).where(F.size("_ranks") > 0).select(*by, "_bin", "_before", "_ranks", "_n")
+    each = placed.select(*by, "_bin", "_v").join(wanted.select(*by, "_bin"), [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_k"))
+    inner = Window.partitionBy(*by, "_bin").orderBy("_v")
+    ordered = each.withColumn("_upto", F.sum("_k").over(inner)).join(wanted, [*by, "_bin"])
+    found = ordered.select(*by, "_v", "_n", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_before") + F.col("_upto") - F.col("_k")) & (r < F.col("_before") + F.col("_upto")))).alias("_r"))
+
+    def at(q: float) -> Column:
+        p = F.lit(float(q)) * (F.first("_n") - 1)
+        low, high = (F.max(F.when(F.col("_r") == f(F.lit(float(q)) * (F.col("_n") - 1)), F.col("_v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (p - F.floor(p))
+
+    return found.groupBy(*by).agg(*[at(q).alias(f"p{round(q * 100)}") for q in shares])
+
+
 def moments(c: str) -> list[Column]:
     """n, mean, median, population deviation, rms, least, greatest, range."""
     return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.sqrt(F.avg(F.col(c) * F.col(c))).alias("rms"), F.min(c).alias("least"), F.max(c).alias("greatest"), (F.max(c) - F.min(c)).alias("spread")]
@@ -57,6 +85,11 @@ def quadratic(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> dict
     return fit(rows, z, {"x": a, "y": b, "xx": a * a, "xy": a * b, "yy": b * b})
 
 
+def quadrature(parts: DataFrame, sigma: str) -> DataFrame:
+    """sigma, terms: independent errors added as the root of the sum of squares."""
+    return parts.agg(F.sqrt(F.sum(F.col(sigma) * F.col(sigma))).alias("sigma"), F.count(sigma).alias("terms"))
+
+
 def draws(rounds: int, size: int, n: int, block: int, seed: int, spark) -> DataFrame:
     """b, i: for each round, size numbers below n, in blocks of neighbours (1: each by itself), by a linear congruence."""
     starts = -(-size // block)

@@ -15,11 +15,11 @@ from karst.plans.views import view
 from karst.sources import logs
 
 
-@query("SELECT pid, x, y, z FROM upts WHERE pid % 3 = 0 AND x IS NOT NULL AND NOT isnan(z)")
+@query("SELECT pid, x, y, z FROM upts WHERE x IS NOT NULL AND NOT isnan(z)")
 def finite_load(spark, d):
     from karst.operators.points import finite
 
-    return finite(view(spark, d, "upts"), "x", "y", "z").where("pid % 3 = 0").select("pid", "x", "y", "z")
+    return finite(view(spark, d, "upts"), "x", "y", "z").select("pid", "x", "y", "z")
 
 
 @query()
@@ -98,9 +98,9 @@ def smoothed_peaks(spark, d):
 FILL = f"{CELLS}, m AS (SELECT ix, iy, zmax FROM c WHERE n >= 120), x AS (SELECT min(ix) x0, max(ix) x1, min(iy) y0, max(iy) y1 FROM m), ax AS (SELECT unnest(range(x0, x1 + 1)) AS ix FROM x), ay AS (SELECT unnest(range(y0, y1 + 1)) AS iy FROM x), q AS (SELECT ax.ix, ay.iy, m.zmax, row_number() OVER (PARTITION BY ax.ix, ay.iy ORDER BY (m.ix - ax.ix) * (m.ix - ax.ix) + (m.iy - ay.iy) * (m.iy - ay.iy), m.ix, m.iy) AS k, (m.ix - ax.ix) * (m.ix - ax.ix) + (m.iy - ay.iy) * (m.iy - ay.iy) AS d FROM ax, ay, m)"
 
 
-@query(f"WITH {FILL} SELECT ix, iy, CASE WHEN d <= 9 THEN zmax END AS zmax FROM q WHERE k = 1")
+@query(f"WITH {FILL} SELECT ix, iy, zmax FROM q WHERE k = 1")
 def nearest_fill(spark, d):
-    return geometry.nearest_fill(cells(spark, d).where("n >= 120").select("ix", "iy", "zmax"), "zmax", 3)
+    return geometry.nearest_fill(cells(spark, d).where("n >= 120").select("ix", "iy", "zmax"), "zmax")
 
 
 BILINEAR = "f AS (SELECT pid, x / 5 - 0.5 AS fx, y / 5 - 0.5 AS fy FROM upts), g AS (SELECT pid, fx, fy, cast(floor(fx) AS bigint) AS i, cast(floor(fy) AS bigint) AS j FROM f)"
@@ -170,11 +170,11 @@ def regex_rules(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.when(s.rlike("^src1[0-9]$"), "ignored").when(s.rlike("[02468]$"), "even").otherwise("odd").alias("verdict"))
 
 
-@query("WITH n AS (SELECT pid AS id, x AS lon, y AS lat FROM upts WHERE pid < 200), w AS (SELECT pid % 10 AS way, row_number() OVER (PARTITION BY pid % 10 ORDER BY pid DESC) - 1 AS pos, pid AS node FROM upts WHERE pid < 200) SELECT way, pos::INTEGER AS pos, lat, lon FROM w JOIN n ON n.id = w.node")
+@query("WITH n AS (SELECT pid AS id, x AS lon, y AS lat FROM upts), w AS (SELECT pid // 100 AS way, row_number() OVER (PARTITION BY pid // 100 ORDER BY pid DESC) - 1 AS pos, pid AS node FROM upts) SELECT way, pos::INTEGER AS pos, lat, lon FROM w JOIN n ON n.id = w.node")
 def map_ways(spark, d):
-    u = view(spark, d, "upts").where("pid < 200")
+    u = view(spark, d, "upts")
     node = F.struct(F.lit("node").alias("type"), F.col("pid").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"))
-    n = u.groupBy((F.col("pid") % 10).alias("way")).agg(F.collect_list(node).alias("nodes"), F.sort_array(F.collect_list("pid"), False).alias("ids"))
+    n = u.groupBy(F.floor(F.col("pid") / 100).cast("long").alias("way")).agg(F.collect_list(node).alias("nodes"), F.sort_array(F.collect_list("pid"), False).alias("ids"))
     made = n.select(F.to_json(F.struct(F.concat(F.transform("nodes", lambda v: F.struct(v["type"].alias("type"), v["id"].alias("id"), v["lat"].alias("lat"), v["lon"].alias("lon"), F.lit(None).cast("array<long>").alias("nodes"))), F.array(F.struct(F.lit("way").alias("type"), F.col("way").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("ids").alias("nodes")))).alias("elements"))).alias("json"))
     return logs.ways(made)
 
@@ -223,33 +223,34 @@ def degraded_dem(spark, d):
     return c.join(m, key).groupBy("factor").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("m") - F.col("zmax"))), 6).alias("loss"))
 
 
-@query("SELECT round(sum(step), 4) AS length, round(sum(step) / nullif(abs(last(value ORDER BY s) - first(value ORDER BY s)), 0), 4) AS tortuosity, round(sum(value), 4) AS volume FROM (SELECT s, value, coalesce(abs(value - lag(value) OVER (ORDER BY s)), 0) AS step FROM stn WHERE user_id = 7)")
+@query("SELECT user_id, round(sum(step), 4) AS length, round(sum(step) / nullif(abs(last(value ORDER BY s) - first(value ORDER BY s)), 0), 4) AS tortuosity, round(sum(value), 4) AS volume FROM (SELECT user_id, s, value, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY s)), 0) AS step FROM stn) GROUP BY 1")
 def totals(spark, d):
     w = Window.partitionBy("user_id").orderBy("s")
-    rows = view(spark, d, "stn").where("user_id = 7").withColumn("step", F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)))
+    rows = view(spark, d, "stn").withColumn("step", F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)))
     gap = F.abs(F.max_by("value", "s") - F.min_by("value", "s"))
-    return rows.agg(F.round(F.sum("step"), 4).alias("length"), F.round(F.sum("step") / F.nullif(gap, F.lit(0.0)), 4).alias("tortuosity"), F.round(F.sum("value"), 4).alias("volume"))
+    return rows.groupBy("user_id").agg(F.round(F.sum("step"), 4).alias("length"), F.round(F.sum("step") / F.nullif(gap, F.lit(0.0)), 4).alias("tortuosity"), F.round(F.sum("value"), 4).alias("volume"))
 
 
-@query("SELECT sqrt(0.3::DOUBLE * 0.3::DOUBLE + 0.04::DOUBLE * 0.04::DOUBLE + 1.2::DOUBLE * 1.2::DOUBLE) AS sigma FROM (SELECT count(*) FROM stn)")
+@query("SELECT round(sqrt(sum(v)), 6) AS sigma, count(*) AS terms FROM (SELECT class, var_pop(value) / count(*) AS v FROM stn GROUP BY 1)")
 def error_budget(spark, d):
-    return spark.range(1).select(F.sqrt(F.lit(0.3) * F.lit(0.3) + F.lit(0.04) * F.lit(0.04) + F.lit(1.2) * F.lit(1.2)).alias("sigma"))
+    parts = view(spark, d, "stn").groupBy("class").agg((F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("sigma"))
+    return stats.quadrature(parts, "sigma").select(F.round("sigma", 6).alias("sigma"), "terms")
 
 
 @query()
 def up_axis(spark, d):
-    n = landmarks.up_axis(view(spark, d, "upts").where("pid < 2000"), 10, 6.0)
+    n = landmarks.up_axis(view(spark, d, "upts"), 10, 3.0)
     return spark.createDataFrame([tuple(map(float, np.round(n, 6)))], "x double, y double, z double")
 
 
 @query()
 def l1_skeleton(spark, d):
-    return skeletons.l1_skeleton(view(spark, d, "upts").where("z < 2"), 60, (6.0, 12.0), 2)
+    return skeletons.l1_skeleton(view(spark, d, "upts"), 60, (6.0, 12.0), 2)
 
 
 @query()
 def centreline(spark, d):
-    rows = skeletons.samples(view(spark, d, "upts").where("y < 6").select("pid", "x", "y", "z"), 400).collect()
+    rows = skeletons.samples(view(spark, d, "upts").select("pid", "x", "y", "z"), 400).collect()
     line = skeletons.resample(skeletons.order_polyline(np.array([[r["x"], r["y"], r["z"] / 10] for r in rows]), 8.0))
     return spark.createDataFrame([tuple(map(float, r)) for r in line], "s double, x double, y double, z double, tx double, ty double, tz double")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import curves, landmarks, points, profiles, rasters, reports, spatial, stats
+from karst.operators import curves, landmarks, points, profiles, rasters, relations, reports, spatial, stats
 from karst.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,8 @@ CELLS = "c AS (SELECT cast(floor(x / 5) AS bigint) AS ix, cast(floor(y / 5) AS b
 
 @query("SELECT cast(floor(x / 5) AS bigint) AS vx, cast(floor(y / 5) AS bigint) AS vy, cast(floor(z / 2) AS bigint) AS vz, count(*) AS n, cast(sum(mx) AS double) / (100000.0::DOUBLE * count(*)) AS mean_x, 2 * cast(sum(my) AS double) / count(*) AS mean_y, cast(sum(mz) AS double) / (10.0::DOUBLE * count(*)) AS mean_z FROM (SELECT *, z AS zz FROM pts WHERE x BETWEEN 2 AND 90 AND y BETWEEN 4 AND 96) GROUP BY 1, 2, 3")
 def voxel_downsample(spark, d):
-    p = points.crop(view(spark, d, "pts"), (2, 4, 90, 96))
     size = {"x": 5.0, "y": 5.0, "z": 2.0}
-    g = p.groupBy(*[C.voxel(c, v).alias(f"v{c}") for c, v in size.items()]).agg(F.count("*").alias("n"), F.sum("mx").alias("sx"), F.sum("my").alias("sy"), F.sum("mz").alias("sz"))
+    g = points.voxel_downsample(points.crop(view(spark, d, "pts"), (2, 4, 90, 96)), size, {"sx": F.col("mx"), "sy": F.col("my"), "sz": F.col("mz")})
     n = F.col("n")
     return g.select("vx", "vy", "vz", "n", (F.col("sx").cast("double") / (F.lit(100000.0) * n)).alias("mean_x"), (2 * F.col("sy").cast("double") / n).alias("mean_y"), (F.col("sz").cast("double") / (F.lit(10.0) * n)).alias("mean_z"))
 
@@ -162,7 +161,7 @@ def median_filter_2d(spark, d):
     return rasters.median_filter(cells(spark, d), 3, "zmax").select("ix", "iy", F.col("median").cast("double").alias("median"))
 
 
-@query(f"WITH {CELLS}, o AS (SELECT a.i AS dx, b.i AS dy FROM range(-4, 5) AS a(i), range(-4, 5) AS b(i)) SELECT c.ix, c.iy, round(sum(exp(-0.5 * (dx * dx + dy * dy)) * e.n) / sum(exp(-0.5 * (dx * dx + dy * dy))), 6) AS smooth FROM c CROSS JOIN o JOIN c e ON e.ix = c.ix + dx AND e.iy = c.iy + dy GROUP BY 1, 2")
+@query(f"WITH {DENSE}, h AS (SELECT g.ix, g.iy, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (ix, iy)), k AS (SELECT i AS o, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) AS r(j)) AS w FROM range(-4, 5) AS r(i)), a AS (SELECT g.ix, g.iy, sum(w * h.n) AS v FROM g, k, x, h WHERE h.iy = g.iy AND h.ix = x0 + CASE WHEN (g.ix + o - x0) % (2 * (x1 - x0 + 1)) < 0 THEN least(-((g.ix + o - x0) % (2 * (x1 - x0 + 1))) - 1, 2 * (x1 - x0 + 1) + (g.ix + o - x0) % (2 * (x1 - x0 + 1))) ELSE least((g.ix + o - x0) % (2 * (x1 - x0 + 1)), 2 * (x1 - x0 + 1) - 1 - (g.ix + o - x0) % (2 * (x1 - x0 + 1))) END GROUP BY 1, 2) SELECT g.ix, g.iy, round(sum(w * a.v), 6) AS smooth FROM g, k, x, a WHERE a.ix = g.ix AND a.iy = y0 + CASE WHEN (g.iy + o - y0) % (2 * (y1 - y0 + 1)) < 0 THEN least(-((g.iy + o - y0) % (2 * (y1 - y0 + 1))) - 1, 2 * (y1 - y0 + 1) + (g.iy + o - y0) % (2 * (y1 - y0 + 1))) ELSE least((g.iy + o - y0) % (2 * (y1 - y0 + 1)), 2 * (y1 - y0 + 1) - 1 - (g.iy + o - y0) % (2 * (y1 - y0 + 1))) END GROUP BY 1, 2")
 def gaussian_2d(spark, d):
     return rasters.gaussian(cells(spark, d), 1.0, "n").select("ix", "iy", F.round("smooth", 6).alias("smooth"))
 
@@ -202,7 +201,7 @@ def block_mean(spark, d):
     return rasters.block_mean(cells(spark, d), 3, "zmax")
 
 
-@query(f"WITH {CELLS} SELECT c.ix, c.iy, round(sqrt(((r.zmax - l.zmax) / 10.0::DOUBLE) * ((r.zmax - l.zmax) / 10.0::DOUBLE) + ((a.zmax - b.zmax) / 10.0::DOUBLE) * ((a.zmax - b.zmax) / 10.0::DOUBLE)), 9) AS slope FROM c JOIN c l ON l.ix = c.ix - 1 AND l.iy = c.iy JOIN c r ON r.ix = c.ix + 1 AND r.iy = c.iy JOIN c a ON a.ix = c.ix AND a.iy = c.iy + 1 JOIN c b ON b.ix = c.ix AND b.iy = c.iy - 1")
+@query(f"WITH {CELLS}, {BOX}, e AS (SELECT c.ix, c.iy, (CASE WHEN c.ix = x0 THEN r.zmax - c.zmax WHEN c.ix = x1 THEN c.zmax - l.zmax ELSE (r.zmax - l.zmax) / 2.0::DOUBLE END) / 5.0::DOUBLE AS gx, (CASE WHEN c.iy = y0 THEN a.zmax - c.zmax WHEN c.iy = y1 THEN c.zmax - b.zmax ELSE (a.zmax - b.zmax) / 2.0::DOUBLE END) / 5.0::DOUBLE AS gy FROM c CROSS JOIN x LEFT JOIN c l ON l.ix = c.ix - 1 AND l.iy = c.iy LEFT JOIN c r ON r.ix = c.ix + 1 AND r.iy = c.iy LEFT JOIN c b ON b.iy = c.iy - 1 AND b.ix = c.ix LEFT JOIN c a ON a.iy = c.iy + 1 AND a.ix = c.ix) SELECT ix, iy, round(sqrt(gx * gx + gy * gy), 9) AS slope FROM e WHERE gx + gy IS NOT NULL")
 def gradient_slope(spark, d):
     return rasters.slope(cells(spark, d), "zmax", 5.0).select("ix", "iy", F.round("slope", 9).alias("slope"))
 
@@ -226,7 +225,7 @@ QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(x, {q}), 4) AS p{round(q * 100)}" for q in QS) + " FROM pts GROUP BY 1")
 def percentile_suite(spark, d):
-    g = view(spark, d, "pts").groupBy("l_returnflag").agg(*stats.percentiles("x", QS))
+    g = stats.grouped_percentiles(view(spark, d, "pts"), ["l_returnflag"], "x", QS)
     return g.select("l_returnflag", *[F.round(c, 4).alias(c) for c in g.columns[1:]])
 
 
@@ -273,9 +272,9 @@ def reach_medians(spark, d):
 
 @query("WITH z(zone, lo, hi) AS (VALUES ('a', 0, 100), ('b', 100, 1000), ('c', 1000, 100000)) SELECT zone, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM stn JOIN z ON s >= lo AND s < hi GROUP BY 1")
 def range_join_zones(spark, d):
-    s = F.col("s")
-    zone = F.when(s < 100, "a").when(s < 1000, "b").when(s < 100000, "c")
-    return view(spark, d, "stn").withColumn("zone", zone).where("zone is not null").groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    zones = spark.createDataFrame([("a", 0, 100), ("b", 100, 1000), ("c", 1000, 100000)], "zone string, lo long, hi long")
+    met = relations.range_join(view(spark, d, "stn"), zones, "s", "lo", "hi")
+    return met.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
 @query("SELECT cast(least(floor((x - 0) / 5), 20) AS bigint) AS bin, count(*) AS n FROM pts WHERE x BETWEEN 0 AND 105 GROUP BY 1")
@@ -290,12 +289,13 @@ def weighted_axis(spark, d):
 
 
 DRAW = "d AS (SELECT b, k, ((((b * 7919 + k * 104729 + 7) * 16807) % 2147483647) * 48271 % 2147483647) % (n - BLOCK + 1) AS s, n FROM range(0, 40) AS p(b), (SELECT count(*) AS n FROM r) q, range(0, 100000) AS t(k) WHERE k * BLOCK < n), e AS (SELECT b, s + o AS i FROM d, range(0, BLOCK) AS u(o) WHERE k * BLOCK + o < n), m AS (SELECT b, quantile_cont(value, 0.5) AS m FROM e JOIN r ON r.i = e.i GROUP BY b) SELECT round(quantile_cont(m, 0.025), 4) AS p2, round(quantile_cont(m, 0.975), 4) AS p98, count(*) AS rounds FROM m"
-BOOT = "WITH r AS (SELECT row_number() OVER (ORDER BY s) - 1 AS i, value FROM stn WHERE class = 'purchase' AND s < 3000), "
+BOOT = "WITH r AS (SELECT s AS i, value FROM stn), "
 
 
 def _boot(spark, d, block):
-    rows = view(spark, d, "stn").where("class = 'purchase' and s < 3000").withColumn("i", F.row_number().over(Window.orderBy("s")) - 1).persist()
-    out = stats.bootstrap(rows, "i", "value", rows.count(), 40, block)
+    # stations are numbered from 0 without gaps: no window over all rows is needed
+    rows = view(spark, d, "stn").select("s", "value")
+    out = stats.bootstrap(rows, "s", "value", rows.count(), 40, block)
     return out.select(F.round("p2", 4).alias("p2"), F.round("p98", 4).alias("p98"), "rounds")
 
 
@@ -326,19 +326,18 @@ def radius_outlier(spark, d):
     return spatial.radius_outliers(view(spark, d, "upts").select("pid", "x", "y", "z"), 2.0, 2)
 
 
-KNN = "p AS (SELECT pid, x, y, z FROM upts WHERE pid % 7 = 0), q AS (SELECT a.pid, sqrt(D2) AS d, row_number() OVER (PARTITION BY a.pid ORDER BY D2, b.pid) AS k FROM p a JOIN p b ON a.pid <> b.pid), k AS (SELECT pid, avg(d) AS d FROM q WHERE k <= 4 GROUP BY 1)".replace("D2", D2)
+#: Nobody's fourth neighbour is as far as 12.5 on an axis, so the band loses none.
+KNN = "p AS (SELECT pid, x, y, z FROM upts), q AS (SELECT a.pid, sqrt(D2) AS d, row_number() OVER (PARTITION BY a.pid ORDER BY D2, b.pid) AS k FROM p a JOIN p b ON a.pid <> b.pid AND b.x BETWEEN a.x - 12.5 AND a.x + 12.5 AND b.y BETWEEN a.y - 12.5 AND a.y + 12.5), k AS (SELECT pid, avg(d) AS d FROM q WHERE k <= 4 GROUP BY 1)".replace("D2", D2)
 
 
 @query(f"WITH {KNN} SELECT pid, round(d, 6) AS d FROM k")
 def knn_mean_dist(spark, d):
-    p = view(spark, d, "upts").where("pid % 7 = 0")
-    return spatial.knn(p, 4, 4.0).groupBy("pid").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("d"))
+    return spatial.knn(view(spark, d, "upts"), 4, 2.0).groupBy("pid").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("d"))
 
 
 @query(f"WITH {KNN} SELECT p.pid, x, y, z FROM p JOIN k USING (pid) WHERE d <= (SELECT avg(d) + 1.5 * stddev_pop(d) FROM k)")
 def statistical_outlier(spark, d):
-    p = view(spark, d, "upts").where("pid % 7 = 0").select("pid", "x", "y", "z")
-    return spatial.statistical_outliers(p, 4, 1.5, 4.0)
+    return spatial.statistical_outliers(view(spark, d, "upts").select("pid", "x", "y", "z"), 4, 1.5, 2.0)
 
 
 @query(f"WITH a AS (SELECT * FROM {ANCHOR_SQL}) SELECT a.pid, count(*) AS n, round(quantile_cont(b.z, 0.99), 4) AS p99 FROM a JOIN upts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 GROUP BY 1")
@@ -358,25 +357,41 @@ def nearest_with_tolerance(spark, d):
     return spatial.nearest(p.where("kind = 'F'"), p.where("kind = 'O'"), within=2.0).select("pid", "anchor", F.round("d2", 6).alias("d2"))
 
 
-@query("SELECT a.pid AS a, b.pid AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS dist FROM (SELECT * FROM A) a, (SELECT * FROM A) b WHERE a.pid < b.pid".replace("A)", f"{ANCHOR_SQL})").replace("SELECT a.pid", "WITH z AS (SELECT 1 FROM upts) SELECT a.pid", 1))
+#: Landmarks made of all points: a middle for each of some classes.
+MIDDLES = "(SELECT pid % 12 AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM upts GROUP BY 1)"
+
+
+def middles(spark, d, classes=12):
+    g = view(spark, d, "upts").groupBy((F.col("pid") % classes).alias("id"))
+    return g.agg(*[F.avg(c).alias(c) for c in "xyz"])
+
+
+@query(f"WITH m AS (SELECT * FROM {MIDDLES} AS upts_m) SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS dist FROM m a JOIN m b ON a.id < b.id")
 def pairwise_distance(spark, d):
-    a = anchors(spark).withColumn("pid", F.col("pid").cast("int"))
-    b = a.select(*[F.col(c).alias(f"{c}2") for c in a.columns])
-    return a.join(b, F.col("pid") < F.col("pid2")).select(F.col("pid").alias("a"), F.col("pid2").alias("b"), F.round(F.sqrt(sum((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz")), 6).alias("dist"))
+    return landmarks.distances(middles(spark, d)).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-GATE = "t AS (SELECT pid AS id, x, y, z FROM upts WHERE pid < 60), p AS (SELECT a.id AS p, b.id AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM t a, t b WHERE a.id <> b.id)"
+GATE = f"t AS (SELECT * FROM {MIDDLES.replace('12', '60')} AS upts_t), p AS (SELECT a.id AS p, b.id AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM t a, t b WHERE a.id <> b.id)"
 
 
 @query(f"WITH {GATE} SELECT l.p AS a1, l.q AS a2, r.p AS b1, r.q AS b2 FROM p l JOIN p r ON abs(l.d - r.d) <= 0.05 WHERE l.p < l.q")
 def pair_gate_join(spark, d):
-    t = view(spark, d, "upts").where("pid < 60").select(F.col("pid").alias("id"), "x", "y", "z")
+    t = middles(spark, d, 60)
     return landmarks.gated_pairs(t, t, 0.05).select("a1", "a2", "b1", "b2")
 
 
-@query("WITH o AS (SELECT pid AS id, x, y, 2.0 + pid % 3 AS a, 1.0 + pid % 2 AS b FROM upts WHERE pid < 800) SELECT l.id AS a, r.id AS b FROM o l JOIN o r ON l.id < r.id WHERE sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) <= l.a * l.b / sqrt(pow(l.b * cos(atan2(r.y - l.y, r.x - l.x)), 2) + pow(l.a * sin(atan2(r.y - l.y, r.x - l.x)), 2)) + r.a * r.b / sqrt(pow(r.b * cos(atan2(r.y - l.y, r.x - l.x)), 2) + pow(r.a * sin(atan2(r.y - l.y, r.x - l.x)), 2))")
+OVALS = "(SELECT cast(floor(x / 4) * 100 + floor(y / 4) AS bigint) AS pid, avg(x) AS x, avg(y) AS y FROM upts GROUP BY 1) AS upts_o"
+
+
+def ovals(spark, d):
+    """A middle for each 4 x 4 square of all points."""
+    square = (F.floor(F.col("x") / 4) * 100 + F.floor(F.col("y") / 4)).cast("long").alias("pid")
+    return view(spark, d, "upts").groupBy(square).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+@query("WITH o AS (SELECT pid AS id, x, y, 2.0 + pid % 3 AS a, 1.0 + pid % 2 AS b FROM " + OVALS + ") SELECT l.id AS a, r.id AS b FROM o l JOIN o r ON l.id < r.id WHERE sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) <= l.a * l.b / sqrt(pow(l.b * cos(atan2(r.y - l.y, r.x - l.x)), 2) + pow(l.a * sin(atan2(r.y - l.y, r.x - l.x)), 2)) + r.a * r.b / sqrt(pow(r.b * cos(atan2(r.y - l.y, r.x - l.x)), 2) + pow(r.a * sin(atan2(r.y - l.y, r.x - l.x)), 2))")
 def ellipse_merge(spark, d):
-    h = view(spark, d, "upts").where("pid < 800").select(F.col("pid").alias("id"), "x", "y", (F.lit(2.0) + F.col("pid") % 3).alias("semi_major"), (F.lit(1.0) + F.col("pid") % 2).alias("semi_minor"), F.lit(0.0).alias("orientation"))
+    h = ovals(spark, d).select(F.col("pid").alias("id"), "x", "y", (F.lit(2.0) + F.col("pid") % 3).alias("semi_major"), (F.lit(1.0) + F.col("pid") % 2).alias("semi_minor"), F.lit(0.0).alias("orientation"))
     return landmarks.overlaps(h, 1.0)
 
 
@@ -422,9 +437,9 @@ def sinuosity_window(spark, d):
     return curves.sinuosity(rows, "k", ["k", "value"], 2, ["user_id"]).select("user_id", "s", F.round("sinuosity", 6).alias("sinuosity"))
 
 
-@query("WITH u AS (SELECT user_id, s, value - avg(value) OVER (PARTITION BY user_id) AS dv, row_number() OVER (PARTITION BY user_id ORDER BY s) AS k FROM stn), q AS (SELECT user_id, sum(dv * dv) AS v, count(*) AS n FROM u GROUP BY 1), l AS (SELECT unnest(range(0, 4)) AS lag) SELECT q.user_id, lag, round(coalesce((SELECT sum(a.dv * b.dv) FROM u a JOIN u b ON a.user_id = b.user_id AND b.k = a.k + lag WHERE a.user_id = q.user_id), 0) / v, 6) AS rho FROM q, l WHERE v > 0.001 AND q.user_id < 40")
+@query("WITH u AS (SELECT user_id, s, value - avg(value) OVER (PARTITION BY user_id) AS dv, row_number() OVER (PARTITION BY user_id ORDER BY s) AS k FROM stn), q AS (SELECT user_id, sum(dv * dv) AS v, count(*) AS n FROM u GROUP BY 1), l AS (SELECT unnest(range(0, 4)) AS lag) SELECT q.user_id, lag, round(coalesce((SELECT sum(a.dv * b.dv) FROM u a JOIN u b ON a.user_id = b.user_id AND b.k = a.k + lag WHERE a.user_id = q.user_id), 0) / v, 6) AS rho FROM q, l WHERE v > 0.001")
 def autocorr(spark, d):
-    rows = view(spark, d, "stn").where("user_id < 40")
+    rows = view(spark, d, "stn")
     out = curves.autocorrelation(rows, "s", "value", 3, ["user_id"])
     several = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.var_pop("value").alias("v")).where("n * v > 0.001").select("user_id")
     return out.join(several, "user_id", "left_semi").select("user_id", "lag", F.round("rho", 6).alias("rho"))
@@ -546,11 +561,11 @@ def tolerance_verdict(spark, d):
 
 @query("WITH g AS (SELECT dx, dy, u.pid, abs(u.z * 10 - c.zmax) AS e FROM upts u, (SELECT a.i AS dx, b.i AS dy FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i)) o, (SELECT cast(floor(x / 5) AS bigint) AS ix, cast(floor(y / 5) AS bigint) AS iy, max(mz) AS zmax FROM pts GROUP BY 1, 2) c WHERE c.ix = cast(floor(u.x / 5) AS bigint) + dx AND c.iy = cast(floor(u.y / 5) AS bigint) + dy) SELECT dx, dy, count(*) AS n, cast(sum(e) AS double) AS cost FROM g GROUP BY 1, 2 ORDER BY cost / n, dx, dy LIMIT 1")
 def shift_search(spark, d):
-    # the shifts are a literal array: each point is sent once for each, then meets its cell
-    u = view(spark, d, "upts").select("pid", "z", C.cell("x", 0, 5).alias("ux"), C.cell("y", 0, 5).alias("uy"))
+    u = view(spark, d, "upts").select("z", C.cell("x", 0, 5).alias("ix"), C.cell("y", 0, 5).alias("iy"))
+    # the cells, few against the points, are sent for each shift; points stay where they are until they meet theirs
     shifts = F.array(*[F.struct(F.lit(a).cast("long").alias("dx"), F.lit(b).cast("long").alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    sent = u.select("pid", "z", "ux", "uy", F.explode(shifts).alias("o")).select("z", "o.dx", "o.dy", (F.col("ux") + F.col("o.dx")).alias("ix"), (F.col("uy") + F.col("o.dy")).alias("iy"))
-    cost = sent.join(cells(spark, d).select("ix", "iy", "zmax"), ["ix", "iy"]).groupBy("dx", "dy").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("z") * 10 - F.col("zmax"))).alias("cost"))
+    sent = cells(spark, d).select("ix", "iy", "zmax", F.explode(shifts).alias("o")).select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), "o.dx", "o.dy", "zmax")
+    cost = u.join(sent, ["ix", "iy"]).groupBy("dx", "dy").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("z") * 10 - F.col("zmax"))).alias("cost"))
     return cost.orderBy(F.col("cost") / F.col("n"), "dx", "dy").limit(1)
 
 

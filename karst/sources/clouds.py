@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import columns as C
 from karst.functions import geodesy
-from karst.operators import landmarks, points, spatial
+from karst.operators import geometry, landmarks, points, relations, spatial
 from karst.sources import las, pcd
 
 
@@ -136,34 +136,53 @@ def export(spark: SparkSession, source: str, target: str, scale: float = 0.001)
     return Result(target, head.count, las.read_header(target).count, head.origin, head.columns)
 
 
-def detect(spark: SparkSession, source: str, target: str | None = None, resolution: float = 1.0, least: int = 1, relative: float | None = None, min_area: float = 0.0, max_area: float = float("inf"), edge: int = 0) -> dict:
-    """Voids of an aerial cloud as a document: origin, resolution, holes."""
+def detect(spark: SparkSession, source: str, target: str | None = None, resolution: float = 1.0, least: float = 1, relative: float | None = None, min_area: float = 0.0, max_area: float = float("inf"), edge: int = 0, mode: str = "aerial", up: Sequence[float] | None = None, jump: float = 1.5, smooth: float = 0.0, merge: float | None = None) -> dict:
+    """Openings as a document: origin, up, resolution, holes.
+
+    aerial: enclosed voids seen from above; ceiling: voids and jumps of the highest
+    points, seen along up, which is estimated where it is not given.
+    """
+    if mode not in ("aerial", "ceiling"):
+        raise ValueError("mode is aerial or ceiling")
     df, head = read_pcd(spark, source)
-    (x0, x1), (y0, y1) = points.extent(df, "x", "y")
+    if up is None:
+        up = (0.0, 0.0, 1.0) if mode == "aerial" else landmarks.up_axis(df.withColumn("pid", F.monotonically_increasing_id()))
+    up = tuple(map(float, geometry.unit(up)))
+    turned = relations.up_frame(df, up)
+    (x0, x1), (y0, y1) = points.extent(turned, "x", "y")
     if x0 is None:
         raise ValueError("the cloud is empty")
     points.check_grid(int(-(-(x1 - x0) // resolution)) + 1, int(-(-(y1 - y0) // resolution)) + 1)
-    cells = points.grid(df, resolution, (x0, y0)).persist()
-    rows = landmarks.voids(cells, resolution, (x0, y0), least, min_area, max_area, relative, edge=edge).orderBy("component").limit(landmarks.MOST_LANDMARKS + 1).collect()
+    cells = points.grid(turned, resolution, (x0, y0)).persist()
+    if mode == "aerial":
+        found = landmarks.voids(cells, resolution, (x0, y0), least, min_area, max_area, relative, edge=edge, smooth=smooth, merge=merge)
+    else:
+        found = landmarks.ceiling_holes(cells, resolution, (x0, y0), jump, least, min_area, max_area, relative, edge=edge, smooth=smooth, merge=merge)
+    rows = found.orderBy("component").limit(landmarks.MOST_LANDMARKS + 1).collect()
     if len(rows) > landmarks.MOST_LANDMARKS:
         raise ValueError(f"more than {landmarks.MOST_LANDMARKS} voids; raise min_area")
-    holes = [{"id": i, "centroid": [r["x"], r["y"], r["z"]], "radius": r["radius"], "area": r["area"], "n_cells": r["n"], "semi_major": r["semi_major"], "semi_minor": r["semi_minor"], "orientation": r["orientation"]} for i, r in enumerate(rows)]
-    found = {"origin": list(head.origin), "up": [0.0, 0.0, 1.0], "mode": "aerial", "resolution": resolution, "source_path": source, "holes": holes}
+    back = geometry.align(up, (0, 0, 1)).T
+    holes = [{"id": i, "centroid": [float(v) for v in back @ [r["x"], r["y"], r["z"]]], "radius": r["radius"], "area": r["area"], "n_cells": r["n"], "semi_major": r["semi_major"], "semi_minor": r["semi_minor"], "orientation": r["orientation"]} for i, r in enumerate(rows)]
+    out = {"origin": list(head.origin), "up": list(up), "mode": mode, "resolution": resolution, "source_path": source, "holes": holes}
     if target:
         os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
         with open(target, "w") as f:
-            json.dump(found, f, indent=1)
-    return found
+            json.dump(out, f, indent=1)
+    return out
 
 
 def _table(holes: dict) -> np.ndarray:
-    return np.array([[*h["centroid"], h["area"], h.get("semi_major", h["radius"]), h.get("semi_minor", h["radius"])] for h in holes["holes"]], float).reshape(-1, 6)
+    return np.array([[*h["centroid"], h["area"], h.get("semi_major", h["radius"]), h.get("semi_minor", h["radius"]), h.get("orientation", 0.0)] for h in holes["holes"]], float).reshape(-1, 7)
 
 
 def register(a: dict, b: dict, target: str | None = None, mode: str = "auto", tolerance: float = 2.0, least: int = 3) -> dict:
     """The motion of b's landmarks onto a's, as a document."""
-    m = landmarks.match(_table(a), _table(b), mode, tolerance, least)
-    found = asdict(m) | {"matrix": m.matrix.tolist(), "n_inliers": len(m.inliers), "aerial_origin": a["origin"], "tube_origin": b["origin"], "anchors": [a["holes"][j]["centroid"] for _, j in m.inliers]}
+    ups = [h.get("up", [0.0, 0.0, 1.0]) for h in (a, b)]
+    ta, tb = _table(a), _table(b)
+    m = landmarks.match(ta, tb, mode, tolerance, least, *ups)
+    major = lambda h: (geometry.align(ups[0], (0, 0, 1)).T @ [np.cos(h.get("orientation", 0.0)), np.sin(h.get("orientation", 0.0)), 0.0]).tolist()
+    used = [a["holes"][j] for _, j in m.inliers]
+    found = asdict(m) | {"matrix": m.matrix.tolist(), "n_inliers": len(m.inliers), "aerial_origin": a["origin"], "tube_origin": b["origin"], "aerial_up": list(ups[0]), "tube_up": list(ups[1]), "anchors": [h["centroid"] for h in used], "anchor_axes": [[h.get("semi_major", h["radius"]), h.get("semi_minor", h["radius"]), *major(h)] for h in used], "vertical_residuals": landmarks.vertical_residuals(ta, tb, m, ups[0])}
     if target:
         with open(target, "w") as f:
             json.dump(found, f, indent=1)
@@ -179,14 +198,14 @@ def transform(spark: SparkSession, source: str, target: str, motion: dict) -> Re
     return Result(target, head.count, n, at, head.columns)
 
 
-def merge(spark: SparkSession, aerial: str, tube: str, target: str, motion: dict, z_offset: float = 0.0, tag: bool = True, refine: bool = False, rim: float = 3.0, color: str | None = None) -> Result:
+def merge(spark: SparkSession, aerial: str, tube: str, target: str, motion: dict, z_offset: float = 0.0, tag: bool = True, refine: bool = False, rim: float = 3.0, color: str | None = None, height: float = 3.0, inflate: float = 1.5) -> Result:
     """Both clouds in the first one's frame, the second moved (and refined on the rims of the anchors)."""
     _check(aerial, target, [".pcd"])
     _check(tube, target, [".pcd"])
     (a, ha), (b, _) = read_pcd(spark, aerial), read_pcd(spark, tube)
     matrix = np.array(motion["matrix"], float)
     if refine and motion.get("anchors"):
-        matrix = _refined(spark, a, b, matrix, motion["anchors"], rim)
+        matrix = _refined(spark, a, b, matrix, motion, rim, height, inflate)
     moved = points.transform(b, matrix.tolist(), z_offset)
     both = [a, moved]
     if color == "elevation":
@@ -199,13 +218,14 @@ def merge(spark: SparkSession, aerial: str, tube: str, target: str, motion: dict
     return Result(target, ha.count, n, ha.origin, out.columns)
 
 
-def _refined(spark: SparkSession, a: DataFrame, b: DataFrame, matrix: np.ndarray, anchors: list, rim: float, most: int = 20_000) -> np.ndarray:
-    """ICP on points within rim of an anchor: a bounded sample of them, by a hash."""
-    at = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(anchors)], "pid long, x double, y double, z double")
+def _refined(spark: SparkSession, a: DataFrame, b: DataFrame, matrix: np.ndarray, motion: dict, rim: float, height: float, inflate: float, most: int = 20_000) -> np.ndarray:
+    """ICP on the points around the anchors' openings: a bounded sample of them, by a hash."""
+    axes = motion.get("anchor_axes") or [[None] * 5] * len(motion["anchors"])
+    at = spark.createDataFrame([(i, *map(float, p), *(None if v is None else float(v) for v in x)) for i, (p, x) in enumerate(zip(motion["anchors"], axes, strict=True))], "pid long, x double, y double, z double, semi_major double, semi_minor double, mx double, my double, mz double")
 
     def near(d: DataFrame) -> np.ndarray:
         own = d.select(F.monotonically_increasing_id().alias("pid"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
-        found = spatial.near_pairs(at, own, rim).select("b.*").dropDuplicates(["pid"]).orderBy(F.xxhash64("x", "y", "z"), "pid").limit(most)
+        found = landmarks.rim(own, at, height, rim, inflate, motion.get("aerial_up", (0, 0, 1))).orderBy(F.xxhash64("x", "y", "z"), "pid").limit(most)
         return np.array([[r["x"], r["y"], r["z"]] for r in found.collect()], float).reshape(-1, 3)
 
     target, moved = near(a), near(points.transform(b, matrix.tolist()))

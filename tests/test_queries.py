@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from karst.plans import more as plans
+from karst.plans import surveys as plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "orders", "events", "part", "documents")
