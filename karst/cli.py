@@ -29,11 +29,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-v", "--voxel", type=float)
     c.add_argument("--fields", default="auto")
     c.add_argument("--utm-zone", type=int, help="project longitude and latitude")
+    c.add_argument("--reproject", help="from:to codes, as 8088:32627")
     c.add_argument("--keep-out-of-bounds", action="store_true")
     c = command("downsample", "source", "target")
     c.add_argument("-v", "--voxel", type=float, required=True)
     c = command("to-las", "source", "target")
     c.add_argument("--scale", type=float, default=0.001)
+    c.add_argument("--epsg", type=int, default=0)
     c = command("crop", "source", "target")
     c.add_argument("bounds", type=_numbers, help="a0,b0,a1,b1")
     c.add_argument("--axes", default="xy")
@@ -98,11 +100,11 @@ def run(a: argparse.Namespace) -> str:
         return f"{cells.count()} occupied cells"
     if a.command == "convert":
         origin = a.origin if a.origin in ("header", "none") else _numbers(a.origin)
-        r = clouds.convert(spark, a.source, a.target, origin, a.voxel, a.fields, a.utm_zone, not a.keep_out_of_bounds)
+        r = clouds.convert(spark, a.source, a.target, origin, a.voxel, a.fields, a.utm_zone, not a.keep_out_of_bounds, systems=tuple(map(int, a.reproject.split(":"))) if a.reproject else None)
     elif a.command == "downsample":
         r = clouds.downsample(spark, a.source, a.target, a.voxel)
     elif a.command == "to-las":
-        r = clouds.export(spark, a.source, a.target, a.scale)
+        r = clouds.export(spark, a.source, a.target, a.scale, a.epsg)
     elif a.command == "crop":
         r = clouds.crop(spark, a.source, a.target, a.bounds, a.axes, a.in_global)
     elif a.command == "filter":

@@ -38,6 +38,8 @@ class Result:
 def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(pcd.PcdSource)
     spark.dataSource.register(las.LasSource)
+    # both sources decide filters in the scan, which Spark asks for only where this is set
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def _check(source: str, target: str, ends: Sequence[str]) -> None:
@@ -65,8 +67,8 @@ def _place(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("float").alias(c) for c in names])
 
 
-def convert(spark: SparkSession, source: str, target: str, origin: str | Sequence[float] = "header", voxel_size: float | None = None, fields: str = "auto", utm_zone: int | None = None, filter_bounds: bool = True, sidecar: bool = True) -> Result:
-    """LAS to PCD: bounds, projection, shift to a local origin, voxel means, and a sidecar that tells the origin."""
+def convert(spark: SparkSession, source: str, target: str, origin: str | Sequence[float] = "header", voxel_size: float | None = None, fields: str = "auto", utm_zone: int | None = None, filter_bounds: bool = True, sidecar: bool = True, systems: tuple[int, int] | None = None) -> Result:
+    """LAS to PCD: bounds, projection (utm_zone: from degrees; systems: from one code to another), shift to a local origin, voxel means, and a sidecar that tells the origin."""
     _check(source, target, [".pcd"])
     if voxel_size is not None and voxel_size <= 0:
         raise ValueError("a voxel needs a size above zero")
@@ -77,8 +79,11 @@ def convert(spark: SparkSession, source: str, target: str, origin: str | Sequenc
     if utm_zone is not None:
         x, y = geodesy.utm(F.col("x"), F.col("y"), utm_zone)
         df = df.withColumns({"x": x, "y": y})
+    if systems is not None:
+        x, y = geodesy.reproject(F.col("x"), F.col("y"), *systems)
+        df = df.withColumns({"x": x, "y": y})
     if origin == "header":
-        if utm_zone is None:
+        if utm_zone is None and systems is None:
             at = las.suggested_origin(head)
         else:
             (x0, _), (y0, _) = points.extent(df, "x", "y")
@@ -128,11 +133,11 @@ def outliers(spark: SparkSession, source: str, target: str, method: str = "radiu
     return _rewrite(spark, source, target, change)
 
 
-def export(spark: SparkSession, source: str, target: str, scale: float = 0.001) -> Result:
-    """PCD to LAS in global coordinates."""
+def export(spark: SparkSession, source: str, target: str, scale: float = 0.001, epsg: int = 0) -> Result:
+    """PCD to LAS in global coordinates; epsg: the code of their system, written into the file."""
     _check(source, target, [".las"])
     df, head = read_pcd(spark, source)
-    df.write.format("las").option("path", target).option("scale", str(scale)).option("origin", ",".join(map(repr, head.origin))).mode("overwrite").save()
+    df.write.format("las").option("path", target).option("scale", str(scale)).option("epsg", str(epsg)).option("origin", ",".join(map(repr, head.origin))).mode("overwrite").save()
     return Result(target, head.count, las.read_header(target).count, head.origin, head.columns)
 
 

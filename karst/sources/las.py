@@ -6,9 +6,12 @@ colours as 0..255.  Writing makes version 1.4, format 2 with colours and 0 witho
 further float columns as extra bytes.  Compressed files (LAZ) need a codec that is
 not here and are refused.
 
-Options: path; fields xyz, intensity, rgb, all or auto; bounds "true" drops points
-outside the header's box; scale and origin "x,y,z" for writing (x, y, z are then
-local to the origin).
+Options: path (when reading also several with commas between, a pattern or a folder);
+fields xyz, intensity, rgb, all or auto; bounds "true" drops points outside the
+header's box; box "x0,y0,z0,x1,y1,z1" drops points outside it in the scan, and with
+bounds whole files whose own box lies outside; scale, origin "x,y,z" and epsg for
+writing (x, y, z are then local to the origin).  Filters are decided in the scan, as
+in the other source.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from karst.sources.files import keep, known, listed, misses, parse_box
 from karst.sources.pcd import parse_origin
 
 ROWS = 1_000_000
@@ -33,6 +37,10 @@ PLAIN = {0, 1, 6}
 FIELDS = {"xyz": ("x", "y", "z"), "intensity": ("x", "y", "z", "intensity"), "rgb": ("x", "y", "z", "r", "g", "b"), "all": ("x", "y", "z", "intensity", "r", "g", "b")}
 
 
+#: Codes of systems in degrees; all others are projected.
+GEOGRAPHIC = (4326, 8086, 8999, 4659)
+
+
 @dataclass
 class Header:
     version: tuple[int, int]
@@ -75,6 +83,23 @@ def read_header(path: str) -> Header:
     return Header(version, form, length, offset, count, v[0:3], v[3:6], (v[7], v[9], v[11]), (v[6], v[8], v[10]))
 
 
+def read_epsg(path: str) -> int | None:
+    """The code of the coordinate system that the file's key directory names."""
+    with open(path, "rb") as f:
+        h = f.read(375)
+        size, (records,) = struct.unpack_from("<H", h, 94)[0], struct.unpack_from("<I", h, 100)
+        f.seek(size)
+        for _ in range(records):
+            _, user, number, length, _ = struct.unpack("<H16sHH32s", f.read(54))
+            data = f.read(length)
+            if user.rstrip(b"\0") == b"LASF_Projection" and number == 34735:
+                keys = np.frombuffer(data, "<u2")[4:].reshape(-1, 4)
+                for key, place, _, value in keys.tolist():
+                    if key in (2048, 3072) and not place:
+                        return int(value)
+    return None
+
+
 def suggested_origin(h: Header) -> tuple[float, float, float]:
     """The header's offset, or else the whole metres of the box's low corner."""
     return h.shift if any(h.shift) else (float(np.floor(h.low[0])), float(np.floor(h.low[1])), 0.0)
@@ -82,22 +107,40 @@ def suggested_origin(h: Header) -> tuple[float, float, float]:
 
 @dataclass
 class Range(InputPartition):
+    path: str
     first: int
     rows: int
 
 
 class LasReader(DataSourceReader):
-    def __init__(self, path: str, fields: str, bounds: bool, chunk: int):
-        self.path, self.bounds, self.chunk, self.header = path, bounds, chunk, read_header(path)
-        self.columns = self.header.columns(fields)
+    def __init__(self, path: str, fields: str, bounds: bool, chunk: int, box: str | None = None):
+        self.paths, self.bounds, self.chunk, self.box, self.filters = listed(path, ".las"), bounds, chunk, parse_box(box), []
+        self.headers = {p: read_header(p) for p in self.paths}
+        self.columns = self.headers[self.paths[0]].columns(fields)
+        for p, h in self.headers.items():
+            if h.columns(fields) != self.columns:
+                raise ValueError(f"{p}: other columns than {self.paths[0]}")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if known(f, self.columns):
+                self.filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[Range]:
-        n = min(self.header.count, (os.path.getsize(self.path) - self.header.offset) // self.header.length)
-        return [Range(i, min(self.chunk, n - i)) for i in range(0, n, self.chunk)] or [Range(0, 0)]
+        out = []
+        for p, h in self.headers.items():
+            # a header's box may be wrong where its rows are not held to it
+            if self.bounds and misses(h.low, h.high, self.box, self.filters):
+                continue
+            n = min(h.count, (os.path.getsize(p) - h.offset) // h.length)
+            out += [Range(p, i, min(self.chunk, n - i)) for i in range(0, n, self.chunk)]
+        return out or [Range(self.paths[0], 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        h = self.header
-        with open(self.path, "rb") as f:
+        h = self.headers[partition.path]
+        with open(partition.path, "rb") as f:
             f.seek(h.offset + h.length * partition.first)
             left = partition.rows
             while left:
@@ -117,7 +160,7 @@ class LasReader(DataSourceReader):
                 if self.bounds:
                     ok = np.all([(out[c] >= h.low[k] - 1e-3) & (out[c] <= h.high[k] + 1e-3) for k, c in enumerate("xyz")], axis=0)
                     out = {c: v[ok] for c, v in out.items()}
-                yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in self.columns], [*self.columns])
+                yield keep(pa.RecordBatch.from_arrays([pa.array(out[c]) for c in self.columns], [*self.columns]), self.box, self.filters)
 
 
 @dataclass
@@ -130,7 +173,7 @@ class Part(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: StructType, scale: float, origin: tuple[float, float, float]):
+    def __init__(self, path: str, schema: StructType, scale: float, origin: tuple[float, float, float], epsg: int = 0):
         if scale <= 0:
             raise ValueError("a scale is above zero")
         names = schema.fieldNames()
@@ -138,7 +181,7 @@ class LasWriter(DataSourceArrowWriter):
             raise ValueError("a point cloud has x, y and z")
         if path.lower().endswith(".laz"):
             raise ValueError("LAZ needs a codec that is not installed; write .las")
-        self.path, self.scale, self.origin, self.token = path, scale, origin, uuid.uuid4().hex
+        self.path, self.scale, self.origin, self.epsg, self.token = path, scale, origin, epsg, uuid.uuid4().hex
         self.rgb, self.intensity = {"r", "g", "b"} <= {*names}, "intensity" in names
         self.extra = [c for c in names if c not in ("x", "y", "z", "intensity", "pid") and not (self.rgb and c in "rgb")]
         self.length = (26 if self.rgb else 20) + 4 * len(self.extra)
@@ -153,7 +196,10 @@ class LasWriter(DataSourceArrowWriter):
             for batch in batches:
                 get = lambda c, b=batch: b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
                 raw = np.zeros((batch.num_rows, self.length), np.uint8)
-                whole = np.column_stack([np.round(get(c) / self.scale) for c in "xyz"]).astype("<i4")
+                steps = np.column_stack([np.round(get(c) / self.scale) for c in "xyz"])
+                if len(steps) and not (np.abs(steps) < 1 << 31).all():
+                    raise ValueError(f"coordinates leave the range of whole numbers at a scale of {self.scale}; take a larger one")
+                whole = steps.astype("<i4")
                 raw[:, :12] = whole.view(np.uint8).reshape(-1, 12)
                 if self.intensity:
                     raw[:, 12:14] = np.clip(np.round(get("intensity")), 0, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
@@ -176,11 +222,16 @@ class LasWriter(DataSourceArrowWriter):
             full = [p for p in parts if p.rows]
             box = [(min(p.low[k] for p in full) * self.scale + self.origin[k], max(p.high[k] for p in full) * self.scale + self.origin[k]) for k in range(3)]
         extra = b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32s", 9, 0, c.encode()[:31], b"") for c in self.extra)
-        vlr = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(extra), b"extra bytes") + extra if extra else b""
+        vlr, records = (struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(extra), b"extra bytes") + extra, 1) if extra else (b"", 0)
+        if self.epsg:  # a key directory: the kind of system, and its code
+            geographic = self.epsg in GEOGRAPHIC
+            keys = struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 2 if geographic else 1, 2048 if geographic else 3072, 0, 1, self.epsg)
+            vlr += struct.pack("<H16sHH32s", 0, b"LASF_Projection", 34735, len(keys), b"coordinate system") + keys
+            records += 1
         h = bytearray(375)
         h[0:4], h[24], h[25] = b"LASF", 1, 4
         h[58:63] = b"karst"
-        struct.pack_into("<HII", h, 94, 375, 375 + len(vlr), 1 if vlr else 0)
+        struct.pack_into("<HII", h, 94, 375, 375 + len(vlr), records)
         h[104] = 2 if self.rgb else 0
         struct.pack_into("<HI", h, 105, self.length, n if n < 1 << 32 else 0)
         struct.pack_into("<12d", h, 131, *[self.scale] * 3, *self.origin, *[v for lo, hi in box for v in (hi, lo)])
@@ -214,11 +265,11 @@ class LasSource(DataSource):
         return "las"
 
     def schema(self) -> StructType:
-        names = read_header(self.options["path"]).columns(self.options.get("fields", "auto"))
+        names = read_header(listed(self.options["path"], ".las")[0]).columns(self.options.get("fields", "auto"))
         return StructType([StructField(c, DoubleType()) for c in names])
 
     def reader(self, schema: StructType) -> LasReader:
-        return LasReader(self.options["path"], self.options.get("fields", "auto"), self.options.get("bounds", "false") == "true", int(self.options.get("chunk", ROWS)))
+        return LasReader(self.options["path"], self.options.get("fields", "auto"), self.options.get("bounds", "false") == "true", int(self.options.get("chunk", ROWS)), self.options.get("box"))
 
     def writer(self, schema: StructType, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), parse_origin(self.options.get("origin")))
+        return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), parse_origin(self.options.get("origin")), int(self.options.get("epsg", 0)))

@@ -5,7 +5,11 @@ the header (packed rgb becomes r, g, b).  Writing: each task leaves a part file
 raw rows; the commit joins them in partition order behind a header whose count is
 then known.  Paths are local or on a mount that driver and executors share.
 
-Options: path; origin "x,y,z" (written as a comment); chunk, rows in a partition.
+Options: path (when reading also several with commas between, a pattern or a folder:
+all with the first one's fields, moved to its origin); origin "x,y,z" (written as a
+comment); chunk, rows in a partition; box "x0,y0,z0,x1,y1,z1" (rows outside are
+dropped in the scan).  Filters are decided in the scan, too; that needs
+spark.sql.python.filterPushdown.enabled, which clouds.register_sources sets.
 Only float32 fields and `DATA binary` are taken; a truncated file ends where whole
 rows end; coordinates are local to the origin the header tells.
 """
@@ -19,9 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import FloatType, StructField, StructType
 
+from karst.sources.files import keep, known, listed, parse_box
+
 ORIGIN = "# ORIGIN"
 ROWS = 1_000_000
 
@@ -100,30 +106,50 @@ def pack(batch: pa.RecordBatch, fields: list[str]) -> np.ndarray:
 
 @dataclass
 class Range(InputPartition):
+    path: str
     first: int
     rows: int
 
 
 class PcdReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int):
-        self.path, self.chunk, self.header = path, chunk, read_header(path)
+    def __init__(self, path: str, chunk: int, box: str | None = None):
+        self.paths, self.chunk, self.box, self.filters = listed(path, ".pcd"), chunk, parse_box(box), []
+        self.headers = {p: read_header(p) for p in self.paths}
+        self.header = self.headers[self.paths[0]]
+        for p, h in self.headers.items():
+            if h.fields != self.header.fields:
+                raise ValueError(f"{p}: other fields than {self.paths[0]}")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if known(f, self.header.columns):
+                self.filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[Range]:
-        whole = (os.path.getsize(self.path) - self.header.size) // (4 * len(self.header.fields))
-        n = min(self.header.count, whole)
-        return [Range(i, min(self.chunk, n - i)) for i in range(0, n, self.chunk)] or [Range(0, 0)]
+        out = []
+        for p, h in self.headers.items():
+            n = min(h.count, (os.path.getsize(p) - h.size) // (4 * len(h.fields)))
+            out += [Range(p, i, min(self.chunk, n - i)) for i in range(0, n, self.chunk)]
+        return out or [Range(self.paths[0], 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        k = len(self.header.fields)
-        with open(self.path, "rb") as f:
-            f.seek(self.header.size + 4 * k * partition.first)
+        h = self.headers[partition.path]
+        k, shift = len(h.fields), np.array(h.origin) - np.array(self.header.origin)
+        with open(partition.path, "rb") as f:
+            f.seek(h.size + 4 * k * partition.first)
             left = partition.rows
             while left:
                 rows = np.frombuffer(f.read(4 * k * min(left, 65536)), "<f4").reshape(-1, k)
                 if not len(rows):
                     return
                 left -= len(rows)
-                yield pa.RecordBatch.from_arrays(unpack(rows, self.header.fields), self.header.columns)
+                if shift.any():
+                    rows = rows.copy()
+                    for i, c in enumerate("xyz"):
+                        rows[:, h.fields.index(c)] = rows[:, h.fields.index(c)].astype(np.float64) + shift[i]
+                yield keep(pa.RecordBatch.from_arrays(unpack(rows, h.fields), h.columns), self.box, self.filters)
 
 
 @dataclass
@@ -190,10 +216,10 @@ class PcdSource(DataSource):
         return "pcd"
 
     def schema(self) -> StructType:
-        return StructType([StructField(c, FloatType()) for c in read_header(self.options["path"]).columns])
+        return StructType([StructField(c, FloatType()) for c in read_header(listed(self.options["path"], ".pcd")[0]).columns])
 
     def reader(self, schema: StructType) -> PcdReader:
-        return PcdReader(self.options["path"], int(self.options.get("chunk", ROWS)))
+        return PcdReader(self.options["path"], int(self.options.get("chunk", ROWS)), self.options.get("box"))
 
     def writer(self, schema: StructType, overwrite: bool) -> PcdWriter:
         return PcdWriter(self.options["path"], schema, parse_origin(self.options.get("origin")))
