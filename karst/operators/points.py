@@ -36,6 +36,12 @@ def finite(points: DataFrame, *names: str) -> DataFrame:
     return points.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in names]))
 
 
+def bernoulli(points: DataFrame, share: float, key: str = "pid", seed: int = 0) -> DataFrame:
+    """Each row with a chance of share, by a hash of its key: the same at every run and for every partitioning."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return points.where(draw < share)
+
+
 def voxel_downsample(points: DataFrame, size: float | dict[str, float], means: dict[str, Column] | None = None) -> DataFrame:
     """One row for each occupied voxel: vx, vy, vz, n and the mean of every column.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from math import pi, prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,15 +59,22 @@ def radius_outliers(points: DataFrame, radius: float, least: int, axes: str = "x
     return points.join(radius_count(points, radius, axes).where(F.col("n") >= least).select("pid"), "pid", "left_semi")
 
 
-def knn(points: DataFrame, k: int, start: float, axes: str = "xyz", most_rounds: int = 24) -> DataFrame:
+def knn(points: DataFrame, k: int, start: float | None = None, axes: str = "xyz", most_rounds: int = 24) -> DataFrame:
     """pid, other, d2, place: the k nearest other points of each, ties by pid.
 
     Rings: a radius is exact for the points that have k others inside it; the rest
-    are asked again with twice the radius, until none is left or all are inside.
+    are asked again with twice the radius, until none is left or all are inside.  The
+    first radius is one that would hold twice as many if points were spread evenly.
     """
     slim = cut(points.select("pid", *axes))
-    total = slim.count()
+    ends = [f(c) for c in axes for f in (F.min, F.max)]
+    total, *box = slim.agg(F.count("*"), *ends).first()
     k = min(k, max(total - 1, 0))
+    if start is None:
+        sides = [max(b - a, 1e-9) for a, b in zip(box[::2], box[1::2], strict=True)] if total else [1.0]
+        # sides that are next to nothing do not make room
+        sides = [v for v in sides if v > 1e-6 * max(sides)]
+        start = max((2 * max(k, 1) * prod(sides) / max(total, 1) / {1: 2, 2: pi, 3: 4 * pi / 3}[len(sides)]) ** (1 / len(sides)), 1e-9)
     asked, done, radius = slim, [], start
     for turn in range(most_rounds + 1):
         if turn == most_rounds:
@@ -83,7 +91,7 @@ def knn(points: DataFrame, k: int, start: float, axes: str = "xyz", most_rounds:
     return reduce(DataFrame.unionAll, done)
 
 
-def statistical_outliers(points: DataFrame, k: int, ratio: float, start: float, axes: str = "xyz") -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, start: float | None = None, axes: str = "xyz") -> DataFrame:
     """Points whose mean distance to their k nearest is at most the mean of those means plus ratio population deviations."""
     mean = knn(points, k, start, axes).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("d"))
     limit = mean.agg((F.avg("d") + F.lit(ratio) * F.stddev_pop("d")).alias("limit"))

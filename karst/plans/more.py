@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import geometry, landmarks, rasters, skeletons, spatial, stats
+from karst.operators import geometry, landmarks, points, rasters, skeletons, spatial, stats
 from karst.plans.queries import ANCHOR_SQL, CELLS, anchors, cells, mask, query
 from karst.plans.views import view
 from karst.sources import logs
@@ -17,19 +17,17 @@ from karst.sources import logs
 
 @query("SELECT pid, x, y, z FROM upts WHERE x IS NOT NULL AND NOT isnan(z)")
 def finite_load(spark, d):
-    from karst.operators.points import finite
+    return points.finite(view(spark, d, "upts"), "x", "y", "z").select("pid", "x", "y", "z")
 
-    return finite(view(spark, d, "upts"), "x", "y", "z").select("pid", "x", "y", "z")
 
-
-@query()
+@query("SELECT pid, x, y, z FROM upts ORDER BY md5(pid::VARCHAR), pid LIMIT 500")
 def sample_exact(spark, d):
     return skeletons.samples(view(spark, d, "upts").select("pid", "x", "y", "z"), 500)
 
 
-@query()
+@query("SELECT pid, x, y, z FROM upts WHERE cast('0x' || substr(md5('0:' || pid), 1, 8) AS BIGINT) / 4294967296.0 < 0.1")
 def sample_bernoulli(spark, d):
-    return view(spark, d, "upts").sample(False, 0.1, 0).select("pid", "x", "y", "z")
+    return points.bernoulli(view(spark, d, "upts"), 0.1).select("pid", "x", "y", "z")
 
 
 @query(f"WITH a AS (SELECT * FROM {ANCHOR_SQL}) SELECT u.pid, a.pid AS anchor FROM upts u, a WHERE pow((u.x - a.x) / 12.0, 2) + pow((u.y - a.y) / 8.0, 2) <= 1 AND abs(u.z - a.z) <= 4")

@@ -332,12 +332,12 @@ KNN = "p AS (SELECT pid, x, y, z FROM upts), q AS (SELECT a.pid, sqrt(D2) AS d,
 
 @query(f"WITH {KNN} SELECT pid, round(d, 6) AS d FROM k")
 def knn_mean_dist(spark, d):
-    return spatial.knn(view(spark, d, "upts"), 4, 2.0).groupBy("pid").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("d"))
+    return spatial.knn(view(spark, d, "upts"), 4).groupBy("pid").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("d"))
 
 
 @query(f"WITH {KNN} SELECT p.pid, x, y, z FROM p JOIN k USING (pid) WHERE d <= (SELECT avg(d) + 1.5 * stddev_pop(d) FROM k)")
 def statistical_outlier(spark, d):
-    return spatial.statistical_outliers(view(spark, d, "upts").select("pid", "x", "y", "z"), 4, 1.5, 2.0)
+    return spatial.statistical_outliers(view(spark, d, "upts").select("pid", "x", "y", "z"), 4, 1.5)
 
 
 @query(f"WITH a AS (SELECT * FROM {ANCHOR_SQL}) SELECT a.pid, count(*) AS n, round(quantile_cont(b.z, 0.99), 4) AS p99 FROM a JOIN upts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 GROUP BY 1")
@@ -475,10 +475,10 @@ def interp_join(spark, d):
     return out.select("s", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("WITH RECURSIVE p AS (SELECT user_id, s::DOUBLE AS s, value FROM stn), r AS (SELECT p.user_id, p.s, p.value, 0.0::DOUBLE AS length, 1::BIGINT AS kept FROM p JOIN (SELECT user_id, min(s) AS s FROM p GROUP BY 1) f ON f.user_id = p.user_id AND f.s = p.s UNION ALL SELECT user_id, s, value, length + CASE WHEN dist <= 4000 THEN dist ELSE 0 END, kept + 1 FROM (SELECT r.user_id, p.s, p.value, r.length, r.kept, sqrt((p.s - r.s) * (p.s - r.s) + (p.value - r.value) * (p.value - r.value)) AS dist, row_number() OVER (PARTITION BY r.user_id ORDER BY p.s) AS k FROM r JOIN p ON p.user_id = r.user_id AND p.s > r.s AND sqrt((p.s - r.s) * (p.s - r.s) + (p.value - r.value) * (p.value - r.value)) >= 50) n WHERE k = 1) SELECT user_id, round(max(length), 6) AS length, max(kept) AS kept FROM r GROUP BY 1")
 def path_length(spark, d):
     rows = view(spark, d, "stn").select("user_id", F.col("s").cast("double").alias("s"), "value")
-    return curves.kept_path(rows, "s", ["s", "value"], 50.0, 4000.0, ["user_id"])
+    return curves.kept_path(rows, "s", ["s", "value"], 50.0, 4000.0, ["user_id"]).withColumn("length", F.round("length", 6))
 
 
 @query("SELECT user_id, first(value ORDER BY s) AS first, last(value ORDER BY s) AS last, last(value ORDER BY s) - first(value ORDER BY s) AS closure, max(value) - min(value) AS extent, min(s) FILTER (WHERE value = m) AS top_at FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM stn) GROUP BY 1")

@@ -95,11 +95,37 @@ def test_live_voxels(spark, tmp_path):
 
 
 def test_late_messages(spark, tmp_path):
-    rows = spark.sql("SELECT timestamp'2026-01-01 00:00:10' AS ts, 'a' AS topic UNION ALL SELECT timestamp'2026-01-01 00:10:00', 'b'")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    def arrive(name, *rows):
+        spark.sql(" UNION ALL ".join(f"SELECT timestamp'2026-01-01 {t}' AS ts, '{topic}' AS topic" for t, topic in rows)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    arrive("first", ("00:00:10", "a"), ("00:00:50", "a"), ("00:01:10", "b"))
+    stream = spark.readStream.schema("ts timestamp, topic string").parquet(str(tmp_path / "in"))
     q = live.topic_counts(stream, "ts", "topic", "1 minute", "2 minutes").writeStream.outputMode("append").format("memory").queryName("topics").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
+    assert spark.table("topics").count() == 0  # no window is closed yet
+    arrive("second", ("00:10:00", "b"))
+    q.processAllAvailable()
+    arrive("late", ("00:00:20", "a"), ("00:10:30", "b"), ("00:20:00", "c"))  # the first comes after its window closed
+    q.processAllAvailable()
     q.stop()
-    assert {r["topic"] for r in spark.table("topics").collect()} <= {"a", "b"}
-    assert spark.range(1).select(F.lit(1)).count() == 1
+    got = sorted((str(r["start"])[14:19], r["topic"], r["n"], str(r["first"])[14:19]) for r in spark.table("topics").collect())
+    assert got == [("00:00", "a", 2, "00:10"), ("01:00", "b", 1, "01:10"), ("10:00", "b", 2, "10:00")]
+
+
+def test_up_axis_of_a_tilted_plane(spark):
+    from karst.operators import landmarks
+
+    rng = np.random.default_rng(5)
+    p = np.column_stack([rng.uniform(0, 10, (300, 2)), np.zeros(300)]) @ geometry.align((0.3, 0.1, 0.9), (0, 0, 1))
+    up = landmarks.up_axis(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double"), 8, 1.0)
+    assert abs(abs(up @ geometry.unit((0.3, 0.1, 0.9))) - 1) < 1e-6 and up[2] > 0
+    assert landmarks.up_axis(spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "pid long, x double, y double, z double"), 8, 1.0).tolist() == [0, 0, 1]
+
+
+def test_quadratic_fit_against_least_squares(spark):
+    rng = np.random.default_rng(6)
+    p = rng.uniform(-3, 3, (400, 3))
+    f = stats.quadratic(spark.createDataFrame([tuple(map(float, r)) for r in p], "x double, y double, z double"))
+    x, y, z = p.T
+    want = np.linalg.lstsq(np.column_stack([x, y, x * x, x * y, y * y, np.ones(400)]), z, rcond=None)[0]
+    assert np.allclose([f[k] for k in ("x", "y", "xx", "xy", "yy", "constant")], want, atol=1e-8)
