@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -298,12 +299,15 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items for each document."""
     index = build_index(docs)
-    found = [lookup(index, Windows.of(block, window)) for block in blocks_of(items)]
-    out = found[0]
-    if len(found) > 1:  # a document's spans from several blocks
-        for x in found[1:]:
-            out = out.unionAll(x)
-        out = out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    blocks = (Windows.of(block, window) for block in blocks_of(items))
+    out, second = lookup(index, next(blocks)), next(blocks, None)
+    if second is not None:  # a document's spans from several blocks; of each block what it hits is stored, so that the driver holds one block
+        parts, hits = stored(out, "hits"), []
+        for windows in chain([second], blocks):
+            hits.append(stored(lookup(index, windows).where(F.size("spans") > 0), "hits"))
+        for x in hits:
+            parts = parts.unionAll(x)
+        out = parts.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
