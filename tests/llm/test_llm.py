@@ -745,3 +745,70 @@ def test_secrets_of_a_long_text_and_of_many_repositories(spark):
     assert (got.spans[1:9] == "").all() and (got.n_example[1:9] == 1).all() and got.n_live[9] == 1
     # a generic token inside an assigned value is no span of its own
     assert got.spans[10] == "assign:0:28,generic:29:49"
+
+
+# repeated rows, ties, very long texts and hard tables
+
+
+def test_repeated_rows_of_one_id(spark):
+    texts = ["one two three four five six seven eight nine ten eleven", "other words here", None]
+    rows = [(7, t) for t in texts for _ in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack_documents(docs, WORD_BPE).toPandas()
+    assert sorted(packed.length) == sorted(len(ids_of(WORD_BPE, t, 0)) for _, t in rows) and packed.groupby("sequence_id").length.sum().max() <= 2048
+    files = huffman.read_documents(spark, huffman.write_documents(docs, BYTE_BPE, 2)).toPandas().sort_values("start")
+    assert files.start.tolist() == [0, *files.n_tokens.cumsum()[:-1]] and sorted(files.n_tokens) == sorted(len(ids_of(BYTE_BPE, t, 2)) for _, t in rows)
+    items = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven"), (1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    hit = decontaminate.contamination(docs, items).toPandas()
+    assert sorted(hit.n_hit) == [0] * 6 + [10] * 3 and len(hit) == 9
+    assert decontaminate.keep_clean(docs, items).count() == 6
+    known = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs.unionAll(spark.createDataFrame([(8, "x")], docs.schema)), known).count() == 10
+    near = simhash.near_duplicates(docs).toPandas()
+    assert len(near) == 9 and set(near.component_id) == {7} and near.groupby("fingerprint").size().tolist() == [3, 3, 3]
+    assert ppm.lm_scores(docs, 2).count() == 9
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(19)
+    long = " ".join(rng.choice([f"w{k}" for k in range(5000)], 300_000))
+    docs = spark.createDataFrame([(0, long), (1, long + " end"), (2, "short")], "doc_id long, text string")
+    got = packing.pack_documents(docs, WORD_BPE).toPandas()
+    assert got[got.doc_id == 0].length.sum() == len(ids_of(WORD_BPE, long, 0))
+    assert toxicity.toxicity(docs, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int")).count() == 3
+    import corpus_pipeline as cp
+
+    assert sorted(r["doc_id"] for r in cp.dedup_near(spark, docs, "").collect()) == [0, 2]
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() == 2
+
+
+def test_pipeline_on_a_hard_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(20)
+    word = lambda n: " ".join(rng.choice([f"v{k}" for k in range(3000)], n))
+    passage, item = word(60), word(14)
+    plain = [word(40) for _ in range(400)]
+    texts = [t + (" moronix" if i % 5 == 0 else "") for i, t in enumerate(plain)]  # toxic ones
+    base = word(45)  # two runs and a part: what differs at the end leaves no window that repeats
+    near = [base, base.rsplit(" ", 1)[0] + " changed", base + " more"]
+    extra = [None, "", *near, f"a head\n{passage}\na tail", f"b head\n{passage}\nb tail", f"{word(20)} {item} {word(5)}", passage]
+    rows = [(i, t, "en", "src", None if t is None else len(t), 1, 2) for i, t in enumerate([*texts, *extra])]
+    rows += rows[400:402] + [(None, "no id but words", None, None, 3, 1, 2)]
+    names = "doc_id long, text string, lang string, source string, n_chars int, line_dedup int, toxicity int"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = cp.run(spark, str(tmp_path)).toPandas()
+    left = {None if pd.isna(x) else int(x) for x in out.doc_id}
+    # toxic rows, copies of near, the passage's later places (one text whole) and the item's document go; texts without words are one group
+    want = {i for i in range(400) if i % 5} | {400, 402, 405, 406, None}
+    assert left == want
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in names.split(", ")]
+    assert docs.where("doc_id = 406").first()["text"] == "b head\nb tail" and docs.where("doc_id = 406").first()["n_chars"] == 13
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
