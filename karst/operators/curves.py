@@ -68,9 +68,19 @@ def sinuosity(rows: DataFrame, order: str, axes: Sequence[str], half: int, by: S
     return along.withColumn("sinuosity", F.when((F.count("*").over(w) >= least * (2 * half + 1)) & (chord > 0), path / chord))
 
 
-def median_filter(rows: DataFrame, order: str, value: str, half: int, by: Sequence[str] = ()) -> DataFrame:
-    """Running median of 2 half + 1 rows; beyond the ends the end value stands again."""
+def median_filter(rows: DataFrame, order: str, value: str, half: int, by: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
+    """Running median of 2 half + 1 rows; beyond the ends the end value stands again (nearest), or the rows mirrored with the end one twice (reflect)."""
+    if edge not in ("nearest", "reflect"):
+        raise ValueError("edge is nearest or reflect")
     w = _window(by, order)
+    if edge == "reflect":
+        n, k = F.count("*").over(Window.partitionBy(*by)), F.row_number().over(w)
+        near = F.collect_list(value).over(w.rowsBetween(-half, half))
+        # the rows missing before the first are the first ones again, from the first on; as many after the last
+        before, after = F.greatest(F.lit(half) - (k - 1), F.lit(0)), F.greatest(F.lit(half) - (n - k), F.lit(0))
+        padded = F.concat(F.slice(near, 1, before.cast("int")), near, F.slice(near, (F.size(near) - after + 1).cast("int"), after.cast("int")))
+        # a key shorter than the window would need further mirrors: there the rows there are decide
+        return rows.withColumn("median", F.get(F.array_sort(padded), F.floor((F.size(padded) - 1) / 2).cast("int")))
     first, last = F.first(value).over(w), F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     near = F.collect_list(value).over(w.rowsBetween(-half, half))
     before, after = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(w)
@@ -105,6 +115,31 @@ def effective_size(rows: DataFrame, order: str, value: str, lags: int, by: Seque
     return n.join(shape, list(by)).select(*by, "n", (F.col("n") / (1 + 2 * F.col("_s"))).alias("n_eff"), "decay", "negative") if by else n.crossJoin(shape).select("n", (F.col("n") / (1 + 2 * F.col("_s"))).alias("n_eff"), "decay", "negative")
 
 
+def peaks(rows: DataFrame, order: str, value: str, height: float, distance: float, by: Sequence[str]) -> DataFrame:
+    """by, order, v: local maxima of the three-row mean (ends weighted once, the row twice) over height, none nearer than distance to a higher one.
+
+    What stays hangs on what is higher, so each key is one task's work, over its few peaks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    w = _window(by, order)
+    a, b, c = F.lag(value).over(w), F.col(value), F.lead(value).over(w)
+    soft = rows.select(*by, F.col(order).cast("double").alias(order), ((F.coalesce(a, b) + 2 * b + F.coalesce(c, b)) / 4).alias("v"))
+    soft = soft.withColumns({"_l": F.lag("v").over(w), "_r": F.lead("v").over(w)}).where((F.col("v") > height) & (F.col("v") > F.col("_l")) & (F.col("v") >= F.col("_r"))).drop("_l", "_r")
+
+    def stay(table: pa.Table) -> pa.Table:
+        at, v = table.column(order).to_numpy(), table.column("v").to_numpy()
+        kept: list[int] = []
+        for i in np.lexsort((at, -v)).tolist():
+            if all(abs(at[i] - at[j]) >= distance for j in kept):
+                kept.append(i)
+        return table.take(pa.array(sorted(kept), pa.int64()))
+
+    kinds = dict(rows.dtypes)
+    return soft.groupBy(*by).applyInArrow(stay, ", ".join([*(f"{x} {kinds[x]}" for x in by), f"{order} double", "v double"]))
+
+
 def interpolate(asked: DataFrame, known: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """asked and value, linear between the known rows around key; constant beyond them. Keys of known are unique."""
     both = asked.select(*by, key, F.lit(1).alias("_asked"), F.lit(None).cast("double").alias("_v")).unionAll(known.select(*by, key, F.lit(0), F.col(value).cast("double")))

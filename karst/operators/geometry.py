@@ -43,6 +43,35 @@ def motion(rotation: np.ndarray, shift: Sequence[float]) -> np.ndarray:
     return out
 
 
+def compose(*motions: Sequence[Sequence[float]]) -> np.ndarray:
+    """One motion for several, the last of them applied first."""
+    out = np.eye(4)
+    for m in motions:
+        out = out @ np.asarray(m, float)
+    return out
+
+
+def invert(m: Sequence[Sequence[float]]) -> np.ndarray:
+    """The motion back; of rigid ones exactly the transposed turn."""
+    m = np.asarray(m, float)
+    r = m[:3, :3]
+    if not np.allclose(r @ r.T, np.eye(3), atol=1e-6):
+        raise ValueError("not a rigid motion")
+    return motion(r.T, -r.T @ m[:3, 3])
+
+
+def shift_search(points: DataFrame, cells: DataFrame, value: str, res: float, low: Sequence[float], reach: int, scale: float = 1.0) -> DataFrame:
+    """dx, dy, n, cost: summed distance of points (times scale) from the cells they meet when moved by whole cells, up to reach each way.
+
+    The cells, few against the points, are sent for each shift; points meet theirs once.
+    """
+    both = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+    shifts = F.array(*[F.struct(F.lit(a).cast("long").alias("dx"), F.lit(b).cast("long").alias("dy")) for a, b in both])
+    sent = cells.select("ix", "iy", F.col(value).alias("_v"), F.explode(shifts).alias("o")).select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), "o.dx", "o.dy", "_v")
+    own = points.select("z", *[F.floor((F.col(c) - F.lit(float(a))) / F.lit(float(res))).cast("long").alias(f"i{c}") for c, a in zip("xy", low, strict=True)])
+    return own.join(sent, ["ix", "iy"]).groupBy("dx", "dy").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("z") * F.lit(scale) - F.col("_v"))).alias("cost"))
+
+
 def principal_frame(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """cx, cy, angle of the longest axis of each group in the plane, from one pass of sums."""
     g = points.groupBy(*by) if by else points.groupBy()

@@ -76,6 +76,13 @@ def grid(points: DataFrame, res: float, low: Sequence[float], shape: Sequence[in
     return points.groupBy(ix, iy).agg(F.count("*").alias("n"), F.sum(z).alias("zsum"), F.max(z).alias("zmax"), F.min(z).alias("zmin"))
 
 
+def raster_max(points: DataFrame, res: float, low: Sequence[float], shape: Sequence[int], z: str = "z") -> DataFrame:
+    """ix, iy, zmax on a given lattice; points outside it are left out, not moved to its edge."""
+    placed = points.select(*[C.cell(c, a, res).alias(f"i{c}") for c, a in zip("xy", low, strict=True)], F.col(z).alias("_z"))
+    inside = F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1)
+    return placed.where(inside).groupBy("ix", "iy").agg(F.max("_z").alias("zmax"))
+
+
 def occupancy(points: DataFrame, res: float) -> DataFrame:
     """The grid over the points' own extent; refuses one of more than MOST_CELLS cells."""
     (x0, x1), (y0, y1) = extent(points, "x", "y")

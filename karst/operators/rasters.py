@@ -157,3 +157,14 @@ def dem(cells: DataFrame, value: str = "zmax", size: int = 3) -> DataFrame:
 def lookup(points: DataFrame, cells: DataFrame, ix: Column, iy: Column) -> DataFrame:
     """points with the columns of their cell, null where it is empty."""
     return points.withColumn("ix", ix).withColumn("iy", iy).join(cells, ["ix", "iy"], "left")
+
+
+def noise(cells: DataFrame, sigma: float, amplitude: float, seed: int = 0) -> DataFrame:
+    """ix, iy, noise over the box of cells: normal draws by a hash of the cell, smoothed over sigma cells and scaled to a deviation of amplitude about zero."""
+    full = dense(cells.select("ix", "iy").withColumn("_1", F.lit(1.0)), "_1")
+    draw = lambda k: (F.pmod(F.xxhash64("ix", "iy", F.lit(seed), F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    raw = full.select("ix", "iy", (F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * F.pi() * draw(2))).alias("n"))
+    soft = gaussian(raw, sigma, "n")
+    spread = soft.agg(F.avg("smooth").alias("_m"), F.stddev_pop("smooth").alias("_s"))
+    scaled = (F.col("smooth") - F.col("_m")) / F.nullif("_s", F.lit(0.0)) * F.lit(float(amplitude))
+    return soft.crossJoin(F.broadcast(spread)).select("ix", "iy", F.coalesce(scaled, F.lit(0.0)).alias("noise"))  # spread is one row

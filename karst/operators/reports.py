@@ -38,3 +38,14 @@ def compare(old: DataFrame, new: DataFrame, absolute: float, relative: float) ->
         .otherwise("changed")
     )
     return both.select("key", "old", "new", verdict.alias("verdict"))
+
+
+def collected(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
+    """key, value, text of several one-row tables as one report: the part's name, then the column."""
+    tree = {}
+    for name, row in parts.items():
+        found = row.limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{name} is not one row")
+        tree[name] = found[0].asDict(recursive=True)
+    return leaves(spark, tree)

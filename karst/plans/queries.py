@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import curves, landmarks, points, profiles, rasters, relations, reports, spatial, stats
+from karst.operators import curves, geometry, landmarks, points, profiles, rasters, relations, reports, spatial, stats
 from karst.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,11 +561,7 @@ def tolerance_verdict(spark, d):
 
 @query("WITH g AS (SELECT dx, dy, u.pid, abs(u.z * 10 - c.zmax) AS e FROM upts u, (SELECT a.i AS dx, b.i AS dy FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i)) o, (SELECT cast(floor(x / 5) AS bigint) AS ix, cast(floor(y / 5) AS bigint) AS iy, max(mz) AS zmax FROM pts GROUP BY 1, 2) c WHERE c.ix = cast(floor(u.x / 5) AS bigint) + dx AND c.iy = cast(floor(u.y / 5) AS bigint) + dy) SELECT dx, dy, count(*) AS n, cast(sum(e) AS double) AS cost FROM g GROUP BY 1, 2 ORDER BY cost / n, dx, dy LIMIT 1")
 def shift_search(spark, d):
-    u = view(spark, d, "upts").select("z", C.cell("x", 0, 5).alias("ix"), C.cell("y", 0, 5).alias("iy"))
-    # the cells, few against the points, are sent for each shift; points stay where they are until they meet theirs
-    shifts = F.array(*[F.struct(F.lit(a).cast("long").alias("dx"), F.lit(b).cast("long").alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    sent = cells(spark, d).select("ix", "iy", "zmax", F.explode(shifts).alias("o")).select((F.col("ix") - F.col("o.dx")).alias("ix"), (F.col("iy") - F.col("o.dy")).alias("iy"), "o.dx", "o.dy", "zmax")
-    cost = u.join(sent, ["ix", "iy"]).groupBy("dx", "dy").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("z") * 10 - F.col("zmax"))).alias("cost"))
+    cost = geometry.shift_search(view(spark, d, "upts"), cells(spark, d), "zmax", 5.0, (0.0, 0.0), 1, 10.0)
     return cost.orderBy(F.col("cost") / F.col("n"), "dx", "dy").limit(1)
 
 

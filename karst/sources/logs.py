@@ -92,3 +92,14 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"more than {most} rows")
     lines = [df.columns, ["---"] * len(df.columns), *([("" if v is None else str(v)) for v in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def latex(df: DataFrame, most: int = 1000) -> str:
+    """A small table as a tabular; more than `most` rows are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    # fixed values: what LaTeX reads as a command, and how it is written plainly
+    plain = str.maketrans({"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"})
+    lines = [" & ".join(("" if v is None else str(v)).translate(plain) for v in r) + r" \\" for r in (df.columns, *rows)]
+    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", lines[0], r"\hline", *lines[1:], r"\hline", r"\end{tabular}"])

@@ -267,3 +267,44 @@ def test_curves_helpers(spark):
     named = frame(spark, [("skyLightArea",), ("z_dem-MAX2Min",)], "n string").select(surveys.words_of_name("n").alias("w"))
     assert [r["w"] for r in named.collect()] == ["sky light area", "z dem max2 min"]
     assert pd.notna(got["n"])
+
+
+def test_motions_compose_and_invert():
+    a, b = (geometry.motion(geometry.about(axis, t), shift) for axis, t, shift in (((1, 2, 3), 0.4, (1, 2, 3)), ((0, 1, 1), -1.1, (-4, 0, 2))))
+    p = np.array([0.5, -2, 7, 1])
+    assert np.allclose(geometry.compose(a, b) @ p, a @ (b @ p)) and np.allclose(geometry.compose(geometry.invert(a), a), np.eye(4))
+    with pytest.raises(ValueError):
+        geometry.invert(2 * np.eye(4))
+
+
+def test_peaks_keep_their_distance(spark):
+    v = [0, 0, 5, 0, 0, 8, 0, 9, 0, 0, 0, 0, 0, 7, 0, 0, 0.1, 0]
+    got = curves.peaks(frame(spark, [(1, i, float(x)) for i, x in enumerate(v)], "k long, s long, v double"), "s", "v", 1.0, 4.0, ["k"]).orderBy("s").collect()
+    assert [(r["s"], r["v"]) for r in got] == [(2.0, 2.5), (7.0, 4.5), (13.0, 3.5)]
+
+
+def test_running_median_mirrored(spark):
+    rng = np.random.default_rng(12)
+    v = rng.uniform(size=11)
+    got = curves.median_filter(frame(spark, [(0, i, float(x)) for i, x in enumerate(v)], "k long, s long, v double"), "s", "v", 2, ["k"], "reflect").orderBy("s").collect()
+    padded = np.pad(v, 2, mode="symmetric")
+    assert np.allclose([r["median"] for r in got], [np.median(padded[i : i + 5]) for i in range(11)])
+
+
+def test_lattices_noise_and_reports(spark):
+    df = frame(spark, [(0.5, 0.5, 1.0), (0.6, 0.4, 3.0), (-0.1, 0.5, 9.0), (5.0, 0.5, 9.0)], "x double, y double, z double")
+    assert [tuple(r) for r in points.raster_max(df, 1.0, (0.0, 0.0), (3, 3)).collect()] == [(0, 0, 3.0)]
+    box = frame(spark, [(0, 0), (29, 19)], "ix long, iy long")
+    a, b = (rasters.noise(box, 2.0, 0.7, 3).orderBy("ix", "iy").toPandas().noise.to_numpy() for _ in range(2))
+    assert len(a) == 600 and np.allclose(a, b) and abs(a.std() - 0.7) < 1e-9 and abs(a.mean()) < 1e-9
+    grid = a.reshape(30, 20)
+    assert np.corrcoef(grid[1:].ravel(), grid[:-1].ravel())[0, 1] > 0.7  # neighbours go together
+    from karst.operators import reports
+    from karst.sources import logs
+
+    got = reports.collected(spark, {"roof": df.agg(F.max("z").alias("most")), "n": df.agg(F.count("*").alias("rows"))}).collect()
+    assert [(r["key"], r["value"]) for r in got] == [("roof.most", 9.0), ("n.rows", 4.0)]
+    with pytest.raises(ValueError):
+        reports.collected(spark, {"x": df})
+    table = logs.latex(frame(spark, [("50 %", "a_b"), (None, "c&d")], "share string, name string"))
+    assert table.splitlines()[4:6] == [r"50 \% & a\_b \\", r" & c\&d \\"]
