@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import profiles, rasters, relations, spatial
+from karst.operators import curves, profiles, rasters, relations, spatial
 
 BASALT, ATMOSPHERE = 2600.0, 1033.0
 
@@ -95,3 +95,71 @@ def words_of_name(c: str) -> Column:
     """The words of a camel-case or underscored name, in lower case."""
     parted = F.regexp_replace(F.regexp_replace(F.col(c), r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\-]+", " ")
     return F.lower(F.trim(parted))
+
+
+def terrain(rows: DataFrame) -> DataFrame:
+    """One row on intact stations (tau, z_dem, z_ceil): variances, the ground's share, its correlation with tau, and how far a level ceiling alone explains tau."""
+    level = rows.agg(F.avg("z_ceil").alias("_c"), F.avg("tau").alias("_t"))
+    held = rows.crossJoin(F.broadcast(level)).withColumn("_flat", F.col("z_dem") - F.col("_c"))  # one row
+    off = F.col("tau") - F.col("_flat")
+    return held.agg(
+        F.count("*").alias("n"),
+        F.var_pop("tau").alias("var_tau"),
+        F.var_pop("z_dem").alias("var_dem"),
+        F.var_pop("z_ceil").alias("var_ceil"),
+        (F.var_pop("z_dem") / F.var_pop("tau")).alias("dem_share"),
+        F.corr("tau", "z_dem").alias("corr_dem"),
+        F.corr("tau", "_flat").alias("level_r"),
+        (1 - F.sum(off * off) / F.sum((F.col("tau") - F.col("_t")) * (F.col("tau") - F.col("_t")))).alias("level_r2"),
+        F.sqrt(F.avg(off * off)).alias("level_rms"),
+    )
+
+
+def runs_of(rows: DataFrame, order: str, value: str, wanted: str, by: Sequence[str]) -> DataFrame:
+    """first, last, middle of each unbroken run of stations with a class, in each curve."""
+    runs = curves.islands(rows, order, value, by).where(F.col(value) == wanted)
+    return runs.groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("run").withColumn("middle", (F.col("first") + F.col("last")) / 2)
+
+
+def contrast(rows: DataFrame, runs: DataFrame, order: str, values: Sequence[str], by: Sequence[str], near: float = 25.0, far: float = 60.0) -> DataFrame:
+    """For each run, of each value the mean of its curve's rows nearer than `near` to its middle less the mean of those further than `far`."""
+    met = rows.join(runs, list(by)).withColumn("_d", F.abs(F.col(order) - F.col("middle")))
+    mean = lambda v, test: F.avg(F.when(test, F.col(v)))
+    return met.groupBy(*by, "first", "last").agg(*[(mean(v, F.col("_d") < near) - mean(v, F.col("_d") > far)).alias(f"d_{v}") for v in values])
+
+
+def road_cells(stations: DataFrame, points: DataFrame, half: float = 1.25, across: float = 4.0, least: int = 5, slack: float = 3.0) -> DataFrame:
+    """s, n, p99, highest, p1, overburden and roof_sampled of the cell of points about each station (s, x, y, tx, ty, z_dem).
+
+    A cell reaches half along the tangent and so far across it; with fewer than `least`
+    points it has no levels.  A cell whose p99 is more than slack below the highest p99
+    before it has no roof in view.  Cells after the last one with points are left out.
+    """
+    reach = (across**2 + half**2) ** 0.5 + 0.5
+    near = spatial.near_pairs(stations.select("s", "x", "y", "tx", "ty"), points.select("x", "y", "z"), reach, "xy")
+    dx, dy = (F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xy")
+    kept = near.where((F.abs(dx * F.col("a.tx") + dy * F.col("a.ty")) <= half) & (F.abs(dy * F.col("a.tx") - dx * F.col("a.ty")) <= across))
+    level = kept.groupBy(F.col("a.s").alias("s")).agg(F.count("*").alias("n"), F.percentile("b.z", 0.99).alias("p99"), F.max("b.z").alias("highest"), F.percentile("b.z", 0.01).alias("p1"))
+    found = stations.select("s", "z_dem").join(level, "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found = found.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("p99", "highest", "p1")})
+    top = F.max("p99").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))  # a row a cell of one road
+    seen = F.coalesce(F.col("p99") >= F.coalesce(top, F.lit(float("-inf"))) - slack, F.lit(False))
+    return relations.without_empty_end(found.withColumns({"overburden": F.col("z_dem") - F.col("p99"), "roof_sampled": seen}).drop("z_dem"), "s", "n")
+
+
+def rim_underside(marks: DataFrame, points: DataFrame, ahead: tuple[float, float] = (0.5, 3.0), half: float = 1.0, below: float = 0.2, least: int = 20, floor: float = 2.0) -> DataFrame:
+    """id, n, under, tau, n_floor, depth at marks on a rim (id, x, y, z_dem, ux, uy: unit outward).
+
+    Under the rim: the 99th percentile of points in a strip outward that lie a little
+    below the ground; the floor: the 2nd percentile of points within a radius.  Fewer
+    than `least` points tell nothing.
+    """
+    reach = max(floor, ahead[1] + half)
+    near = spatial.near_pairs(marks.select("id", "x", "y", "z_dem", "ux", "uy"), points.select("x", "y", "z"), reach, "xy")
+    dx, dy = (F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xy")
+    along, side = dx * F.col("a.ux") + dy * F.col("a.uy"), dy * F.col("a.ux") - dx * F.col("a.uy")
+    strip = along.between(*ahead) & (F.abs(side) <= half) & (F.col("b.z") < F.col("a.z_dem") - below)
+    inside = F.col("d2") <= floor * floor
+    told = near.groupBy(F.col("a.id").alias("id")).agg(F.first("a.z_dem").alias("_g"), F.count_if(strip).alias("n"), F.percentile(F.when(strip, F.col("b.z")), 0.99).alias("under"), F.count_if(inside).alias("n_floor"), F.percentile(F.when(inside, F.col("b.z")), 0.02).alias("_f"))
+    under = F.when(F.col("n") >= least, F.col("under"))
+    return told.select("id", "n", under.alias("under"), (F.col("_g") - under).alias("tau"), "n_floor", F.when(F.col("n_floor") >= least, F.col("_g") - F.col("_f")).alias("depth"))

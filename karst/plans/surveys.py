@@ -204,6 +204,37 @@ def floor_through_opening(spark, d):
     return out.select("pid", F.round("dz", 6).alias("dz"), F.round("r", 6).alias("r"))
 
 
+@query(f"WITH {ROOF}, i AS (SELECT r.tau, e.z_dem, e.z_ceil FROM r JOIN e USING (s) WHERE class = 'intact'), lv AS (SELECT avg(z_ceil) AS c, avg(tau) AS t FROM i) SELECT count(*) AS n, round(var_pop(tau), 6) AS var_tau, round(var_pop(z_dem), 6) AS var_dem, round(var_pop(z_ceil), 6) AS var_ceil, round(var_pop(z_dem) / var_pop(tau), 6) AS dem_share, round(corr(tau, z_dem), 6) AS corr_dem, round(corr(tau, z_dem - c), 6) AS level_r, round(1 - sum(pow(tau - (z_dem - c), 2)) / sum(pow(tau - t, 2)), 6) AS level_r2, round(sqrt(avg(pow(tau - (z_dem - c), 2))), 6) AS level_rms FROM i, lv")
+def terrain_shares(spark, d):
+    out = surveys.terrain(_roof(spark, d).where("class = 'intact'"))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("WITH w AS (SELECT user_id, s, value, class, row_number() OVER (PARTITION BY user_id ORDER BY s) - row_number() OVER (PARTITION BY user_id, class ORDER BY s) AS k FROM stn), r AS (SELECT user_id, min(s) AS first, max(s) AS last FROM w WHERE class = 'purchase' GROUP BY user_id, k) SELECT r.user_id, first, last, round(avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) < 250) - avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) > 600), 4) AS d_value FROM r JOIN w USING (user_id) GROUP BY 1, 2, 3")
+def run_contrast(spark, d):
+    rows = view(spark, d, "stn").select("user_id", "s", "value", "class")
+    runs = surveys.runs_of(rows, "s", "class", "purchase", ["user_id"])
+    return surveys.contrast(rows, runs, "s", ["value"], ["user_id"], 250, 600).withColumn("d_value", F.round("d_value", 4))
+
+
+ROAD = "t AS (SELECT k AS s, 10 + 2.5::DOUBLE * k * 0.8 AS x, 5 + 2.5::DOUBLE * k * 0.6 AS y, 0.8::DOUBLE AS tx, 0.6::DOUBLE AS ty, 20 + k::DOUBLE AS z_dem FROM range(0, 60) AS r(k))"
+
+
+@query(f"WITH {ROAD}, p AS (SELECT t.s, u.z FROM t JOIN upts u ON abs((u.x - t.x) * tx + (u.y - t.y) * ty) <= 1.25 AND abs((u.y - t.y) * tx - (u.x - t.x) * ty) <= 4), l AS (SELECT s, count(*) AS n, quantile_cont(z, 0.99) AS p99, max(z) AS highest, quantile_cont(z, 0.01) AS p1 FROM p GROUP BY 1), f AS (SELECT t.s, z_dem, coalesce(n, 0) AS n, CASE WHEN n >= 5 THEN p99 END AS p99, CASE WHEN n >= 5 THEN highest END AS highest, CASE WHEN n >= 5 THEN p1 END AS p1 FROM t LEFT JOIN l USING (s)) SELECT s, n, round(p99, 6) AS p99, highest, round(p1, 6) AS p1, round(z_dem - p99, 6) AS overburden, coalesce(p99 >= coalesce(max(p99) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-infinity'::DOUBLE) - 3, false) AS roof_sampled FROM f WHERE s <= (SELECT max(s) FROM f WHERE n > 0)")
+def road_cells(spark, d):
+    k = F.col("id")
+    t = spark.range(60).select(k.alias("s"), (10 + F.lit(2.5) * k * 0.8).alias("x"), (5 + F.lit(2.5) * k * 0.6).alias("y"), F.lit(0.8).alias("tx"), F.lit(0.6).alias("ty"), (20 + k.cast("double")).alias("z_dem"))
+    out = surveys.road_cells(t, view(spark, d, "upts"))
+    return out.withColumns({c: F.round(c, 6) for c in ("p99", "p1", "overburden")})
+
+
+@query(f"WITH m AS (SELECT id, x, y, 12.0::DOUBLE AS z_dem, 0.6::DOUBLE AS ux, 0.8::DOUBLE AS uy FROM {MIDDLES} AS upts_m), n AS (SELECT m.id, z_dem, u.z, (u.x - m.x) * ux + (u.y - m.y) * uy BETWEEN 0.5 AND 6 AND abs((u.y - m.y) * ux - (u.x - m.x) * uy) <= 3 AND u.z < z_dem - 0.2 AS strip, (m.x - u.x) * (m.x - u.x) + (m.y - u.y) * (m.y - u.y) <= 16 AS inside FROM m JOIN upts u ON (m.x - u.x) * (m.x - u.x) + (m.y - u.y) * (m.y - u.y) <= 81), a AS (SELECT id, any_value(z_dem) AS g, count(*) FILTER (WHERE strip) AS n, quantile_cont(z, 0.99) FILTER (WHERE strip) AS under, count(*) FILTER (WHERE inside) AS n_floor, quantile_cont(z, 0.02) FILTER (WHERE inside) AS f FROM n GROUP BY 1) SELECT id, n, CASE WHEN n >= 20 THEN round(under, 6) END AS under, CASE WHEN n >= 20 THEN round(g - under, 6) END AS tau, n_floor, CASE WHEN n_floor >= 20 THEN round(g - f, 6) END AS depth FROM a")
+def rim_underside(spark, d):
+    m = middles(spark, d).select("id", "x", "y", F.lit(12.0).alias("z_dem"), F.lit(0.6).alias("ux"), F.lit(0.8).alias("uy"))
+    out = surveys.rim_underside(m, view(spark, d, "upts"), (0.5, 6.0), 3.0, floor=4.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("under", "tau", "depth")})
+
+
 def queries():
     return dict(QUERIES)
 
