@@ -210,9 +210,9 @@ def terrain_shares(spark, d):
     return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@query("WITH w AS (SELECT user_id, s, value, class, row_number() OVER (PARTITION BY user_id ORDER BY s) - row_number() OVER (PARTITION BY user_id, class ORDER BY s) AS k FROM stn), r AS (SELECT user_id, min(s) AS first, max(s) AS last FROM w WHERE class = 'purchase' GROUP BY user_id, k) SELECT r.user_id, first, last, round(avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) < 250) - avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) > 600), 4) AS d_value FROM r JOIN w USING (user_id) GROUP BY 1, 2, 3")
+@query("WITH w AS (SELECT user_id, s, cast(round(value * 100) AS bigint) AS value, class, row_number() OVER (PARTITION BY user_id ORDER BY s) - row_number() OVER (PARTITION BY user_id, class ORDER BY s) AS k FROM stn), r AS (SELECT user_id, min(s) AS first, max(s) AS last FROM w WHERE class = 'purchase' GROUP BY user_id, k) SELECT r.user_id, first, last, round(avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) < 250) - avg(w.value) FILTER (WHERE abs(w.s - (first + last) / 2.0::DOUBLE) > 600), 4) AS d_value FROM r JOIN w USING (user_id) GROUP BY 1, 2, 3")
 def run_contrast(spark, d):
-    rows = view(spark, d, "stn").select("user_id", "s", "value", "class")
+    rows = view(spark, d, "stn").select("user_id", "s", F.round(F.col("value") * 100).cast("long").alias("value"), "class")
     runs = surveys.runs_of(rows, "s", "class", "purchase", ["user_id"])
     return surveys.contrast(rows, runs, "s", ["value"], ["user_id"], 250, 600).withColumn("d_value", F.round("d_value", 4))
 
