@@ -12,8 +12,8 @@ grow with the corpus: a shard's tree lives in the task that holds the shard.
 The trees of a task's shards are built and searched together, level by level, as
 arrays.  On the way down a fingerprint is linked to every ancestor within R; where
 that joins most of a shard (near copies), only what is outside its largest part is
-searched for, so such a shard takes no time that grows as its square.  Only what
-connects a shard's fingerprints leaves it (a row for each at most), and copies share
+searched for, so such a shard takes no time that grows as its square; one of more
+than MOST_TOGETHER is dealt over tasks in tiles.  Only what connects a shard's fingerprints leaves it (a row for each at most), and copies share
 one fingerprint, so a large group of copies makes no pairs.
 
 Defined results: null and empty texts have the fingerprint zero and are linked
@@ -44,6 +44,8 @@ SEED = 42
 SHARD = 512
 #: Fingerprints whose trees are built together, and (searched, node) steps taken together, about.
 TOGETHER, STEPS = 40_000, 2_000_000
+#: The most fingerprints of a shard in one task, and how many of them, about, go to all tiles of a larger one.
+MOST_TOGETHER, PIVOTS = 500_000, 1_000
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
 
 
@@ -189,27 +191,31 @@ class BKTrees:
                 q, v = np.repeat(q, n), self.children[spread(low, n)]
 
 
-def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within radius inside each shard; rows of a shard stand together."""
+def shard_links(fp: np.ndarray, shard: np.ndarray, radius: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is within radius inside each shard (asked: of pairs with an asked row); rows of a shard stand together."""
     starts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(fp)) if len(fp) else np.zeros(1, np.int64)
     forest, i = Forest(len(fp)), 0
     while i < len(starts) - 1:
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1)
-        _link_trees(fp, starts[i : j + 1], radius, forest)
+        _link_trees(fp, starts[i : j + 1], radius, forest, asked)
         i = j
     top = forest.top(np.arange(len(fp)))
     linked = np.flatnonzero(top != np.arange(len(fp)))
     return fp[linked], fp[top[linked]]
 
 
-def _link_trees(fp: np.ndarray, starts: np.ndarray, radius: int, forest: Forest) -> None:
+def _link_trees(fp: np.ndarray, starts: np.ndarray, radius: int, forest: Forest, asked: np.ndarray | None = None) -> None:
     first, own = int(starts[0]), starts - starts[0]
     trees = BKTrees(fp[first : int(starts[-1])], own, radius)
     forest.join(trees.near[0] + first, trees.near[1] + first)
     everyone = np.arange(int(own[-1]))
-    outside, dense = outside_largest(forest.top(everyone + first), trees.root)
-    for asked, earlier in ((everyone[~dense], True), (everyone[outside & dense], False)):
-        for q, v in trees.search(asked, earlier):
+    if asked is not None:
+        searches = [(everyone[asked[first : int(starts[-1])]], False)]
+    else:
+        outside, dense = outside_largest(forest.top(everyone + first), trees.root)
+        searches = [(everyone[~dense], True), (everyone[outside & dense], False)]
+    for some, earlier in searches:
+        for q, v in trees.search(some, earlier):
             forest.join(q + first, v + first)
 
 
@@ -234,24 +240,50 @@ def outside_largest(part: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """a, b: links (all within radius, or through others that are) that connect the distinct fingerprints fp as all links do."""
+    """a, b: links (all within radius, or through others that are) that connect the distinct fingerprints fp as all links do.
+
+    A shard of more than MOST_TOGETHER is dealt in tiles, each with the same pivots
+    among its own; then what is outside the shard's largest component goes to all of
+    its tiles, so every link between components is found and no task holds the shard.
+    """
     masks = shard_masks(n, radius)
+    keys = ["mask", "key", "tile"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["mask", "key"]):
-            yield from done(table)
-
-    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        starts = group_starts(table, ["mask", "key"])
-        shard = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        a, b = shard_links(table.column("fp").to_numpy().view(np.uint64), shard, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for table in whole_groups(batches, keys):
+            starts = group_starts(table, keys)
+            shard = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            asked = table.column("asked").to_numpy(zero_copy_only=False) if "asked" in table.column_names else None
+            a, b = shard_links(table.column("fp").to_numpy().view(np.uint64), shard, radius, asked)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     choices = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])).alias("s")
     shards = distinct.select("fp", choices).select("fp", "s.mask", "s.key")
     parts = max(8, n * len(masks) // 200_000, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return shards.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(work, "a long, b long")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "fp").mapInArrow(work, "a long, b long")
+
+    one = F.lit(0).cast("int")
+    if n <= MOST_TOGETHER:
+        return linked(shards.withColumn("tile", one))
+    large = stored(shards.groupBy("mask", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > MOST_TOGETHER), "large")
+    if not large.head(1):
+        return linked(shards.withColumn("tile", one))
+    tiles = F.coalesce(F.ceil(F.col("rows") / MOST_TOGETHER), F.lit(1)).cast("int")
+    pivot = F.pmod(F.xxhash64("fp", F.lit(1)), F.ceil(F.col("rows") / PIVOTS)) == 0
+    every = F.sequence(one, tiles - 1)
+    tile = F.when(F.col("rows").isNull(), F.array(one)).when(pivot, every).otherwise(F.array(F.pmod(F.xxhash64("fp"), tiles).cast("int")))
+    dealt = shards.join(large, ["mask", "key"], "left").withColumn("tile", F.explode(tile))
+    first = stored(linked(dealt.select("fp", *keys)), "links")
+    roots = connected_components(first).withColumnRenamed("node", "fp")
+    hot = stored(dealt.where("rows is not null").join(roots, "fp", "left").select("fp", *keys, "rows", F.coalesce("root", "fp").alias("root")), "hot")
+    sizes = hot.groupBy("mask", "key", "root").agg(F.count("*").alias("size"))
+    best = sizes.groupBy("mask", "key").agg(F.max_by("root", F.struct("size", "root")).alias("best"))
+    outside = hot.join(best, ["mask", "key"]).where(F.col("root") != F.col("best")).select("fp", "mask", "key", "rows").distinct().withColumn("tile", F.explode(every))
+    again = hot.select("fp", *keys, F.lit(False).alias("asked")).unionAll(outside.select("fp", *keys, F.lit(True)))
+    return first.unionAll(linked(again))
 
 
 def _named(docs: DataFrame, radius: int, words: int) -> DataFrame:

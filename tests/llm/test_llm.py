@@ -812,3 +812,22 @@ def test_pipeline_on_a_hard_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("pivots", [1, 20])
+def test_large_shards_are_dealt_in_tiles(spark, monkeypatch, pivots):
+    rng = np.random.default_rng(21)
+    centre = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
+    fp = centre[np.minimum(rng.integers(0, 90, 900), 29)]  # one centre has two thirds
+    for _ in range(5):
+        fp = np.where(rng.random(900) < 0.5, fp ^ (np.uint64(1) << rng.integers(0, 62, 900).astype(np.uint64)), fp)
+    fp = np.unique(fp)
+    monkeypatch.setattr(simhash, "MOST_TOGETHER", 100)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    for shard in (2000, 60):
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        found = simhash.links(spark.createDataFrame([(int(x),) for x in fp], "fp long"), len(fp)).toPandas()
+        at = {int(x): i for i, x in enumerate(fp)}
+        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+        want = reach(len(fp), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.tril(near, -1)), strict=True)])
+        assert reach(len(fp), [(at[a], at[b]) for a, b in zip(found.a, found.b, strict=True)]) == want
