@@ -41,8 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import shared_dir, slices, stored
-from karst.llm.tokens import as_bytes, encoder
+from karst.llm.common import shared_dir, slices, small_batches, stored
+from karst.llm.tokens import as_bytes, encoder, forget
 
 LONGEST = 20
 STEP = 256
@@ -51,7 +51,7 @@ BLOCK_IDS = 1 << 17
 RANGE_ROWS = 16_384
 #: Up to so many ranges, the ids before each are sent to all tasks that read (16 bytes each).
 MOST_SENT = 1_000_000
-AT_ONCE = 4_000_000
+BATCH, AT_ONCE = 4_000_000, 3_000_000
 _HEAD = struct.Struct("<4sIQII")
 
 
@@ -250,21 +250,26 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str | No
     coded = salted.mapInArrow(encode, "part int, doc_id long, salt long, n long, unit int, ids binary").repartition(len(cuts) + 1, "part")
     here = Window.partitionBy("part").orderBy("doc_id", "salt")
     placed = coded.withColumn("at", F.sum("n").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    coded = stored(placed.select("part", "at", "doc_id", "n", "unit", "ids"), "ids")
+    with small_batches(spark, BATCH):
+        coded = stored(placed.select("part", "at", "doc_id", "n", "unit", "ids"), "ids")
     _running(coded.groupBy("part").agg(F.sum("n").alias("n"))).coalesce(1).write.parquet(f"{path}/ranges")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total, widen = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for raw, unit in zip(batch.column("ids").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                more = np.bincount(np.frombuffer(widen(raw), f"<u{unit}"))
+            units = batch.column("unit").to_numpy()
+            for unit in np.unique(units).tolist():
+                some = batch.column("ids").filter(pa.array(units == unit)).to_pylist()
+                more = np.bincount(np.frombuffer(b"".join(map(widen, some)), f"<u{unit}"))
                 if len(more) > len(total):
                     total, more = more, total
                 total[: len(more)] += more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    found = coded.select("unit", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most a row for each id of the vocabulary
+    with small_batches(spark, 2_000_000):
+        found = coded.select("unit", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
     lengths = code_lengths(counts, LONGEST)
@@ -272,7 +277,7 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str | No
     spark.createDataFrame([(i, int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that has encoded holds its words no longer
+        forget()
         codes, out, docs_of, ids, size, head = canonical(lengths), [], [], [], 0, None
         widen = zstandard.ZstdDecompressor().decompress
 
@@ -301,7 +306,8 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str | No
         flush()
         yield done()
 
-    coded.mapInArrow(write, "part int, at long, block binary").write.parquet(f"{path}/blocks")
+    with small_batches(spark, 2_000_000):
+        coded.mapInArrow(write, "part int, at long, block binary").write.parquet(f"{path}/blocks")
     return path
 
 
@@ -314,6 +320,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ranges = F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         decoder = Decoder.of(lengths)
         for batch in batches:
             for block, before in zip(batch.column("block"), batch.column("before").to_pylist(), strict=True):
@@ -324,4 +331,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(before + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.parquet(f"{path}/blocks").join(ranges, "part").select((F.col("before") + F.col("at")).alias("before"), "block")
-    return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # blocks are large and what is told of them small: they are read here, in small batches, into a table
+    with small_batches(spark, 2_000_000):
+        return stored(blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"), "read")

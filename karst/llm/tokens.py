@@ -13,6 +13,8 @@ through the tokenizer whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -103,6 +105,7 @@ class Encoder:
             counts.append(n)
             i = j
         pa.default_memory_pool().release_unused()
+        _trimmer()(0)
         return np.concatenate(parts), np.concatenate([[0], *counts]).astype(np.int64).cumsum()
 
     def encode(self, text: str) -> np.ndarray:
@@ -180,7 +183,24 @@ def as_bytes(ids: np.ndarray) -> memoryview:
     return memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
 
 
+@cache
+def _trimmer():
+    """What gives freed memory back to the system, where the C library can."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Give back what encoding has held in this worker: later steps need none of it."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+    _trimmer()(0)
