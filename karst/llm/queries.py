@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import capfilters, decontaminate, huffman, linededup, mainhtml, packing, ppm, secrets, simhash, toxicity
+from karst.llm import capfilters, decontaminate, huffman, lexicon, linededup, mainhtml, packing, periodic, ppm, prefixtrie, secrets, simhash, toxicity
 from karst.llm.common import read_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -56,9 +56,26 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_documents(spark, huffman.write_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.bpe_round_trip(read_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE_SQL, "op5_line_dedup": linededup.ORACLE_SQL, "op6_embedding_near_dedup": capfilters.ORACLE_SQL}
+    return {
+        "op2_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op5_line_dedup": linededup.ORACLE_SQL,
+        "op6_embedding_near_dedup": capfilters.ORACLE_SQL,
+        "op11_conversation_prefix_trie": prefixtrie.ORACLE_SQL,
+    }
