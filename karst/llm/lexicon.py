@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
 Words (what stands between white space) are counted over the whole corpus.  The
-most frequent ones, LEXICON of them, are encoded once and compiled, in sorted order,
+most frequent ones, near LEXICON of them, are encoded once and compiled, in sorted order,
 into the minimal subsequential transducer: states with the same future are one, so
 suffixes are shared, and ids stand on the arcs as early as the word tells them.  The
 automaton is a flat file in the shared folder, which Spark hands to every executor
@@ -42,12 +42,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import shared_dir, slices
+from karst.llm.common import shared_dir, slices, stored
 
 #: Words in the automaton, and their greatest length in bytes.
 LEXICON, LONGEST_WORD = 1 << 17, 64
 #: Bytes of text that are looked at together.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _ODD_SPACE = _SPACE.replace(r"\t-\r ", r"\t\x0b-\r").removesuffix("+")
 #: Printable characters before U+0250 that are one lower-case letter each.
@@ -403,11 +403,28 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, size: int) -> DataFrame:
+    """Near `size` words: those with the greatest counts, and of the class of counts that is too large a part by hash.
+
+    Counts up to 1,024 are classes of their own, greater ones go by 64ths of a power
+    of two, so what tells the classes' sizes is small and no task or driver sorts words.
+    """
+    classed = counts.withColumn("class", F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)))
+    left, least, share = size, 0, 0.0
+    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("k")).collect(), reverse=True):  # a few thousand classes
+        if r["k"] > left:
+            least, share = r["class"], left / r["k"]
+            break
+        left -= r["k"]
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return classed.where((F.col("class") > least) | ((F.col("class") == least) & part)).select("word")
+
+
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
-    """Compile the most frequent words of docs (ties by word) and hand the automaton to all executors; its file's name there."""
+    """Compile the most frequent words of docs and hand the automaton to all executors; its file's name there."""
     spark, own = docs.sparkSession, merger(tokenizer)
-    top = word_counts(docs, own.special).orderBy(F.desc("n"), "word").limit(size).select("word")  # so many short words at most
-    numbers = lexicon((r["word"] for r in top.collect()), own)
+    counts = stored(word_counts(docs, own.special), "words")
+    numbers = lexicon((r["word"] for r in frequent(counts, size).collect()), own)  # near so many short words
     folder = f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}"
     # a text file's line is written byte for byte: one line is the file, with a line feed after it
     spark.createDataFrame([(numbers.tobytes(),)], "numbers binary").select(F.col("numbers").cast("string")).coalesce(1).write.text(folder)

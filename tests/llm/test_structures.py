@@ -200,6 +200,15 @@ def test_counts_are_of_all_words(spark):
     assert got["word"] == 20_000 and got["The"] == 2 and got["<|endoftext|>"] == 1 and "x" * 30_000 not in got
 
 
+def test_the_most_frequent_words_are_taken(spark):
+    counts = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate([1] * 3000 + [2] * 50 + [5000] * 30 + [10**9])], "word string, n long")
+    n = lambda size: {(r["n"]) for r in lexicon.frequent(counts, size).join(counts, "word").collect()}
+    assert lexicon.frequent(counts, 10_000).count() == 3081 and lexicon.frequent(counts, 0).count() == 0
+    assert n(1) == {10**9} and n(31) == {10**9, 5000} and n(81) == {10**9, 5000, 2}
+    assert abs(lexicon.frequent(counts, 1081).count() - 1081) < 120
+    assert lexicon.frequent(counts.limit(0), 5).count() == 0
+
+
 # periodic runs
 
 
