@@ -1,7 +1,9 @@
 """Windows over ordered rows: stations of a curve, samples of a log.
 
 Every function takes `by`, the partition keys: an ordered sequence is one task's
-work for each key, so many curves run side by side.
+work for each key, so many curves run side by side.  Without keys, for one long
+curve, the scans of karst.operators.scans part it; they also take keys, for those
+that hold a large part of all rows.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.operators import scans
+
 
 def _window(by: Sequence[str], order: str):
     return Window.partitionBy(*by).orderBy(order)
@@ -18,6 +22,8 @@ def _window(by: Sequence[str], order: str):
 
 def arc_length(rows: DataFrame, order: str, axes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """arc: summed steps from the first row, which has 0."""
+    if not by:
+        return scans.arc_length(rows, order, axes)
     w = _window(by, order)
     square = sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in axes), F.lit(0.0))
     stepped = rows.withColumn("step", F.coalesce(F.sqrt(square), F.lit(0.0)))
@@ -33,13 +39,17 @@ def gradient(c: str, order: str, by: Sequence[str] = ()) -> Column:
 
 def islands(rows: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """run: number of the run of equal values a row stands in, from 1, over each key's rows."""
+    if not by:
+        return scans.islands(rows, order, value)
     w = _window(by, order)
     new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def sessions(rows: DataFrame, order: str, gap: float, by: Sequence[str]) -> DataFrame:
+def sessions(rows: DataFrame, order: str, gap: float, by: Sequence[str] = ()) -> DataFrame:
     """cluster: a new one begins where a value is more than gap after the last, from 0."""
+    if not by:
+        return scans.sessions(rows, order, gap)
     w = _window(by, order)
     new = F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("long"), F.lit(0))
     return rows.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -55,12 +65,16 @@ def innermost_cluster(rows: DataFrame, r: str, gap: float, least: int, by: Seque
 
 def running_max_flag(rows: DataFrame, order: str, value: str, slack: float, by: Sequence[str] = ()) -> DataFrame:
     """top: the greatest value before a row; near_top: whether the row is at most slack below it."""
+    if not by:
+        return scans.running_max_flag(rows, order, value, slack)
     w = _window(by, order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("top", F.max(value).over(w)).withColumn("near_top", F.coalesce(F.col(value) >= F.col("top") - slack, F.lit(True)))
 
 
 def sinuosity(rows: DataFrame, order: str, axes: Sequence[str], half: int, by: Sequence[str] = (), least: float = 0.9) -> DataFrame:
     """sinuosity: path over chord in a centred window of 2 half + 1 rows; null where less than `least` of the window's rows exist."""
+    if not by:
+        return scans.sinuosity(rows, order, axes, half, (), least)
     along = arc_length(rows, order, axes, by)
     w = _window(by, order).rowsBetween(-half, half)
     path = F.last("arc").over(w) - F.first("arc").over(w)
@@ -70,34 +84,32 @@ def sinuosity(rows: DataFrame, order: str, axes: Sequence[str], half: int, by: S
 
 def median_filter(rows: DataFrame, order: str, value: str, half: int, by: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
     """Running median of 2 half + 1 rows; beyond the ends the end value stands again (nearest), or the rows mirrored with the end one twice (reflect)."""
-    if edge not in ("nearest", "reflect"):
-        raise ValueError("edge is nearest or reflect")
+    if not by:
+        return scans.median_filter(rows, order, value, half, edge)
     w = _window(by, order)
-    if edge == "reflect":
-        n, k = F.count("*").over(Window.partitionBy(*by)), F.row_number().over(w)
-        near = F.collect_list(value).over(w.rowsBetween(-half, half))
-        # the rows missing before the first are the first ones again, from the first on; as many after the last
-        before, after = F.greatest(F.lit(half) - (k - 1), F.lit(0)), F.greatest(F.lit(half) - (n - k), F.lit(0))
-        padded = F.concat(F.slice(near, 1, before.cast("int")), near, F.slice(near, (F.size(near) - after + 1).cast("int"), after.cast("int")))
-        # a key shorter than the window would need further mirrors: there the rows there are decide
-        return rows.withColumn("median", F.get(F.array_sort(padded), F.floor((F.size(padded) - 1) / 2).cast("int")))
-    first, last = F.first(value).over(w), F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = F.collect_list(value).over(w.rowsBetween(-half, half))
-    before, after = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(w)
-    padded = F.concat(near, F.array_repeat(first, F.greatest(F.lit(half) - before, F.lit(0)).cast("int")), F.array_repeat(last, F.greatest(F.lit(half) - after, F.lit(0)).cast("int")))
-    return rows.withColumn("median", F.get(F.array_sort(padded), F.lit(half)))
+    near = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-half, half))
+    place, many = F.row_number().over(w).cast("long") - 1, F.count("*").over(Window.partitionBy(*by))
+    framed = rows.withColumns({"_near": near, "_place": place, "_many": many})
+    return framed.withColumn("median", scans.median_of_frame(F.col("_near"), F.col("_place"), F.col("_many"), half, edge)).drop("_near", "_place", "_many")
 
 
 def ecdf(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """share: rank in ascending order over the number of rows."""
+    if not by:
+        line = scans.Line.of(rows, [value])
+        return line.rows.withColumn("share", (F.col("_pos") + 1) / F.lit(line.total)).drop("_pos")
     return rows.withColumn("share", F.row_number().over(_window(by, value)) / F.count("*").over(Window.partitionBy(*by)))
 
 
 def autocorrelation(rows: DataFrame, order: str, value: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
     """lag, rho: sum of products of deviations `lag` rows apart over the sum of squares; lags without a pair of rows are left out. One pass of windows, no key's rows in one place."""
-    mean = rows.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
-    w = _window(by, order)
-    apart = mean.select(*by, "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    lagged = lambda w: {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)}
+    if by:
+        mean = rows.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+        apart = mean.withColumns(lagged(_window(by, order)))
+    else:
+        mean = rows.crossJoin(F.broadcast(rows.agg(F.avg(value).alias("_m")))).withColumn("_d", F.col(value) - F.col("_m"))  # one row
+        apart = scans.Line.of(mean, [order]).near(lags, 0, lagged).rows
     square = F.sum(F.col("_d") * F.col("_d"))
     sums = apart.groupBy(*by).agg(*[((F.sum(F.col("_d") * F.col(f"_l{k}")) if k else square) / F.nullif(square, F.lit(0.0))).alias(f"_r{k}") for k in range(lags + 1)])
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_r{k}").alias("rho")) for k in range(lags + 1)])).alias("v")
@@ -107,7 +119,7 @@ def autocorrelation(rows: DataFrame, order: str, value: str, lags: int, by: Sequ
 def effective_size(rows: DataFrame, order: str, value: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
     """n, n_eff = n / (1 + 2 sum of rho before the first negative lag), decay: first lag below 1/e, negative: first lag below zero."""
     rho = autocorrelation(rows, order, value, lags, by)
-    negative = F.min(F.when(F.col("rho") < 0, F.col("lag"))).over(Window.partitionBy(*by))
+    negative = F.min(F.when(F.col("rho") < 0, F.col("lag"))).over(Window.partitionBy(*by))  # a row for each lag
     told = rho.withColumn("negative", negative)
     kept = F.sum(F.when((F.col("lag") > 0) & (F.col("lag") < F.coalesce("negative", F.lit(lags + 1))), F.col("rho")).otherwise(0.0))
     shape = told.groupBy(*by).agg(F.min(F.when(F.col("rho") < F.exp(F.lit(-1.0)), F.col("lag"))).alias("decay"), F.first("negative").alias("negative"), kept.alias("_s"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
+from karst.operators.scans import Line
 from karst.operators.spatial import near_pairs
 
 #: Up to so many ranges or marks are sent to every task.
@@ -79,13 +80,19 @@ def aperture_screen(points: DataFrame, holes: DataFrame, factor: float) -> DataF
 
 def trimmed(rows: DataFrame, order: str, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """rows without the first and last n of each key."""
+    if not by:
+        line = Line.of(rows, [order])
+        return line.rows.where((F.col("_pos") >= n) & (F.col("_pos") < line.total - n)).drop("_pos")
     up, down = (Window.partitionBy(*by).orderBy(o) for o in (F.asc(order), F.desc(order)))
     return rows.withColumns({"_a": F.row_number().over(up), "_b": F.row_number().over(down)}).where(f"_a > {n} and _b > {n}").drop("_a", "_b")
 
 
 def without_empty_end(rows: DataFrame, order: str, count: str, by: Sequence[str] = ()) -> DataFrame:
     """rows up to the last one of each key whose count is above zero."""
-    last = F.max(F.when(F.col(count) > 0, F.col(order))).over(Window.partitionBy(*by))
+    last = F.max(F.when(F.col(count) > 0, F.col(order)))
+    if not by:  # one row
+        return rows.crossJoin(F.broadcast(rows.agg(last.alias("_last")))).where(F.col(order) <= F.col("_last")).drop("_last")
+    last = last.over(Window.partitionBy(*by))
     return rows.withColumn("_last", last).where(F.col(order) <= F.col("_last")).drop("_last")
 
 

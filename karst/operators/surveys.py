@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import curves, profiles, rasters, relations, spatial
+from karst.operators import curves, profiles, rasters, relations, scans, spatial
 
 BASALT, ATMOSPHERE = 2600.0, 1033.0
 
@@ -142,9 +142,10 @@ def road_cells(stations: DataFrame, points: DataFrame, half: float = 1.25, acros
     level = kept.groupBy(F.col("a.s").alias("s")).agg(F.count("*").alias("n"), F.percentile("b.z", 0.99).alias("p99"), F.max("b.z").alias("highest"), F.percentile("b.z", 0.01).alias("p1"))
     found = stations.select("s", "z_dem").join(level, "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     found = found.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("p99", "highest", "p1")})
-    top = F.max("p99").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))  # a row a cell of one road
+    found = scans.Line.of(found, ["s"]).running(True, top=("max", F.col("p99"))).done()
+    top = F.col("top")
     seen = F.coalesce(F.col("p99") >= F.coalesce(top, F.lit(float("-inf"))) - slack, F.lit(False))
-    return relations.without_empty_end(found.withColumns({"overburden": F.col("z_dem") - F.col("p99"), "roof_sampled": seen}).drop("z_dem"), "s", "n")
+    return relations.without_empty_end(found.withColumns({"overburden": F.col("z_dem") - F.col("p99"), "roof_sampled": seen}).drop("z_dem", "top"), "s", "n")
 
 
 def rim_underside(marks: DataFrame, points: DataFrame, ahead: tuple[float, float] = (0.5, 3.0), half: float = 1.0, below: float = 0.2, least: int = 20, floor: float = 2.0) -> DataFrame:
