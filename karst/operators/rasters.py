@@ -7,11 +7,10 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karst.operators.lineage import cut
 from karst.operators.points import check_grid
+from karst.operators.tiles import enclosed, label, median_filter  # noqa: F401  rasters' windows and components
 
 CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
-MOST_ROUNDS = 200
 
 
 def dense(cells: DataFrame, value: str, fill: Column | None = None) -> DataFrame:
@@ -31,25 +30,6 @@ def _scattered(cells: DataFrame, offsets: list[tuple[int, int, float]], value: s
     return cells.select("ix", "iy", value, F.explode(listed).alias("o")).select((F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"), F.col("o.w").alias("w"), value)
 
 
-def median_filter(cells: DataFrame, size: int, value: str) -> DataFrame:
-    """Median over a size x size window of the dense box; edge cells stand again beyond the edge, empty cells are left out of the median."""
-    half = size // 2
-    box = cells.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    reach = F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long"))
-    # an edge cell also serves the places beyond the edge: it is sent once for each
-    spread = dense(cells, value).where(F.col(value).isNotNull()).crossJoin(F.broadcast(box))  # box is one row
-
-    def reached(df: DataFrame, i: str, low: str, high: str) -> DataFrame:
-        ghost = F.when(F.col(i) == F.col(low), F.sequence(F.col(i) - half, F.col(i))).otherwise(F.array(F.col(i)))
-        over = F.when(F.col(i) == F.col(high), F.sequence(F.col(i), F.col(i) + half)).otherwise(F.array(F.col(i)))
-        places = F.concat(ghost, F.slice(over, 2, half + 1))
-        at = df.withColumn("_p", F.explode(places)).withColumn("_t", F.explode(F.transform(reach, lambda d: F.col("_p") + d)))
-        return at.where((F.col("_t") >= F.col(low)) & (F.col("_t") <= F.col(high))).drop(i, "_p").withColumnRenamed("_t", i)
-
-    spread = reached(reached(spread, "ix", "x0", "x1"), "iy", "y0", "y1")
-    return spread.groupBy("ix", "iy").agg(F.percentile(value, 0.5).alias("median"))
-
-
 def gaussian(cells: DataFrame, sigma: float, value: str) -> DataFrame:
     """smooth of every cell of the box: a Gaussian cut off at 4 sigma, empty cells as zero, mirrored beyond the edges (the edge cell stands twice). Two passes, one for each axis."""
     reach = int(4 * sigma + 0.5)
@@ -82,48 +62,6 @@ def erode(mask: DataFrame) -> DataFrame:
     return sent.groupBy("ix", "iy").agg(F.count("*").alias("n")).where("n = 5").select("ix", "iy")
 
 
-def label(mask: DataFrame) -> DataFrame:
-    """ix, iy, component: the smallest (ix, iy) of the 4-connected component, as ix * 2^32 + iy.
-
-    Components' smallest cells spread over links in rounds (a table each, so a lost
-    executor costs a round); each round also follows the cell it names, so long
-    components take a number of rounds near the logarithm of their length.
-    """
-    key = F.shiftleft(F.col("ix"), 32) + F.col("iy")
-    own = mask.select("ix", "iy").distinct().withColumn("node", key).withColumn("root", key)
-    own = cut(own)
-    last = None
-    for turn in range(MOST_ROUNDS + 1):
-        if turn == MOST_ROUNDS:
-            raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
-        near = _scattered(own, [(0, 0, 1), *((a, b, 1) for a, b in CROSS)], "root").groupBy("ix", "iy").agg(F.min("root").alias("least"))
-        new = own.join(near, ["ix", "iy"]).select("ix", "iy", "node", F.least("root", "least").alias("root"))
-        names = new.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        # a name's own name, sent to the cells that bear it
-        new = cut(new.join(names, "root").select("ix", "iy", "node", "over").withColumnRenamed("over", "root"))
-        mark = new.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("h")).first()
-        own = new
-        if mark == last:
-            break
-        last = mark
-    return own.select("ix", "iy", F.col("root").alias("component"))
-
-
-def enclosed(mask: DataFrame) -> DataFrame:
-    """Empty cells of the box that no 4-connected way of empty cells leads out from: what hole filling adds.
-
-    Only void cells are labelled, and a void is enclosed if it does not touch the
-    box's edge.  The voids that do are as few as edge cells at most; no key's cells
-    are gathered to drop them.
-    """
-    full = dense(mask.select("ix", "iy").distinct().withColumn("_1", F.lit(1)), "_1")
-    box = mask.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
-    void = full.where("_1 is null").select("ix", "iy")
-    named = label(void).crossJoin(F.broadcast(box))  # box is one row
-    edge = named.where("ix = x0 or ix = x1 or iy = y0 or iy = y1").select("component").distinct()
-    return named.join(edge, "component", "left_anti").select("ix", "iy", "component")
-
-
 def block_mean(cells: DataFrame, factor: int, value: str) -> DataFrame:
     """Each cell with the mean of its factor x factor block."""
     key = [F.floor(F.col(c) / factor).cast("long").alias(f"b{c}") for c in ("ix", "iy")]
