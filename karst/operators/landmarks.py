@@ -296,27 +296,29 @@ def rim(points: DataFrame, anchors: DataFrame, height: float, radius: float, inf
     """Points (pid, x, y, z, ...) near their nearest anchor's opening: within the ellipse grown by inflate, or radius where there is none, and a band of height along up.
 
     anchors: pid, x, y, z and semi_major, semi_minor, mx, my, mz (direction of the
-    long axis) or nulls; few and literal in the plan.
+    long axis) or nulls.
     """
-    from karst.operators.spatial import MOST_ANCHORS, nearest
+    from karst.operators.spatial import nearest
 
-    few = anchors.limit(MOST_ANCHORS + 1).collect()
     u = geometry.unit(up)
-    axes = []
-    for r in few:
-        if r["semi_major"] is None:
-            major, size = geometry.align((0, 0, 1), u) @ np.array([1.0, 0.0, 0.0]), (radius, radius)
-        else:
-            major, size = geometry.unit((r["mx"], r["my"], r["mz"])), tuple(max(inflate * float(r[c]), 1e-6) for c in ("semi_major", "semi_minor"))
-        axes.append((r["pid"], [float(r[c]) for c in "xyz"], major, geometry.unit(np.cross(u, major)), size))
-    own = nearest(points, anchors).select("pid", "anchor")
-    d = lambda at: [F.col(c) - F.lit(v) for c, v in zip("xyz", at, strict=True)]
-    dot = lambda p, q: sum((x * F.lit(float(v)) for x, v in zip(p, q, strict=True)), F.lit(0.0))
-    inside = F.lit(False)
-    for pid, at, major, minor, (p, q) in axes:
-        off = d(at)
-        inside = F.when(F.col("anchor") == pid, ((dot(off, major) / p) ** 2 + (dot(off, minor) / q) ** 2 <= 1) & (F.abs(dot(off, u)) <= height)).otherwise(inside)
-    return points.join(own, "pid").where(inside)
+    flat = geometry.align((0, 0, 1), u) @ np.array([1.0, 0.0, 0.0])
+    round_ = F.col("semi_major").isNull()
+    long = [F.when(round_, F.lit(float(flat[k]))).otherwise(F.col(f"m{c}")) for k, c in enumerate("xyz")]
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    major = [c / length(long) for c in long]
+    cross = [F.lit(float(u[k - 2])) * major[k - 1] - F.lit(float(u[k - 1])) * major[k - 2] for k in range(3)]
+    minor = [c / length(cross) for c in cross]
+    half = {c: F.when(round_, F.lit(float(radius))).otherwise(F.greatest(F.col(c) * float(inflate), F.lit(1e-6))) for c in ("semi_major", "semi_minor")}
+    frame = anchors.select(
+        F.col("pid").alias("anchor"), *[F.col(c).alias(f"_{c}") for c in "xyz"], *[major[k].alias(f"_a{k}") for k in range(3)], *[minor[k].alias(f"_b{k}") for k in range(3)], *[v.alias(f"_{c}") for c, v in half.items()]
+    )
+    own = nearest(points, anchors).select("pid", "anchor").join(frame, "anchor")
+    off = [F.col(c) - F.col(f"_{c}") for c in "xyz"]
+    along, across = (sum((off[k] * F.col(f"_{v}{k}") for k in range(3)), F.lit(0.0)) for v in "ab")
+    lift = sum((off[k] * F.lit(float(u[k])) for k in range(3)), F.lit(0.0))
+    inside = ((along / F.col("_semi_major")) ** 2 + (across / F.col("_semi_minor")) ** 2 <= 1) & (F.abs(lift) <= height)
+    joined = points.join(own, "pid").where(inside)
+    return joined.drop(*[c for c in frame.columns if c != "anchor"])
 
 
 def refine(source: np.ndarray, target: np.ndarray, start: np.ndarray, dof: int = 4, most_shift: float = 2.0, rounds: int = 50, reach: float = 5.0) -> tuple[np.ndarray, bool]:
@@ -350,21 +352,32 @@ def refine(source: np.ndarray, target: np.ndarray, start: np.ndarray, dof: int =
     return matrix, True
 
 
-def up_axis(points: DataFrame, k: int = 30, start: float = 1.0, most: int = 20_000) -> np.ndarray:
-    """Direction most surface normals agree on, with z upward; fewer than k + 1 points give (0, 0, 1)."""
-    from karst.operators.spatial import knn
+def up_axis(points: DataFrame, k: int = 30, most: int = 20_000) -> np.ndarray:
+    """Direction most surface normals agree on, with z upward; fewer than k + 1 points give (0, 0, 1).
+
+    Normals are those of `most` points, chosen by a hash, and of their neighbours in the
+    whole cloud; what goes to the driver is the sum of their outer products.
+    """
+    import pyarrow as pa
+
+    from karst.operators.kd import nearest_among
 
     slim = points.select("pid", "x", "y", "z")
     if slim.limit(k + 1).count() < k + 1:
         return np.array([0.0, 0.0, 1.0])
-    seeds = slim.orderBy(F.xxhash64("pid"), "pid").limit(most)  # a bounded sample, by a hash
-    near = knn(seeds, k, start).select("pid", F.col("other").alias("o"))
-    at = seeds.select(F.col("pid").alias("o"), "x", "y", "z")
-    grouped = near.join(at, "o").groupBy("pid").agg(*[F.covar_samp(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
-    total = np.zeros((3, 3))
-    for r in grouped.toLocalIterator():  # at most `most` rows
-        m = np.array([[r["xx"], r["xy"], r["xz"]], [r["xy"], r["yy"], r["yz"]], [r["xz"], r["yz"], r["zz"]]])
-        n = np.linalg.eigh(m)[1][:, 0]
-        total += np.outer(n, n)
+    seeds = slim.orderBy(F.xxhash64("pid"), "pid").limit(most)
+    near = nearest_among(seeds, slim, k).select("pid", F.col("other").alias("o"))
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    grouped = near.join(slim.withColumnRenamed("pid", "o"), "o").groupBy("pid").agg(*[F.covar_samp(a, b).alias(a + b) for a, b in pairs])
+
+    def products(batches):
+        for batch in batches:
+            xx, xy, xz, yy, yz, zz = (batch.column(c).to_numpy() for c in pairs)
+            m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(n[:, "xyz".index(a)] * n[:, "xyz".index(b)]) for a, b in pairs], list(pairs))
+
+    xx, xy, xz, yy, yz, zz = grouped.select(*pairs).mapInArrow(products, ", ".join(f"{c} double" for c in pairs)).agg(*[F.sum(c) for c in pairs]).first()
+    total = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])
     up = np.linalg.eigh(total)[1][:, -1]
     return up if up[2] >= 0 else -up

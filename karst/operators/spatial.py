@@ -1,4 +1,4 @@
-"""Distance joins as equi-joins on grid cells.
+"""Distance joins as equi-joins on grid cells; counts and nearest neighbours through a k-d split.
 
 A cell is as wide as the radius, so what is near lies in a point's own or a
 neighbouring cell.  One side's rows are repeated for the neighbours (27 times in
@@ -9,14 +9,13 @@ picks the join; adaptive execution splits cells that are crowded.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
-from math import pi, prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators.lineage import cut
+from karst.operators import kd
+from karst.operators.kd import knn, radius_count
 
 
 def squared(a: str, b: str, axes: str) -> Column:
@@ -35,23 +34,6 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str = "xy
     return (found if prune is None else found.where(prune)).select("a", "b", d2.alias("d2"))
 
 
-def radius_count(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """pid, n: points at most radius away, itself included.
-
-    Each pair of cells meets once: a cell joins itself and the half of its
-    neighbours that come after it, and a pair counts at both its ends.
-    """
-    keys = [f"k{c}" for c in axes]
-    slim = points.select("pid", *axes, *[C.voxel(c, radius).alias(f"k{c}") for c in axes])
-    after = [o for o in product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
-    sent = F.explode(F.array(*[F.struct(*[(F.col(k) + v).alias(k) for k, v in zip(keys, o, strict=True)], F.lit(o == (0,) * len(axes)).alias("own")) for o in after])).alias("o")
-    lhs = slim.select("pid", *axes, sent).select(F.col("pid").alias("p"), *[F.col(c).alias(f"a{c}") for c in axes], "o.*")
-    d2 = reduce(lambda p, q: p + q, [(F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in axes])
-    met = lhs.join(slim, keys).where(d2 <= radius * radius)
-    ends = F.explode(F.when(F.col("own"), F.array("p")).otherwise(F.array("p", "pid"))).alias("pid")
-    return met.select(ends).groupBy("pid").agg(F.count("*").alias("n"))
-
-
 def radius_outliers(points: DataFrame, radius: float, least: int, axes: str = "xyz") -> DataFrame:
     """Points with at least so many within radius, themselves included; the rest go."""
     if radius <= 0 or least < 1:
@@ -59,41 +41,9 @@ def radius_outliers(points: DataFrame, radius: float, least: int, axes: str = "x
     return points.join(radius_count(points, radius, axes).where(F.col("n") >= least).select("pid"), "pid", "left_semi")
 
 
-def knn(points: DataFrame, k: int, start: float | None = None, axes: str = "xyz", most_rounds: int = 24) -> DataFrame:
-    """pid, other, d2, place: the k nearest other points of each, ties by pid.
-
-    Rings: a radius is exact for the points that have k others inside it; the rest
-    are asked again with twice the radius, until none is left or all are inside.  The
-    first radius is one that would hold twice as many if points were spread evenly.
-    """
-    slim = cut(points.select("pid", *axes))
-    ends = [f(c) for c in axes for f in (F.min, F.max)]
-    total, *box = slim.agg(F.count("*"), *ends).first()
-    k = min(k, max(total - 1, 0))
-    if start is None:
-        sides = [max(b - a, 1e-9) for a, b in zip(box[::2], box[1::2], strict=True)] if total else [1.0]
-        # sides that are next to nothing do not make room
-        sides = [v for v in sides if v > 1e-6 * max(sides)]
-        start = max((2 * max(k, 1) * prod(sides) / max(total, 1) / {1: 2, 2: pi, 3: 4 * pi / 3}[len(sides)]) ** (1 / len(sides)), 1e-9)
-    asked, done, radius = slim, [], start
-    for turn in range(most_rounds + 1):
-        if turn == most_rounds:
-            raise RuntimeError(f"points still lack neighbours within {radius}")
-        pairs = near_pairs(asked, slim, radius, axes).where("a.pid <> b.pid").select(F.col("a.pid").alias("pid"), F.col("b.pid").alias("other"), "d2")
-        # the limit on the rank goes before the shuffle: no point's pairs are gathered
-        ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "other"))).where(F.col("place") <= max(k, 1))
-        ranked = cut(ranked.withColumn("_n", F.count("*").over(Window.partitionBy("pid"))).where(F.col("_n") >= k).select("pid", "other", "d2", (F.col("place") - 1).cast("long").alias("place")))
-        done.append(ranked)
-        asked = cut(asked.join(ranked.select("pid").distinct(), "pid", "left_anti"))
-        if k == 0 or not asked.head(1):
-            break
-        radius *= 2
-    return reduce(DataFrame.unionAll, done)
-
-
-def statistical_outliers(points: DataFrame, k: int, ratio: float, start: float | None = None, axes: str = "xyz") -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, axes: str = "xyz") -> DataFrame:
     """Points whose mean distance to their k nearest is at most the mean of those means plus ratio population deviations."""
-    mean = knn(points, k, start, axes).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("d"))
+    mean = knn(points, k, axes).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("d"))
     limit = mean.agg((F.avg("d") + F.lit(ratio) * F.stddev_pop("d")).alias("limit"))
     kept = mean.crossJoin(F.broadcast(limit)).where("d <= limit").select("pid")  # limit is one row
     return points.join(kept, "pid", "left_semi")
@@ -107,19 +57,10 @@ def ball_query(stations: DataFrame, points: DataFrame, radius: float, axes: str
 def nearest(points: DataFrame, anchors: DataFrame, axes: str = "xyz", within: float | None = None) -> DataFrame:
     """Each point's struct a with its nearest anchor's pid and d2, ties by the anchor's pid.
 
-    With a distance, through cells, for any number of anchors.  Without one the
-    anchors are a curve's or a site's few; more than MOST_ANCHORS are refused.
+    With a distance through cells, without one through the leaves of a k-d split; for
+    any number of points and anchors.
     """
     if within is not None:
         pairs = near_pairs(points, anchors, within, axes)
         return pairs.groupBy(F.col("a.pid").alias("pid")).agg(F.min(F.struct("d2", F.col("b.pid").alias("anchor"))).alias("m")).select("pid", "m.anchor", "m.d2")
-    few = anchors.select("pid", *axes).limit(MOST_ANCHORS + 1).collect()
-    if len(few) > MOST_ANCHORS:
-        raise ValueError(f"more than {MOST_ANCHORS} anchors need a greatest distance")
-    # the anchors as one literal: no join, and each point keeps a single row
-    listed = F.array(*[F.struct(F.lit(r["pid"]).alias("pid"), *[F.lit(float(r[c])).alias(c) for c in axes]) for r in few])
-    d2 = lambda v: reduce(lambda p, q: p + q, [(F.col(c) - v[c]) * (F.col(c) - v[c]) for c in axes])
-    return points.withColumn("m", F.array_min(F.transform(listed, lambda v: F.struct(d2(v).alias("d2"), v["pid"].alias("anchor"))))).select("pid", "m.anchor", "m.d2")
-
-
-MOST_ANCHORS = 2000
+    return kd.nearest(points, anchors, axes)

@@ -237,7 +237,7 @@ def error_budget(spark, d):
 
 @query()
 def up_axis(spark, d):
-    n = landmarks.up_axis(view(spark, d, "upts"), 10, 3.0)
+    n = landmarks.up_axis(view(spark, d, "upts"), 10)
     return spark.createDataFrame([tuple(map(float, np.round(n, 6)))], "x double, y double, z double")
 
 

@@ -128,7 +128,7 @@ def outliers(spark: SparkSession, source: str, target: str, method: str = "radiu
 
     def change(df: DataFrame) -> DataFrame:
         numbered = df.withColumn("pid", F.monotonically_increasing_id()).persist()
-        return spatial.radius_outliers(numbered, radius, least) if method == "radius" else spatial.statistical_outliers(numbered, k, ratio, radius)
+        return spatial.radius_outliers(numbered, radius, least) if method == "radius" else spatial.statistical_outliers(numbered, k, ratio)
 
     return _rewrite(spark, source, target, change)
 

@@ -117,9 +117,9 @@ def test_up_axis_of_a_tilted_plane(spark):
 
     rng = np.random.default_rng(5)
     p = np.column_stack([rng.uniform(0, 10, (300, 2)), np.zeros(300)]) @ geometry.align((0.3, 0.1, 0.9), (0, 0, 1))
-    up = landmarks.up_axis(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double"), 8, 1.0)
+    up = landmarks.up_axis(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double"), 8)
     assert abs(abs(up @ geometry.unit((0.3, 0.1, 0.9))) - 1) < 1e-6 and up[2] > 0
-    assert landmarks.up_axis(spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "pid long, x double, y double, z double"), 8, 1.0).tolist() == [0, 0, 1]
+    assert landmarks.up_axis(spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "pid long, x double, y double, z double"), 8).tolist() == [0, 0, 1]
 
 
 def test_quadratic_fit_against_least_squares(spark):

@@ -36,14 +36,14 @@ def test_voxels_of_two_clusters(spark):
 def test_outliers_of_a_lattice(spark):
     c = cloud(spark, [*lattice(8), (100, 100, 100)])
     assert spatial.radius_outliers(c, 1.5, 2).count() == 512
-    kept = {r["pid"] for r in spatial.statistical_outliers(c, 8, 2.0, 2.0).collect()}
+    kept = {r["pid"] for r in spatial.statistical_outliers(c, 8, 2.0).collect()}
     assert 512 not in kept and len(kept) > 500
 
 
 def test_knn_takes_all_when_there_are_too_few(spark):
-    got = spatial.knn(cloud(spark, [(0, 0, 0), (1, 0, 0), (50, 0, 0)]), 8, 1.0).collect()
+    got = spatial.knn(cloud(spark, [(0, 0, 0), (1, 0, 0), (50, 0, 0)]), 8).collect()
     assert len(got) == 6
-    assert spatial.knn(cloud(spark, [(0, 0, 0)]), 3, 1.0).count() == 0
+    assert spatial.knn(cloud(spark, [(0, 0, 0)]), 3).count() == 0
 
 
 def test_bounds_drop_sentinels(spark):
@@ -130,7 +130,7 @@ def test_up_axis_of_a_plane(spark):
     n = np.array([0.2, -0.3, 0.93]) / np.linalg.norm([0.2, -0.3, 0.93])
     xy = rng.uniform(0, 12, (600, 2))
     rows = np.column_stack([xy, -(xy @ n[:2]) / n[2]])
-    assert landmarks.up_axis(cloud(spark, rows), 10, 1.0) @ n > 0.9
+    assert landmarks.up_axis(cloud(spark, rows), 10) @ n > 0.9
     assert landmarks.up_axis(cloud(spark, rows[:3]), 10).tolist() == [0, 0, 1]
 
 
