@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
@@ -32,6 +32,25 @@ def route(points: DataFrame, boxes: dict[str, Sequence[float]]) -> dict[str, Dat
     return {k: points.where((F.col("x") >= b[0]) & (F.col("x") < b[2]) & (F.col("y") >= b[1]) & (F.col("y") < b[3])) for k, b in boxes.items()}
 
 
+def write_routed(points: DataFrame, boxes: dict[str, Sequence[float]], path: str, keep: Column | None = None) -> dict[str, int]:
+    """One scan into a folder box=<name> for each half-open box (x0, y0, x1, y1): a point is written to every box it lies in.
+
+    keep: rows for which it is not true are dropped first.  Returns what was counted
+    in the same pass: read, dropped, unrouted (in no box), and each box's points.
+    """
+    if {"read", "dropped", "unrouted"} & {*boxes}:
+        raise ValueError("a box is not named read, dropped or unrouted")
+    told = Observation()
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    inside = {k: kept & F.coalesce((F.col("x") >= b[0]) & (F.col("x") < b[2]) & (F.col("y") >= b[1]) & (F.col("y") < b[3]), F.lit(False)) for k, b in boxes.items()}
+    names = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in inside.items()]), lambda n: n.isNotNull())
+    unrouted = kept & ~reduce(lambda p, q: p | q, inside.values(), F.lit(False))
+    counts = [F.count("*").alias("read"), F.count_if(~kept).alias("dropped"), F.count_if(unrouted).alias("unrouted"), *[F.count_if(v).alias(k) for k, v in inside.items()]]
+    routed = points.observe(told, *counts).withColumn("box", F.explode(names))
+    routed.write.partitionBy("box").parquet(path)
+    return {k: int(v or 0) for k, v in told.get.items()}
+
+
 def finite(points: DataFrame, *names: str) -> DataFrame:
     return points.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in names]))
 

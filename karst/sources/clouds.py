@@ -38,8 +38,6 @@ class Result:
 def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(pcd.PcdSource)
     spark.dataSource.register(las.LasSource)
-    # both sources decide filters in the scan, which Spark asks for only where this is set
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def _check(source: str, target: str, ends: Sequence[str]) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -35,6 +36,28 @@ def parse_box(text: str | None) -> list[tuple[float, float]] | None:
     return [(-np.inf if a is None else a, np.inf if b is None else b) for a, b in zip(v[:3], v[3:], strict=True)]
 
 
+_COMPARISON = re.compile(r"\s*(\w+)\s*(<=|>=|=|<|>)\s*([-+.\deE]+)\s*")
+_SIGNS = {"<": LessThan, "<=": LessThanOrEqual, "=": EqualTo, ">": GreaterThan, ">=": GreaterThanOrEqual}
+
+
+def parse_where(text: str | None, columns: Iterable[str]) -> list[Filter]:
+    """Comparisons of columns with numbers, with `and` or commas between: "z > 2 and intensity <= 100".
+
+    An option, and not Spark's own push-down: a loaded table keeps the filters that one
+    query pushed, and gives them to later queries that have none.
+    """
+    out = []
+    for part in re.split(r"(?i)\band\b|,", text) if text and text.strip() else ():
+        found = _COMPARISON.fullmatch(part)
+        if not found:
+            raise ValueError(f"{part.strip()!r} compares no column with a number")
+        f = _SIGNS[found[2]]((found[1],), float(found[3]))
+        if not known(f, columns):
+            raise ValueError(f"there is no column {found[1]}")
+        out.append(f)
+    return out
+
+
 def known(f: Filter, columns: Iterable[str]) -> bool:
     """Whether keep() can decide a filter."""
     if isinstance(f, Not):
@@ -50,7 +73,7 @@ def _holds(batch: pa.RecordBatch, f: Filter) -> pa.Array:
         return pc.is_valid(column)
     if isinstance(f, In):
         return pc.is_in(column, value_set=pa.array(list(f.value), column.type))
-    return COMPARED[type(f)](column, pa.scalar(f.value, pa.float64()) if pa.types.is_floating(column.type) else pa.scalar(f.value))
+    return COMPARED[type(f)](column, pa.scalar(f.value, pa.float64()))
 
 
 def keep(batch: pa.RecordBatch, box: list[tuple[float, float]] | None, filters: list[Filter]) -> pa.RecordBatch:

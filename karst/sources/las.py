@@ -10,8 +10,8 @@ Options: path (when reading also several with commas between, a pattern or a fol
 fields xyz, intensity, rgb, all or auto; bounds "true" drops points outside the
 header's box; box "x0,y0,z0,x1,y1,z1" drops points outside it in the scan, and with
 bounds whole files whose own box lies outside; scale, origin "x,y,z" and epsg for
-writing (x, y, z are then local to the origin).  Filters are decided in the scan, as
-in the other source.
+writing (x, y, z are then local to the origin).  where "z > 2 and
+intensity <= 100" is decided in the scan, too.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from karst.sources.files import keep, known, listed, misses, parse_box
+from karst.sources.files import keep, listed, misses, parse_box, parse_where
 from karst.sources.pcd import parse_origin
 
 ROWS = 1_000_000
@@ -113,20 +113,14 @@ class Range(InputPartition):
 
 
 class LasReader(DataSourceReader):
-    def __init__(self, path: str, fields: str, bounds: bool, chunk: int, box: str | None = None):
-        self.paths, self.bounds, self.chunk, self.box, self.filters = listed(path, ".las"), bounds, chunk, parse_box(box), []
+    def __init__(self, path: str, fields: str, bounds: bool, chunk: int, box: str | None = None, where: str | None = None):
+        self.paths, self.bounds, self.chunk, self.box = listed(path, ".las"), bounds, chunk, parse_box(box)
         self.headers = {p: read_header(p) for p in self.paths}
         self.columns = self.headers[self.paths[0]].columns(fields)
         for p, h in self.headers.items():
             if h.columns(fields) != self.columns:
                 raise ValueError(f"{p}: other columns than {self.paths[0]}")
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if known(f, self.columns):
-                self.filters.append(f)
-            else:
-                yield f
+        self.filters = parse_where(where, self.columns)
 
     def partitions(self) -> list[Range]:
         out = []
@@ -269,7 +263,7 @@ class LasSource(DataSource):
         return StructType([StructField(c, DoubleType()) for c in names])
 
     def reader(self, schema: StructType) -> LasReader:
-        return LasReader(self.options["path"], self.options.get("fields", "auto"), self.options.get("bounds", "false") == "true", int(self.options.get("chunk", ROWS)), self.options.get("box"))
+        return LasReader(self.options["path"], self.options.get("fields", "auto"), self.options.get("bounds", "false") == "true", int(self.options.get("chunk", ROWS)), self.options.get("box"), self.options.get("where"))
 
     def writer(self, schema: StructType, overwrite: bool) -> LasWriter:
         return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), parse_origin(self.options.get("origin")), int(self.options.get("epsg", 0)))

@@ -8,8 +8,7 @@ then known.  Paths are local or on a mount that driver and executors share.
 Options: path (when reading also several with commas between, a pattern or a folder:
 all with the first one's fields, moved to its origin); origin "x,y,z" (written as a
 comment); chunk, rows in a partition; box "x0,y0,z0,x1,y1,z1" (rows outside are
-dropped in the scan).  Filters are decided in the scan, too; that needs
-spark.sql.python.filterPushdown.enabled, which clouds.register_sources sets.
+dropped in the scan); where "z > 2 and r <= 100" (the same for comparisons).
 Only float32 fields and `DATA binary` are taken; a truncated file ends where whole
 rows end; coordinates are local to the origin the header tells.
 """
@@ -23,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import FloatType, StructField, StructType
 
-from karst.sources.files import keep, known, listed, parse_box
+from karst.sources.files import keep, listed, parse_box, parse_where
 
 ORIGIN = "# ORIGIN"
 ROWS = 1_000_000
@@ -112,20 +111,14 @@ class Range(InputPartition):
 
 
 class PcdReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, box: str | None = None):
-        self.paths, self.chunk, self.box, self.filters = listed(path, ".pcd"), chunk, parse_box(box), []
+    def __init__(self, path: str, chunk: int, box: str | None = None, where: str | None = None):
+        self.paths, self.chunk, self.box = listed(path, ".pcd"), chunk, parse_box(box)
         self.headers = {p: read_header(p) for p in self.paths}
         self.header = self.headers[self.paths[0]]
         for p, h in self.headers.items():
             if h.fields != self.header.fields:
                 raise ValueError(f"{p}: other fields than {self.paths[0]}")
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if known(f, self.header.columns):
-                self.filters.append(f)
-            else:
-                yield f
+        self.filters = parse_where(where, self.header.columns)
 
     def partitions(self) -> list[Range]:
         out = []
@@ -219,7 +212,7 @@ class PcdSource(DataSource):
         return StructType([StructField(c, FloatType()) for c in read_header(listed(self.options["path"], ".pcd")[0]).columns])
 
     def reader(self, schema: StructType) -> PcdReader:
-        return PcdReader(self.options["path"], int(self.options.get("chunk", ROWS)), self.options.get("box"))
+        return PcdReader(self.options["path"], int(self.options.get("chunk", ROWS)), self.options.get("box"), self.options.get("where"))
 
     def writer(self, schema: StructType, overwrite: bool) -> PcdWriter:
         return PcdWriter(self.options["path"], schema, parse_origin(self.options.get("origin")))

@@ -66,8 +66,13 @@ def test_several_files_a_box_and_filters_in_one_load(spark, tmp_path):
         boxed = spark.read.format(kind).option("path", str(tmp_path)).option("box", "95,,2,205,8,").option("bounds", "true").load()
         want = ((rows[:, 0] >= 95) & (rows[:, 0] <= 205) & (rows[:, 1] <= 8) & (rows[:, 2] >= 2)).sum()
         assert abs(boxed.count() - want) <= 1
-        few = every.where("x > 100 and y <= 5 and z is not null and x not in (1.5)")
-        assert few.count() == ((rows[:, 0] > 100) & (rows[:, 1] <= 5)).sum()
+        want = ((rows[:, 0] > 100) & (rows[:, 1] <= 5)).sum()
+        few = spark.read.format(kind).option("path", str(tmp_path)).option("where", "x > 100 and y<=5,z >= -1e3").load()
+        # one query's filter is not another's
+        assert few.count() == every.where("x > 100 and y <= 5 and z is not null and x not in (1.5)").count() == want and every.count() == 120
+        for bad, said in (("x > y", "with a number"), ("w > 1", "no column w")):
+            with pytest.raises(Exception, match=said):
+                spark.read.format(kind).option("path", str(tmp_path)).option("where", bad).load().count()
     assert las.read_epsg(str(tmp_path / "t0.las")) == 3057
     with pytest.raises(Exception, match="larger"):
         frame(spark, [(3e6, 0.0, 0.0)], "x double, y double, z double").write.format("las").option("path", str(tmp_path / "big.las")).option("scale", "0.001").mode("overwrite").save()
