@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from karst.operators import points
 from karst.operators.lineage import shared_dir
 from karst.plans.queries import query
+from karst.plans.tiled import FINE, fine
 from karst.plans.views import view
-from karst.sources import bags
+from karst.sources import bags, geotiff
 
 
 def folder(spark, kind: str) -> str:
@@ -45,3 +46,15 @@ def bag_scan(spark, d):
     log.select(F.col("event_type").alias("topic"), F.lit("std_msgs/msg/String").alias("type"), F.col("event_id").alias("ts"), F.col("user_id").cast("string").cast("binary").alias("data")).write.format("bag").option("path", path).mode("append").save()
     found = spark.read.format("bag").option("path", path).option("topics", "view,purchase").option("first", 200).load()
     return found.groupBy("topic").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(f"WITH {FINE} SELECT ix, iy, zmax::DOUBLE AS zmax FROM c WHERE ix BETWEEN 20 AND 90 AND iy BETWEEN 10 AND 33")
+def raster_window(spark, d):
+    """Cells written as a mosaic of rasters, a box of which is read: other squares are not opened."""
+    geotiff.register(spark)
+    path = folder(spark, "raster").removeprefix("file://")
+    cells = fine(spark, d).select((F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"), F.col("zmax").cast("double").alias("v"))
+    dealt = cells.repartition(F.floor(F.col("x") / 32), F.floor(-F.col("y") / 32))
+    dealt.write.format("geotiff").option("path", path).option("side", 32).mode("append").save()
+    found = spark.read.format("geotiff").option("path", path).option("box", "20,10,91,34").load().where("v is not null")
+    return found.select(F.floor("x").alias("ix"), F.floor("y").alias("iy"), F.col("v").alias("zmax"))
