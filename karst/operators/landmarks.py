@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import columns as C
-from karst.operators import geometry, graphs, rasters, stats
+from karst.operators import constellations, geometry, graphs, rasters, stats
 from karst.operators.spatial import near_pairs
 
 MOST_LANDMARKS = 500
@@ -119,35 +119,14 @@ def overlaps(holes: DataFrame, factor: float) -> DataFrame:
 
 
 def gated_pairs(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """a1, a2, b1, b2: ordered pairs of landmarks on both sides whose distances agree within tolerance.
-
-    Distances are dealt into bins as wide as the tolerance, so the range join is an
-    equi-join on three bins.
-    """
-
-    for d in (a, b):
-        if d.limit(MOST_LANDMARKS + 1).count() > MOST_LANDMARKS:
-            raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
-
-    def sides(d: DataFrame, n: str, ordered: bool) -> DataFrame:
-        p, q = d.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "x", "y", "z")]), d.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "z")])
-        on = F.col("p_id") < F.col("q_id") if ordered else F.col("p_id") != F.col("q_id")
-        dist = F.sqrt(sum((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in "xyz"))
-        return p.join(q, on).select(F.col("p_id").alias(f"{n}1"), F.col("q_id").alias(f"{n}2"), dist.alias(f"d{n}"))
-
-    width = F.lit(max(tolerance, 1e-9))
-    left = sides(a, "a", True).withColumn("bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("da") / width).cast("long") + k)))
-    right = sides(b, "b", False).withColumn("bin", F.floor(F.col("db") / width).cast("long"))
-    return left.join(right, "bin").where(F.abs(F.col("da") - F.col("db")) <= tolerance).select("a1", "a2", "b1", "b2", "da", "db")
+    """a1, a2, b1, b2, da, db: pairs a1 < a2, and b's both ways round, whose distances agree within tolerance."""
+    turned = constellations.pair_gate(b, a, tolerance)
+    return turned.select(*[F.col(c).alias(n) for c, n in (("b1", "a1"), ("b2", "a2"), ("a1", "b1"), ("a2", "b2"), ("db", "da"), ("da", "db"))])
 
 
 def distances(marks: DataFrame) -> DataFrame:
-    """a, b, dist of all pairs (a < b) of a bounded number of landmarks."""
-    if marks.limit(MOST_LANDMARKS + 1).count() > MOST_LANDMARKS:
-        raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
-    p, q = (marks.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "x", "y", "z")]) for n in "pq")
-    dist = F.sqrt(sum((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in "xyz"))
-    return p.join(q, F.col("p_id") < F.col("q_id")).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"), dist.alias("dist"))
+    """a, b, dist of all pairs (a < b)."""
+    return constellations.pairs(marks).withColumnsRenamed({"p": "a", "q": "b"})
 
 
 def kabsch(source: np.ndarray, target: np.ndarray) -> np.ndarray:

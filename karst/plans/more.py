@@ -253,13 +253,6 @@ def centreline(spark, d):
     return spark.createDataFrame([tuple(map(float, r)) for r in line], "s double, x double, y double, z double, tx double, ty double, tz double")
 
 
-@query()
-def landmark_match(spark, d):
-    b = np.array([[r["x"], r["y"], r["z"]] for r in skeletons.samples(view(spark, d, "upts"), 8).collect()])
-    m = landmarks.match(b @ geometry.about((0, 0, 1), 0.4).T + [5, -3, 2], b, "4dof")
-    return spark.createDataFrame([(len(m.inliers), round(m.rms, 6), m.margin, m.mode)], "inliers int, rms double, margin int, mode string")
-
-
 @query(f"WITH {CELLS} SELECT quantile_cont(ix, 0.25)::DOUBLE AS p25, quantile_cont(ix, 0.5)::DOUBLE AS p50, quantile_cont(ix, 0.75)::DOUBLE AS p75, count(*) AS n FROM c WHERE n >= 120")
 def outline_percentiles(spark, d):
     return mask(spark, d).agg(*stats.percentiles("ix", (0.25, 0.5, 0.75)), F.count("*").alias("n"))

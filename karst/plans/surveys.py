@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from karst.operators import curves, landmarks, rasters, relations, surveys
-from karst.plans import more, neighbours, sequences, tiled, written  # noqa: F401  their queries are kept with the others
+from karst.plans import matched, more, neighbours, sequences, tiled, written  # noqa: F401  their queries are kept with the others
 from karst.plans.queries import ANCHOR_SQL, CELLS, DENSE, MASK, MIDDLES, ORACLES, QUERIES, cells, middles, query
 from karst.plans.views import view
 
