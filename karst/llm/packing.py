@@ -2,12 +2,14 @@
 
 Each document goes where the sum over residual gaps g of N(g)**2 becomes
 smallest, N(g) being the number of open sequences with g places left.  Pieces are
-dealt by a hash into groups of a bounded size, longest first within a group, and
-each group is packed by itself, so no task holds more than a group; only lengths
-are shuffled, never texts or ids.
+stored and counted, dealt by a hash of their place in the stored table into groups
+of a bounded size, longest first within a group, and each group is packed by
+itself, so no task holds more than a group, whatever ids repeat or miss; only
+lengths are stored and shuffled, never texts or ids.
 
 Defined results: a null text counts as empty (its end id alone makes one piece);
-a null doc_id is kept as null; repeated rows are packed once each; an empty table
+a null doc_id is kept as null, and rows without one are dealt like any other;
+repeated rows are packed once each; an empty table
 gives no rows; other columns of the input are ignored, whatever their names.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import slices
+from karst.llm.common import slices, stored
 from karst.llm.tokens import as_bytes, encoder
 
 CAPACITY = 2048
@@ -94,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Sequence and offset for each row with a length; groups: how many are packed apart."""
+    """Sequence and offset for each row of a stored table with a length; groups: how many are packed apart."""
 
     def place(table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()
@@ -105,11 +107,12 @@ def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         kept = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         return kept.append_column("sequence_id", pa.array((group << 32) + number)).append_column("offset", pa.array(offset))
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # a stored row keeps its number when a lost task is run again
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(place, SCHEMA)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every document (text, then end_id) in sequences of at most capacity ids; only longer ones are cut."""
-    groups = max(1, docs.select("doc_id").count() // group_rows)
-    return pack(pieces(docs, tokenizer, capacity, end_id), groups, capacity)
+    cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    return pack(cut, max(1, cut.count() // group_rows), capacity)

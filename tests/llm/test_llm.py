@@ -86,6 +86,23 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack_documents(no_id(spark), WORD_BPE).where("doc_id is null").count() > 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 400, [7] * 400])
+def test_rows_without_ids_or_with_one_are_dealt_over_groups(spark, ids):
+    docs = spark.createDataFrame([(d, "the same text " * (i % 9)) for i, d in enumerate(ids)], "doc_id long, text string")
+    got = packing.pack_documents(docs, WORD_BPE, group_rows=20).toPandas()
+    sizes = (got["sequence_id"].to_numpy() >> 32).tolist()
+    assert len(got) == 400 and len(set(sizes)) == 20 and max(map(sizes.count, set(sizes))) <= 45
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
+
+
+def test_long_documents_count_by_their_pieces(spark):
+    docs = table(spark, ["word " * 400] * 5)
+    got = packing.pack_documents(docs, WORD_BPE, capacity=16, group_rows=50).toPandas()
+    assert len(set(got["sequence_id"].to_numpy() >> 32)) == len(got) // 50 > 1
+    assert got.groupby("doc_id")["length"].sum().nunique() == 1
+
+
 def test_sum_of_squares_is_near_the_bound():
     n = np.sort(np.random.default_rng(0).integers(1, 1500, 4000))[::-1]
     number, _ = packing.sum_of_squares(n, 2048)
