@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from karst.operators.lineage import table
+
+#: Bins of a bootstrap's histogram, and draws of a task's piece of a round.
+BINS, DRAWN = 1024, 1 << 20
+
 
 def percentiles(c: str, shares: Sequence[float]) -> list[Column]:
     """Exact percentiles with linear interpolation, named p<percent>; one aggregate gives them all."""
@@ -90,20 +96,100 @@ def quadrature(parts: DataFrame, sigma: str) -> DataFrame:
     return parts.agg(F.sqrt(F.sum(F.col(sigma) * F.col(sigma))).alias("sigma"), F.count(sigma).alias("terms"))
 
 
-def draws(rounds: int, size: int, n: int, block: int, seed: int, spark) -> DataFrame:
-    """b, i: for each round, size numbers below n, in blocks of neighbours (1: each by itself), by a linear congruence."""
-    starts = -(-size // block)
-    base = spark.range(rounds).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(starts - 1).cast("long"))).alias("k"))
-    mixed = F.pmod((F.col("b") * 7919 + F.col("k") * 104729 + seed) * 16807, F.lit(2147483647))
-    start = F.pmod(F.pmod(mixed * 48271, F.lit(2147483647)), F.lit(n - block + 1))
-    each = base.select("b", F.col("k"), start.alias("s")).select("b", "k", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))).alias("o"))
-    return each.where(F.col("k") * block + F.col("o") < size).select("b", (F.col("s") + F.col("o")).alias("i"))
+def draws(rounds: int, size: int, n: int, block: int, seed: int, width: int, spark: SparkSession) -> DataFrame:
+    """slot, b, at: for each round, size numbers below n, in blocks of neighbours (1: each by itself), by a linear congruence.
+
+    A number is slot * width + at; those of one slot stand packed (two bytes each) in a
+    row, so that few bytes are shuffled.  A row of the plan is a piece of a round.
+    """
+    starts, room = -(-size // block), abs(n - block + 1)
+    piece = max(1, DRAWN // block)
+    pieces = -(-starts // piece) if room else 0
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column("id").to_pylist():
+                b, first = one // pieces, one % pieces * piece
+                k = np.arange(first, min(first + piece, starts), dtype=np.int64)
+                s = (b * 7919 + k * 104729 + seed) * 16807 % 2147483647 * 48271 % 2147483647 % room
+                i = (s[:, None] + np.arange(block)).ravel()[: size - first * block]
+                slot = i // width
+                order = np.argsort(slot, kind="stable")
+                i, slot = i[order], slot[order]
+                cuts = np.flatnonzero(np.diff(slot, prepend=-1))
+                at = [v.astype("<u2").tobytes() for v in np.split(i - slot * width, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(slot[cuts]), pa.array(np.full(len(cuts), b, np.int32)), pa.array(at, pa.binary())], ["slot", "b", "at"])
+
+    return spark.range(0, rounds * pieces, 1, max(1, min(rounds * pieces, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(make, "slot long, b int, at binary")
 
 
 def bootstrap(rows: DataFrame, position: str, value: str, n: int, rounds: int, block: int = 1, seed: int = 7, shares: Sequence[float] = (0.025, 0.975)) -> DataFrame:
-    """One row: percentiles over rounds of the median of n values drawn with replacement; position numbers rows from 0."""
-    picked = draws(rounds, n, n, block, seed, rows.sparkSession).join(rows.select(F.col(position).cast("long").alias("i"), value), "i")
-    return picked.groupBy("b").agg(F.percentile(value, 0.5).alias("m")).agg(*percentiles("m", shares), F.count("*").alias("rounds"))
+    """One row: percentiles over rounds of the median of n values drawn with replacement; position numbers rows from 0.
+
+    Draws meet the rows by slots of positions, where each value gets the number of its
+    draws by round.  A histogram of these numbers tells in which bins the middles of a
+    round lie, and only those bins' values are then counted in order.  All n values are
+    drawn in each round; no task holds a round.
+    """
+    width = max(1024, min(1 << 16, (1 << 22) // max(rounds, 1)))
+    slim = rows.select(F.col(position).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
+    known = slim.where(F.col("i").between(0, max(n - 1, 0))).withColumn("slot", F.floor(F.col("i") / width))
+    drawn = draws(rounds, n, n, block, seed, width, rows.sparkSession)
+
+    def tally(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+        n_of = np.zeros((width, rounds), np.int64)
+        for b, at in zip(asked.column("b").to_pylist(), asked.column("at").to_pylist(), strict=True):
+            n_of[:, b] += np.bincount(np.frombuffer(at, "<u2"), minlength=width)
+        v, missing = own.column("v").to_numpy(), np.asarray(own.column("v").is_null())
+        kinds, which = np.unique(np.where(missing, 0.0, v), return_inverse=True)
+        which = np.where(missing, len(kinds), which)  # missing values are drawn, too, and have no place in the order
+        order = np.argsort(which, kind="stable")
+        firsts = np.flatnonzero(np.diff(which[order], prepend=-1))
+        total = np.add.reduceat(n_of[own.column("i").to_numpy()[order] % width], firsts, axis=0) if len(order) else np.zeros((0, rounds), np.int64)
+        kept = total.any(axis=1)
+        kind = which[order][firsts][kept]
+        values = pa.array(np.append(kinds, 0.0)[kind], pa.float64(), mask=kind == len(kinds))
+        return pa.table({"v": values, "n": pa.array([t.astype("<i8").tobytes() for t in total[kept]], pa.binary())})
+
+    counted = table(known.groupBy("slot").cogroup(drawn.groupBy("slot")).applyInArrow(tally, "v double, n binary"))
+    cuts = counted.agg(F.percentile_approx("v", F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), 10 * BINS)).first()[0]
+    edges = np.unique(np.array(cuts or [], float))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Values, their bins (-1: missing) and numbers of draws by round."""
+        for batch in batches:
+            if batch.num_rows:
+                v, missing = batch.column("v").to_numpy(zero_copy_only=False), np.asarray(batch.column("v").is_null())
+                yield v, np.where(missing, -1, np.searchsorted(edges, v, "right")), np.frombuffer(b"".join(batch.column("n").to_pylist()), "<i8").reshape(-1, rounds)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(edges) + 2, rounds), np.int64)
+        for _, at, n_of in parts(batches):
+            np.add.at(sums, at + 1, n_of)
+        at, b = sums.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array((at - 1).astype(np.int32)), pa.array(sums[at, b])], ["b", "bin", "k"])
+
+    bins = table(counted.mapInArrow(add, "b int, bin int, k long").groupBy("b", "bin").agg(F.sum("k").alias("k")))
+    w = Window.partitionBy("b").orderBy("bin")
+    hist = bins.where("bin >= 0").withColumns({"before": F.sum("k").over(w) - F.col("k"), "total": F.sum("k").over(Window.partitionBy("b"))})
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = hist.where((low < F.col("before") + F.col("k")) & (high >= F.col("before")))
+    wanted = middle.select("b", "bin", "before", low.alias("low"), high.alias("high")).collect()  # two rows for each round
+    asking = np.zeros((len(edges) + 2, rounds), bool)
+    for r in wanted:
+        asking[r["bin"], r["b"]] = True
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, at, n_of in parts(batches):
+            r, b = (asking[at] & (n_of > 0)).nonzero()  # missing ones ask the last row, which is empty
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(at[r].astype(np.int32)), pa.array(v[r]), pa.array(n_of[r, b])], ["b", "bin", "v", "k"])
+
+    each = counted.mapInArrow(pick, "b int, bin int, v double, k long").groupBy("b", "bin", "v").agg(F.sum("k").alias("k"))
+    places = rows.sparkSession.createDataFrame([tuple(r) for r in wanted], "b int, bin int, before long, low long, high long")
+    ordered = each.join(F.broadcast(places), ["b", "bin"]).withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("b", "bin").orderBy("v")))
+    at = lambda r: F.max(F.when((F.col(r) < F.col("upto")) & (F.col(r) >= F.col("upto") - F.col("k")), F.col("v")))
+    medians = ordered.groupBy("b").agg((0.5 * at("low") + 0.5 * at("high")).alias("m"))
+    return bins.select("b").distinct().join(medians, "b", "left").agg(*percentiles("m", shares), F.count("*").alias("rounds"))
 
 
 def histogram(rows: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:
