@@ -55,12 +55,9 @@ def ball_query(stations: DataFrame, points: DataFrame, radius: float, axes: str
 
 
 def nearest(points: DataFrame, anchors: DataFrame, axes: str = "xyz", within: float | None = None) -> DataFrame:
-    """Each point's struct a with its nearest anchor's pid and d2, ties by the anchor's pid.
+    """Each point's pid with its nearest anchor's pid and d2, ties by the anchor's pid; points without one within the distance go.
 
-    With a distance through cells, without one through the leaves of a k-d split; for
-    any number of points and anchors.
+    Through the leaves of a k-d split, for any number of points and anchors: a point
+    asks for its nearest anchor only, however many lie within the distance.
     """
-    if within is not None:
-        pairs = near_pairs(points, anchors, within, axes)
-        return pairs.groupBy(F.col("a.pid").alias("pid")).agg(F.min(F.struct("d2", F.col("b.pid").alias("anchor"))).alias("m")).select("pid", "m.anchor", "m.d2")
-    return kd.nearest(points, anchors, axes)
+    return kd.nearest(points, anchors, axes, within=within)
