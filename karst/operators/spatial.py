@@ -18,6 +18,10 @@ from karst.operators import kd
 from karst.operators.kd import knn, radius_count
 
 
+#: Up to so many neighbours are looked for, more are counted.
+MOST_NEAREST = 32
+
+
 def squared(a: str, b: str, axes: str) -> Column:
     return reduce(lambda p, q: p + q, [(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in axes])
 
@@ -35,10 +39,17 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str = "xy
 
 
 def radius_outliers(points: DataFrame, radius: float, least: int, axes: str = "xyz") -> DataFrame:
-    """Points with at least so many within radius, themselves included; the rest go."""
+    """Points with at least so many within radius, themselves included; the rest go.
+
+    The last of so many nearest tells; many (over MOST_NEAREST) are counted instead.
+    """
     if radius <= 0 or least < 1:
         raise ValueError("radius and least number are above zero")
-    return points.join(radius_count(points, radius, axes).where(F.col("n") >= least).select("pid"), "pid", "left_semi")
+    if least <= MOST_NEAREST:
+        enough = knn(points, least, axes, itself=True, within=radius).where(F.col("place") == least - 1)
+    else:
+        enough = radius_count(points, radius, axes).where(F.col("n") >= least)
+    return points.join(enough.select("pid"), "pid", "left_semi")
 
 
 def statistical_outliers(points: DataFrame, k: int, ratio: float, axes: str = "xyz") -> DataFrame:
