@@ -18,6 +18,12 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """Rounded as SQL engines do, by the product in binary; Spark's round takes the shortest decimal, and so another side of some halves (34.68975)."""
+    shift = F.lit(10.0**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * shift) / shift
+
+
 def voxel(c: str | Column, size: float) -> Column:
     """Index of the voxel along one axis: a true floor, also below zero."""
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(size))).cast("long")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from karst.functions import columns as C
 from karst.operators import stats
 
 
@@ -34,3 +35,20 @@ def test_bootstrap_of_missing_repeated_and_no_rows(spark):
     assert (got["p0"], got["p100"]) == (want[0], want[-1]) and got["rounds"] == sum(bool({0, 2, 3, 4} & set(ids.tolist())) for ids in drawn(5, 8, 1))
     for n, block in ((0, 1), (9, 10)):
         assert tuple(stats.bootstrap(rows.limit(0), "id", "v", n, 3, block).first()) == (None, None, 0)
+
+
+def test_blocks_of_many_stations(spark):
+    n, rounds, block = 600_000, 2, 10
+    v = np.arange(n) * 7919 % 1013 / 8
+    want = np.percentile([np.median(v[i]) for i in drawn(n, rounds, block)], [2.5, 97.5])
+    got = stats.bootstrap(spark.range(n).select("id", (F.col("id") * 7919 % 1013 / 8).alias("v")), "id", "v", n, rounds, block).first()
+    assert got["rounds"] == rounds and np.allclose([got["p2"], got["p98"]], want, rtol=0, atol=1e-9)
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [34.68975, -34.68975, 0.00005, 1.00005, 2.5, 1e15 + 0.5, float("inf"), None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    got = [r["r"] for r in rows.select("k", C.rounded("v", 4).alias("r")).orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values] and got[0] == 34.6897
