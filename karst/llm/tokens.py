@@ -105,16 +105,20 @@ class Encoder:
         if bpe and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "byte"
             blank = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-            self.opens = np.zeros(self.tok.get_vocab_size(), bool)
-            self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(blank)]] = True
+            vocab = self.tok.get_vocab()
+            self.opens = np.zeros(max(vocab.values()) + 1, bool)
+            self.opens[[i for t, i in vocab.items() if t.startswith(blank)]] = True
             (self.feed,) = self._whole("\n")
             # the same merges without the pattern: runs are parted already, and each byte is the character that stands for it
             self.merges = Tokenizer(self.tok.model)
             self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x01")
             self.stands = _stands()
-            self.bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
-            for t, i in self.tok.get_vocab().items():
+            self.bytes = np.zeros(len(self.opens), np.int64)
+            for t, i in vocab.items():
                 self.bytes[i] = len(t)
+            # only where every byte has an id, and ids stand for their bytes alone
+            alone = not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            self.cuts = alone and all(chr(c) in model["vocab"] for c in self.stands.tolist() if c != 1)
         elif bpe and inner == ["Split", "ByteLevel"] and [x.get("type") for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
             (self.mark,) = self._whole("\x01")
@@ -143,6 +147,8 @@ class Encoder:
             ids = self._texts([" \x01 ".join(every[i : i + IN_A_TEXT]) + " \x01" for i in range(0, len(every), IN_A_TEXT)])
             marks = ids == self.mark
             return ids[~marks], np.diff(np.flatnonzero(marks) - np.arange(len(every)), prepend=0)
+        if not self.cuts:
+            return self._by_marks(words)
         one, simple = (pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False) for p in (_ONE, _SIMPLE))
         size, starts, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         for some, how in ((one, self._by_runs), (simple & ~one, partial(self._by_runs, cut=True)), (~simple, self._by_marks)):

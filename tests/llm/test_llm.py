@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import math
 import os
 import re
@@ -86,6 +87,19 @@ def test_runs_are_cut_where_the_pattern_cuts(monkeypatch):
         assert enc.encode(text).tolist() == LOADED[BYTE_BPE].encode(text, add_special_tokens=False).ids
 
 
+def test_words_go_whole_where_a_byte_has_no_id(tmp_path):
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    gone = {t for t in spec["model"]["vocab"] if "Z" in t}
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t not in gone}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    spec["model"]["merges"] = [m for m in pairs if "Z" not in "".join(m)]
+    path = tmp_path / "no_z.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    enc, text = tokens.Encoder(str(path)), "a Zb cZd, Z e\nZf"
+    assert enc.encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def ids_of(path, text, end):
     tok = LOADED[path]
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
