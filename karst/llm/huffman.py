@@ -51,7 +51,7 @@ BLOCK_IDS = 1 << 17
 RANGE_ROWS = 16_384
 #: Up to so many ranges, the ids before each are sent to all tasks that read (16 bytes each).
 MOST_SENT = 1_000_000
-BATCH, AT_ONCE = 4_000_000, 2_000_000
+BATCH, AT_ONCE = 4_000_000, 1_000_000
 _HEAD = struct.Struct("<4sIQII")
 
 
