@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,13 @@ def percentiles(c: str, shares: Sequence[float]) -> list[Column]:
     return [F.get(every, F.lit(k)).alias(f"p{round(q * 100)}") for k, q in enumerate(shares)]
 
 
+def between(low: float, high: float, part: float) -> float:
+    """low * (1 - part) + high * part, the first product not rounded, as SQL's engine has it; Spark's percentile rounds both, and so some halves to another side."""
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return low if low == high else low * (1 - part) + high * part
+    return float(Fraction(low) * Fraction(1 - part) + Fraction(high * part))
+
+
 def grouped_percentiles(rows: DataFrame, by: Sequence[str], c: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
     """Exact percentiles with linear interpolation of each group, for groups of any size.
 
@@ -189,7 +198,17 @@ def bootstrap(rows: DataFrame, position: str, value: str, n: int, rounds: int, b
     ordered = each.join(F.broadcast(places), ["b", "bin"]).withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("b", "bin").orderBy("v")))
     at = lambda r: F.max(F.when((F.col(r) < F.col("upto")) & (F.col(r) >= F.col("upto") - F.col("k")), F.col("v")))
     medians = ordered.groupBy("b").agg((0.5 * at("low") + 0.5 * at("high")).alias("m"))
-    return bins.select("b").distinct().join(medians, "b", "left").agg(*percentiles("m", shares), F.count("*").alias("rounds"))
+    found = bins.select("b").distinct().join(medians, "b", "left").agg(F.sort_array(F.collect_list("m")).alias("m"), F.count("*").alias("rounds"))  # a number for each round
+    names = [f"p{round(q * 100)}" for q in shares]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, n in zip(*(batch.column(c).to_pylist() for c in ("m", "rounds")), strict=True):
+                places = [(len(m) - 1) * float(q) for q in shares]
+                values = [between(m[math.floor(p)], m[math.ceil(p)], p - math.floor(p)) if m else None for p in places]
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.float64()) for v in values], pa.array([n], pa.int64())], [*names, "rounds"])
+
+    return found.mapInArrow(told, ", ".join(f"{c} double" for c in names) + ", rounds long")
 
 
 def histogram(rows: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:

@@ -52,3 +52,26 @@ def test_halves_are_rounded_as_in_sql(spark):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
     got = [r["r"] for r in rows.select("k", C.rounded("v", 4).alias("r")).orderBy("k").collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values] and got[0] == 34.6897
+
+
+def test_percentiles_of_rounds_are_interpolated_as_in_sql(spark):
+    import duckdb
+
+    # weighed from both ends, p98 was 34.79024999999999, which rounds to the other side
+    v = np.array([34.79 if k % 4 else 34.8 for k in range(11)])
+    medians = [float(np.median(v[i])) for i in drawn(11, 40, 1)]
+    want = duckdb.execute("SELECT quantile_cont(m, 0.025), quantile_cont(m, 0.975) FROM (SELECT unnest(?::DOUBLE[]) AS m)", [medians]).fetchone()
+    rows = spark.createDataFrame(list(enumerate(v.tolist())), "id long, v double")
+    got = stats.bootstrap(rows, "id", "v", 11, 40)
+    assert tuple(got.select("p2", "p98").first()) == want and got.select(C.rounded("p98", 4)).first()[0] == 34.7903
+
+
+def test_interpolation_as_in_sql():
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    low = rng.integers(1, 10_000, 300) / 100
+    pairs = [(-np.inf, 1.0), (1.0, np.inf), (np.inf, np.inf), (-1e308, 1e308), (34.79, 34.8), (2.0, 2.0), (34.68975, 34.68975), *zip(low, low + rng.integers(0, 300, 300) / 100, strict=True)]
+    for part in (0.025, 0.3, 0.5, 0.975):
+        want = [duckdb.execute(f"SELECT quantile_cont(m, {part}) FROM (SELECT unnest(?::DOUBLE[]) AS m)", [list(map(float, p))]).fetchone()[0] for p in pairs]
+        assert [stats.between(*map(float, p), part) for p in pairs] == want
