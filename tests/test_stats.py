@@ -75,3 +75,16 @@ def test_interpolation_as_in_sql():
     for part in (0.025, 0.3, 0.5, 0.975):
         want = [duckdb.execute(f"SELECT quantile_cont(m, {part}) FROM (SELECT unnest(?::DOUBLE[]) AS m)", [list(map(float, p))]).fetchone()[0] for p in pairs]
         assert [stats.between(*map(float, p), part) for p in pairs] == want
+
+
+def test_a_round_is_the_sql_s_with_its_range_lifted(spark):
+    import duckdb
+
+    from karst.plans.queries import BOOT, DRAW
+
+    # the SQL ends at 100,000 draws a round: the query is not cut to that
+    rows = spark.range(120_000).select("id", (F.col("id") * 7919 % 1013 / 8).alias("v"))
+    assert "range(0, 100000)" in DRAW
+    sql = (BOOT + DRAW.replace("BLOCK", "1").replace("range(0, 100000)", "range(0, 120000)")).replace("WITH r AS", "WITH stn AS (SELECT i AS s, (i * 7919 % 1013) / 8.0::DOUBLE AS value FROM range(0, 120000) AS g(i)), r AS")
+    got = stats.bootstrap(rows, "id", "v", 120_000, 40).select(C.rounded("p2", 4), C.rounded("p98", 4), "rounds").first()
+    assert tuple(got) == duckdb.execute(sql).fetchone()
